@@ -39,7 +39,7 @@ def strip(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     plain = F.translate(text, "\t\x0b\x0c\r\x1c\x1d\x1e\x1f", " " * 8)
-    wide = F.regexp_replace(plain, rf"[{BLANK_CLASS}&&[^\n]]", " ")
+    wide = F.translate(plain, BLANKS.replace("\n", ""), " " * (len(BLANKS) - 1))
     wide = F.regexp_replace(wide, r"[\p{Nd}&&[^\x00-\x7F]]", "7")
     wide = F.regexp_replace(wide, r"[\p{L}\p{N}&&[^\x00-\x7F]]", "_")
     return F.when(is_ascii(text), plain).otherwise(wide)
@@ -50,49 +50,57 @@ def spaced(folded: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(marked, r"\s+", " "), F.lit(" "))
 
 
-def has_word(spaced_text: Column, phrases: Iterable[str]) -> Column:
+def _any_of(column: str, parts: Iterable[str]) -> Column:
+    """One SQL text instead of a call per part: long lists then cost the driver next to nothing."""
+    return F.expr(" or ".join(f"contains({column}, '{part}')" for part in parts))
+
+
+def has_word(spaced_column: str, phrases: Iterable[str]) -> Column:
     """True when one of the phrases occurs as whole words, words parted by blanks only."""
-    out = None
-    for phrase in phrases:
-        test = F.contains(spaced_text, F.lit(f" {phrase} "))
-        out = test if out is None else out | test
-    return out
+    return _any_of(spaced_column, [f" {phrase} " for phrase in phrases])
 
 
-def has_text(text: Column, parts: Iterable[str]) -> Column:
+def has_text(column: str, parts: Iterable[str]) -> Column:
     """True when one of the parts occurs anywhere, also inside a word."""
-    out = None
-    for part in parts:
-        test = F.contains(text, F.lit(part))
-        out = test if out is None else out | test
-    return out
+    return _any_of(column, parts)
 
 
-def count_text(text: Column, parts: Iterable[str]) -> Column:
+def count_text(column: str, parts: Iterable[str]) -> Column:
     """How many of the parts occur at least once."""
-    out = F.lit(0)
-    for part in parts:
-        out = out + F.contains(text, F.lit(part)).cast("int")
-    return out
+    return F.expr(" + ".join(f"int(contains({column}, '{part}'))" for part in parts))
 
 
-def words(text: Column) -> Column:
-    """Blank-separated words, no empty ones."""
-    return F.filter(F.split(text, f"[{BLANK_CLASS}]+"), lambda w: w != "")
+def count_words(spaced_column: str, groups: Iterable[Iterable[str]]) -> Column:
+    """How many groups have at least one of their phrases in the text."""
+    tests = (
+        " or ".join(f"contains({spaced_column}, ' {phrase} ')" for phrase in group)
+        for group in groups
+    )
+    return F.expr(" + ".join(f"int({test})" for test in tests))
 
 
-def word_count(text: Column) -> Column:
-    """Number of words, without building the list of words twice."""
-    trimmed = strip(text)
-    return F.when(trimmed == "", F.lit(0)).otherwise(
-        F.size(F.split(trimmed, f"[{BLANK_CLASS}]+"))
+def text_length_of(column: str, parts: Iterable[str]) -> Column:
+    """Sum of the lengths of the parts that occur at least once."""
+    return F.expr(
+        " + ".join(f"if(contains({column}, '{part}'), {len(part)}, 0)" for part in parts)
     )
 
 
-def distinct_letter_words(lower_text: Column) -> Column:
+def words(text: Column) -> Column:
+    """Blank-separated words, no empty ones."""
+    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
+
+
+def distinct_letter_words(word_list: Column) -> Column:
     """Number of different words made of letters only."""
-    pattern = rf"(?<![^{BLANK_CLASS}])\p{{L}}++(?![^{BLANK_CLASS}])"
-    return F.size(F.array_distinct(F.regexp_extract_all(lower_text, F.lit(pattern), F.lit(0))))
+    kinds = F.array_distinct(word_list)
+    return F.size(F.filter(kinds, lambda w: F.rlike(w, F.lit(r"^\p{L}+$"))))
+
+
+def number_words(word_list: Column) -> Column:
+    """Number of words that are a plain figure, with or without a dollar sign."""
+    figure = r"^\$?[\p{Nd},]+\.?\p{Nd}*$"
+    return F.size(F.filter(word_list, lambda w: F.rlike(w, F.lit(figure))))
 
 
 def occurrences(text: Column, part: Column) -> Column:

@@ -6,11 +6,14 @@ Everything is a projection over the URL string. Parts follow the generic URI gra
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftpage.functions.numbers import flag
-from siftpage.functions.text import has_text, strip
+from siftpage.functions.text import strip
 from siftpage.functions import vocab
 
 SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
@@ -63,6 +66,10 @@ def _overlap(values: Column, wanted: tuple[str, ...]) -> Column:
     return flag(F.arrays_overlap(values, F.array(*[F.lit(w) for w in wanted])))
 
 
+def _holds(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(part)) for part in parts])
+
+
 def url_features(url: Column, parts: Column) -> dict[str, Column]:
     """The 17 URL features. ``parts`` is a column already holding ``url_parts(url)``."""
     path, query = F.lower(parts["path"]), F.lower(parts["query"])
@@ -89,9 +96,9 @@ def url_features(url: Column, parts: Column) -> dict[str, Column]:
         "url_has_page_param": flag(
             F.array_contains(params, "page") | F.rlike(F.lower(url), F.lit(r"[?&]page=\d"))
         ),
-        "is_job_board_domain": flag(has_text(netloc, vocab.URL_JOB_HOSTS)),
-        "is_api_doc_domain": flag(has_text(netloc, vocab.URL_API_HOSTS)),
-        "has_jobs_in_path": flag(has_text(path, ("jobs", "careers"))),
+        "is_job_board_domain": flag(_holds(netloc, vocab.URL_JOB_HOSTS)),
+        "is_api_doc_domain": flag(_holds(netloc, vocab.URL_API_HOSTS)),
+        "has_jobs_in_path": flag(_holds(path, ("jobs", "careers"))),
     }
 
 

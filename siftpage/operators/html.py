@@ -175,15 +175,19 @@ def page_words(html: Column) -> Column:
 # ---- per-page helpers over the parsed row ---------------------------------------------------
 
 
+def inner_texts(node: Column) -> Column:
+    size = F.greatest(node["stop"] - node["src"] - 1, F.lit(0))
+    return F.slice(F.col("texts"), node["src"] + 2, size)
+
+
 def text_of(node: Column) -> Column:
-    """Element text without separators."""
-    return F.substring(F.col("joined"), node["off"] + 1, node["len"])
+    """Element text, its text nodes run together."""
+    return F.array_join(inner_texts(node), "")
 
 
 def spaced_text_of(node: Column) -> Column:
     """Element text with single spaces between its text nodes."""
-    inner = F.slice(F.col("texts"), node["src"] + 2, F.greatest(node["stop"] - node["src"] - 1, F.lit(0)))
-    return F.array_join(F.filter(inner, lambda t: t != ""), " ")
+    return F.array_join(F.filter(inner_texts(node), lambda t: t != ""), " ")
 
 
 def attr(node: Column, name: str) -> Column:
@@ -194,14 +198,18 @@ def has_attr(node: Column, name: str) -> Column:
     return F.map_contains_key(node["attrs"], name)
 
 
-def first_node(test) -> Column:
-    """First element in document order that passes ``test``; null when there is none."""
-    return F.try_element_at(F.filter("nodes", test), F.lit(1))
+def nodes_of(*tags: str) -> Column:
+    return F.filter("nodes", lambda e: e["tag"].isin(*tags))
+
+
+def first_of(*tags: str) -> Column:
+    """First element of one of the kinds in document order; null when there is none."""
+    return F.try_element_at(nodes_of(*tags), F.lit(1))
 
 
 def page_title() -> Column:
     """Text of the first title element, '' when missing or not plain text."""
-    title = F.try_element_at(F.filter("nodes", lambda e: e["tag"] == "title"), F.lit(1))
+    title = first_of("title")
     return F.coalesce(F.when(title["kids"] == 0, spaced_text_of(title)), F.lit(""))
 
 

@@ -36,7 +36,7 @@ CLOSES = {
 HEAD_TAGS = frozenset("html head title meta link base script style noscript template body".split())
 
 NODE_FIELDS = (
-    "src", "stop", "parent", "depth", "near", "kids", "same_kids", "article_kids", "off", "len",
+    "eid", "src", "stop", "parent", "depth", "near", "kids", "same_kids", "article_kids", "off", "len",
 )
 NODE_TYPE = T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in NODE_FIELDS]))
 TREE_TYPE = T.StructType(
@@ -75,6 +75,7 @@ def _nest_page(codes: list[str], lengths: list[int], out: dict[str, list[int]])
                 same[up] = seen
             if name == "article":
                 articles[up] += 1
+        out["eid"].append(node - first)
         out["src"].append(src)
         parent.append(up - first if up >= 0 else -1)
         depth.append(level)
