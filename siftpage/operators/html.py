@@ -91,6 +91,7 @@ def parse(pages: DataFrame, jsonld: bool = False, keep: tuple[str, ...] = ()) ->
     ``nodes`` is an array of element structs in document order.
     With ``jsonld`` the JSON-LD script texts of the page are kept as ``jsonld`` (else an empty list).
     """
+    pages = pages.withColumn("html", F.coalesce("html", F.lit("")))
     clean = strip_code(F.col("html"))
     blocks = jsonld_blocks(F.col("html")) if jsonld else F.array().cast("array<string>")
     staged = (
@@ -100,6 +101,7 @@ def parse(pages: DataFrame, jsonld: bool = False, keep: tuple[str, ...] = ()) ->
             "url",
             *keep,
             F.lower(F.left("html", F.lit(3000))).alias("head_html"),
+            (F.col("html") == "").alias("x_empty"),
             F.length(F.replace(F.col("clean"), F.lit(BREAK), F.lit(""))).alias("clean_len"),
             blocks.alias("jsonld"),
             token_list(F.col("clean")).alias("tokens"),
