@@ -7,7 +7,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -220,47 +220,57 @@ def importance(model: PipelineModel, spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def permutation_importance(
-    test: DataFrame, model: PipelineModel, columns: tuple[str, ...], seed: int = SEED
-) -> DataFrame:
+def permutation_importance(test: DataFrame, model: PipelineModel, seed: int = SEED) -> DataFrame:
     """(feature, importance): loss of accuracy on the test rows when one column is shuffled.
 
-    All columns are tested in one job: every test row is repeated once per column with that column's
-    value taken from another row. The partner is the next row in an order drawn per column, found by
-    a window over (column, bucket of rows), so no task sees more than one bucket.
+    All columns are tested in one job: a row is repeated once per column, with that column's value
+    taken from the next row in an order drawn per column. The order runs over (column, bucket)
+    windows, so no task holds more than one bucket of one column. Column -1 is the unshuffled base.
     """
-    labels, inputs, _ = _stages(model)
-    keyed = test.withColumn("row", F.xxhash64("url", F.lit(seed)))
-    parts = 64
-    named = F.array(*[F.lit(c) for c in columns])
-    long = keyed.withColumn("feature", F.explode(named)).withColumns(
+    _, columns, learner = _stages(model)
+    names = F.array(*[F.lit(c) for c in columns])
+    rows = assembler(tuple(columns)).transform(test.fillna(0, list(columns))).select(
+        "label", vector_to_array("x").alias("v"), F.xxhash64("url", F.lit(seed)).alias("row")
+    )
+    long = rows.withColumn(
+        "column", F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1)))
+    ).withColumns(
         {
-            "draw": F.xxhash64("row", "feature"),
-            "bucket": F.pmod(F.xxhash64("feature", "row"), F.lit(parts)),
+            "own": F.try_element_at("v", F.nullif(F.col("column") + 1, F.lit(0))),
+            "draw": F.xxhash64("row", "column"),
+            "bucket": F.pmod(F.xxhash64("column", "row", F.lit(1)), F.lit(64)),
         }
     )
-    value = F.coalesce(*[F.when(F.col("feature") == c, F.col(c).cast("double")) for c in columns])
-    order = Window.partitionBy("feature", "bucket").orderBy("draw")
-    ring = Window.partitionBy("feature", "bucket")
-    moved = long.withColumn("own", value).withColumn(
-        "other",
-        F.coalesce(F.lag("own").over(order), F.max_by("own", "draw").over(ring)),
+    group = Window.partitionBy("column", "bucket")
+    other = F.coalesce(
+        F.lag("own").over(group.orderBy("draw", "row")), F.max_by("own", "draw").over(group)
     )
-    swapped = moved.withColumns(
-        {
-            c: F.when(F.col("feature") == c, F.col("other")).otherwise(F.col(c).cast("double"))
-            for c in columns
-        }
+    swapped = long.withColumn("other", other).select(
+        "label",
+        "column",
+        array_to_vector(
+            F.transform("v", lambda x, i: F.when(i == F.col("column"), F.col("other")).otherwise(x))
+        ).alias("x"),
     )
-    right = (F.col("ml_label") == F.col("label")).cast("double")
-    base = score(test, model).agg(F.avg(right).alias("base"))
-    shaken = (
-        score(swapped, model)
-        .groupBy("feature")
-        .agg(F.avg(right).alias("acc"))
-        .crossJoin(F.broadcast(base))
+    labels = list(model.stages[0].labelsArray[0])
+    predicted = F.element_at(
+        F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1
+    )
+    accuracy = (
+        learner.transform(swapped)
+        .groupBy("column")
+        .agg(F.avg((predicted == F.col("label")).cast("double")).alias("accuracy"))
+    )
+    # One row per column of the model: small whatever the number of test rows.
+    base = F.max(F.when(F.col("column") == -1, F.col("accuracy"))).over(Window.partitionBy())
+    return (
+        accuracy.withColumn("base", base)
+        .filter("column >= 0")
+        .select(
+            F.element_at(names, F.col("column") + 1).alias("feature"),
+            F.bround(F.col("base") - F.col("accuracy"), 6).alias("importance"),
+        )
     )
-    return shaken.select("feature", F.bround(F.col("base") - F.col("acc"), 6).alias("importance"))
 
 
 def misclassified_test(scored: DataFrame) -> DataFrame:

@@ -14,8 +14,6 @@ SETTINGS = {
     # Generated methods above 8,000 bytecodes are never compiled by HotSpot; past that size plain
     # projections with split methods are faster than one fused stage.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # No call-site capture per column expression: plans here have thousands of them.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # An Arrow batch holds whole pages' tag lists; keep it small so that large pages fit.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
@@ -36,6 +34,8 @@ def local_session(cores: int | str = "*", name: str = "siftpage") -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SIFTPAGE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", "8")
+        # No call-site capture per column expression: plans here have thousands of them.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
