@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Scripts and styles arrive as one token with their content, so they never stay open either.
 VOID = frozenset(
-    "area base br col embed hr img input link meta param source track wbr".split()
+    "area base br col embed hr img input link meta param script source style track wbr".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure "

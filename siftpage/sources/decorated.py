@@ -123,6 +123,13 @@ URLS = (
 )
 
 
+def _chosen(rules, otherwise):
+    out = otherwise
+    for divisor, rest, value in rules:
+        out = F.when(F.col("page_id") % divisor == rest, F.lit(value)).otherwise(out)
+    return out
+
+
 def decorate(plain: DataFrame) -> DataFrame:
     def extra(rules):
         return F.concat(
@@ -132,22 +139,18 @@ def decorate(plain: DataFrame) -> DataFrame:
             ]
         )
 
-    def chosen(rules, otherwise):
-        out = otherwise
-        for divisor, rest, value in rules:
-            out = F.when(F.col("page_id") % divisor == rest, F.lit(value)).otherwise(out)
-        return out
-
     html = F.col("html")
     for rules, mark in ((HEAD, "</head>"), (BODY, "</article>"), (FOOTER, "</footer>")):
         html = F.replace(html, F.lit(mark), F.concat(extra(rules), F.lit(mark)))
-    title = chosen(TITLES, F.lit(None).cast("string"))
+    title = _chosen(TITLES, F.lit(None).cast("string"))
     titled = F.regexp_replace(
         html, F.lit("<title>[^<]*</title>"), F.concat(F.lit("<title>"), title, F.lit("</title>"))
     )
-    return plain.select(
-        "page_id", chosen(URLS, F.col("url")).alias("url"), F.coalesce(titled, html).alias("html")
-    )
+    return with_urls(plain).withColumn("html", F.coalesce(titled, html))
+
+
+def with_urls(df: DataFrame) -> DataFrame:
+    return df.withColumn("url", _chosen(URLS, F.col("url")))
 
 
 def decorated_pages(spark: SparkSession, folder: str) -> DataFrame:
