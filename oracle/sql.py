@@ -237,7 +237,7 @@ WHERE pillar IS NOT NULL GROUP BY pillar
 SQL["feature_compare"] = features_query(
     f""", {LONG}
 SELECT coalesce(x.feature, y.feature) AS feature, count(*) AS pairs,
-  round_even(sum(coalesce(y.value, 0) - coalesce(x.value, 0)), 3) AS diff
+  round_even(sum(coalesce(y.value, 0) - coalesce(x.value, 0)), 3) + 0.0::DOUBLE AS diff
 FROM long x FULL JOIN long y ON y.page_id = x.page_id + 1 AND x.feature = y.feature
 WHERE coalesce(x.value, 0) <> coalesce(y.value, 0)
   AND (x.page_id IS NOT NULL OR y.page_id - 1 IN (SELECT page_id FROM deco)) GROUP BY 1

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftpage.functions.reuse import built_once
 from siftpage.functions.text import fold, spaced, words
 from siftpage.functions.url import url_features, url_parts
 from siftpage.operators.features import composite, markup, wording
@@ -114,6 +115,11 @@ def prepare(pages: DataFrame, jsonld: bool = False, stored_title: str | None = N
     return viewed.withColumns(wording.counts())
 
 
+@built_once
+def url_columns() -> dict:
+    return url_features(F.col("url"), F.col("parts"))
+
+
 def features_of(prepared: DataFrame) -> DataFrame:
     """Prepared pages with every feature column added."""
     return (
@@ -121,7 +127,7 @@ def features_of(prepared: DataFrame) -> DataFrame:
             {
                 **markup.derived(),
                 **wording.derived(),
-                **url_features(F.col("url"), F.col("parts")),
+                **url_columns(),
             }
         )
         .withColumns({**wording.cue_ratios(), **composite.mixed()})

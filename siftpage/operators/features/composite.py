@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siftpage.functions import vocab
 from siftpage.functions.jsonld import all_types, lowered, top_types
 from siftpage.functions.numbers import flag, ratio
+from siftpage.functions.reuse import built_once
 from siftpage.functions.text import count_words, has_text, occurrences, words
 from siftpage.operators.features.wording import either
 
@@ -36,6 +37,7 @@ def path_matches(pattern: str) -> Column:
     return F.rlike("path", F.lit(pattern))
 
 
+@built_once
 def mixed() -> dict[str, Column]:
     """Flags fed by both markup and text, and the schema types."""
     c = F.col
@@ -111,6 +113,7 @@ def _weighted(weights: dict[str, float]) -> Column:
     return out
 
 
+@built_once
 def scores() -> dict[str, Column]:
     c = F.col
     para = c("avg_paragraph_length")
@@ -211,6 +214,7 @@ def scores() -> dict[str, Column]:
     }
 
 
+@built_once
 def finals() -> dict[str, Column]:
     c = F.col
     gap = F.abs(c("composite_listing_score") - c("composite_detail_score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftpage.functions import vocab
 from siftpage.functions.numbers import flag, log_count, ratio
+from siftpage.functions.reuse import built_once
 from siftpage.functions.text import strip
 from siftpage.functions.url import is_external_link
 from siftpage.operators.html import attr, first_of, has_attr, nodes_of, spaced_text_of, text_of
@@ -14,6 +15,7 @@ from siftpage.operators.html import attr, first_of, has_attr, nodes_of, spaced_t
 SEPARATOR = " \x01 "
 
 
+@built_once
 def subsets() -> dict[str, Column]:
     """Small arrays and strings cut from ``nodes`` once, for all later tests.
 
@@ -107,6 +109,7 @@ def has_time() -> Column:
     )
 
 
+@built_once
 def counts() -> dict[str, Column]:
     """First stage: counts and flags that need nothing but the subsets."""
     out: dict[str, Column] = {f"tag_{t}_count": tag_count(t) for t in vocab.COUNTED_TAGS}
@@ -263,6 +266,7 @@ def counts() -> dict[str, Column]:
     return out
 
 
+@built_once
 def derived() -> dict[str, Column]:
     """Second stage: features computed from the counts."""
     c = F.col

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftpage.functions import vocab
 from siftpage.functions.numbers import flag, log_count, ratio
+from siftpage.functions.reuse import built_once
 from siftpage.functions.text import (
     count_text,
     count_words,
@@ -39,6 +40,7 @@ def either(*tests: Column) -> Column:
     return out
 
 
+@built_once
 def counts() -> dict[str, Column]:
     """First stage: plain measures and flags of the text."""
     lower, folded = F.col("lower"), F.col("folded")
@@ -116,6 +118,7 @@ def counts() -> dict[str, Column]:
     }
 
 
+@built_once
 def derived() -> dict[str, Column]:
     """Second stage: features computed from the measures."""
     c = F.col
@@ -141,6 +144,7 @@ def derived() -> dict[str, Column]:
     }
 
 
+@built_once
 def cue_ratios() -> dict[str, Column]:
     c = F.col
     return {

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftpage.functions.entities import decode_entities
+from siftpage.functions.reuse import built_once
 from siftpage.functions.text import BLANK_CLASS, strip
 from siftpage.operators.nesting import NODE_FIELDS, nest
 
@@ -43,8 +44,9 @@ def strip_code(html: Column, pattern: str = CODE) -> Column:
     return F.regexp_replace(html, pattern, BREAK)
 
 
-def token_list(html: Column) -> Column:
-    """array<struct<raw, code, text>> in document order."""
+@built_once
+def token_list(column: str) -> Column:
+    """array<struct<raw, code, text>> of an HTML column, in document order."""
 
     def describe(raw: Column) -> Column:
         is_markup = F.rlike(raw, F.lit("^<[a-zA-Z/!?]"))
@@ -55,7 +57,7 @@ def token_list(html: Column) -> Column:
             F.when(~is_markup, strip(decode_entities(raw))).otherwise("").alias("text"),
         )
 
-    return F.transform(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), describe)
+    return F.transform(F.regexp_extract_all(column, F.lit(TOKEN), F.lit(0)), describe)
 
 
 def attribute_maps(tags: Column) -> Column:
@@ -104,7 +106,7 @@ def parse(pages: DataFrame, jsonld: bool = False, keep: tuple[str, ...] = ()) ->
             (F.col("html") == "").alias("x_empty"),
             F.length(F.replace(F.col("clean"), F.lit(BREAK), F.lit(""))).alias("clean_len"),
             blocks.alias("jsonld"),
-            token_list(F.col("clean")).alias("tokens"),
+            token_list("clean").alias("tokens"),
         )
     )
     return _with_nodes(staged)
@@ -118,16 +120,20 @@ def parse_raw(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         *keep,
         F.length("html").alias("html_length"),
         jsonld_blocks(F.col("html")).alias("jsonld"),
-        token_list(F.col("html")).alias("tokens"),
+        token_list("html").alias("tokens"),
         page_words(F.col("html")).alias("visible"),
     )
     return _with_nodes(staged)
 
 
-def _with_nodes(staged: DataFrame) -> DataFrame:
-    lengths = F.transform("tokens", lambda t: F.length(t["text"]))
-    nested = staged.withColumn("tree", nest(F.col("tokens.code"), lengths))
-    filled = F.filter("tokens.text", lambda t: t != "")
+@built_once
+def nested_tags() -> Column:
+    return nest(F.col("tokens.code"), F.transform("tokens", lambda t: F.length(t["text"])))
+
+
+@built_once
+def element_list() -> Column:
+    """The nested tags with their names and attributes."""
 
     def token(node: Column) -> Column:
         return F.try_element_at(F.col("tokens"), node["src"] + 1)
@@ -140,13 +146,19 @@ def _with_nodes(staged: DataFrame) -> DataFrame:
     tags = F.transform(
         "tree.nodes", lambda n: F.when(n["src"] < 0, F.lit("<body>")).otherwise(token(n)["raw"])
     )
+    return F.zip_with("tree.nodes", attribute_maps(tags), element)
+
+
+def _with_nodes(staged: DataFrame) -> DataFrame:
+    nested = staged.withColumn("tree", nested_tags())
+    filled = F.filter("tokens.text", lambda t: t != "")
     others = [c for c in staged.columns if c != "tokens"]
     return nested.select(
         *others,
         F.col("tokens.text").alias("texts"),
         F.array_join(filled, " ").alias("body"),
         F.array_join(filled, "").alias("joined"),
-        F.zip_with("tree.nodes", attribute_maps(tags), element).alias("nodes"),
+        element_list().alias("nodes"),
         F.col("tree.repairs").alias("repairs"),
     )
 
@@ -231,7 +243,8 @@ def exploded(df: DataFrame, array: str, position: str, item: str) -> DataFrame:
 
 def tokens(pages: DataFrame) -> DataFrame:
     """page_id, pos, kind (start, end, text, other), tag, raw - code removed, one row per token."""
-    listed = pages.select("page_id", token_list(strip_code(F.col("html"))).alias("tokens"))
+    clean = pages.select("page_id", strip_code(F.col("html")).alias("clean"))
+    listed = clean.select("page_id", token_list("clean").alias("tokens"))
     rows = exploded(listed, "tokens", "pos", "t")
     kind = (
         F.when(F.startswith("t.code", F.lit("/")), "end")

@@ -110,7 +110,10 @@ def fetch_outcome(results: DataFrame, at: Column) -> DataFrame:
 def pick_extract(
     ledger: DataFrame, pages: DataFrame, retry_failed: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(pages to extract, failure updates for ready rows whose page is missing)."""
+    """(pages to extract, failure updates for ready rows whose page is missing).
+
+    Only the page's id and URL take part in the joins; the HTML is read afterwards, for the ids found.
+    """
     status = F.coalesce("extract_status", F.lit("pending"))
     wanted = (
         (F.col("scrape_status") == "success")
@@ -121,9 +124,9 @@ def pick_extract(
     if not retry_failed:
         wanted = wanted & (status != "failed")
     ready = ledger.filter(wanted).select("url", "key", "label")
-    todo = ready.join(pages.select("url", "page_id", "html"), "url", "inner")
-    present = pages.select("url").distinct()
-    missing = ready.join(present, "url", "left_anti").select(
+    known = pages.select("url", "page_id")
+    todo = ready.join(known, "url", "inner")
+    missing = ready.join(known, "url", "left_anti").select(
         "url",
         F.lit("failed").alias("extract_status"),
         F.lit("missing_html").alias("extract_reason"),

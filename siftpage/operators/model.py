@@ -91,7 +91,7 @@ def split(
     inner = Window.partitionBy(label, "slice").orderBy("h", key)
     ranked = sliced.withColumn("r", F.row_number().over(inner))
     joined = ranked.join(
-        F.broadcast(offsets), (F.col(label) == F.col("c")) & (F.col("slice") == F.col("s"))
+        offsets, (F.col(label) == F.col("c")) & (F.col("slice") == F.col("s"))
     )
     rank = F.col("offset") + F.col("r")
     cut = F.bround(F.col("class_n") * F.lit(share), 0)

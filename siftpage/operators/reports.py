@@ -70,7 +70,8 @@ def recent(predictions: DataFrame, k: int = 10) -> DataFrame:
 def warnings(ledger: DataFrame, imbalance: int = 5, low: int = 10) -> DataFrame:
     """Issue rows (issue, label, n): pending extractions, class imbalance, small classes.
 
-    Everything is derived from one count per label, so the ledger is read once.
+    Everything is derived from one count per label, so the ledger is read once; the labels gathered
+    into one row are the classes the intake lets in.
     """
     waiting = _is("scrape_status", "success") & _is("extract_status", "pending")
     per_label = ledger.groupBy("label").agg(
@@ -234,18 +235,36 @@ def feature_long(features: DataFrame) -> DataFrame:
 
 
 def feature_compare(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """Features that differ between the two pages of each pair (``a``, ``b`` are page ids)."""
-    long = feature_unpivot(features)
-    left = long.select(F.col("page_id").alias("a"), "feature", F.col("value").alias("value_a"))
-    right = long.select(F.col("page_id").alias("b"), "feature", F.col("value").alias("value_b"))
-    sides_a = pairs.select("a", "b").join(left, "a")
-    sides_b = pairs.select("a", "b").join(right, "b")
-    joined = sides_a.join(sides_b, ["a", "b", "feature"], "full_outer")
-    va = F.coalesce("value_a", F.lit(0.0))
-    vb = F.coalesce("value_b", F.lit(0.0))
-    return joined.filter(va != vb).select(
-        "a", "b", "feature", va.alias("value_a"), vb.alias("value_b"), (vb - va).alias("diff")
+    """Features that differ between the two pages of each pair (``a``, ``b`` are page ids).
+
+    The joins carry one wide row per page; only the differing features become rows afterwards.
+    A page without stored features counts as all zeros.
+    """
+    names = [c for c in features.columns if c in FEATURE_COLUMNS]
+
+    def side(page: str, values: str) -> DataFrame:
+        packed = F.array(*[F.col(n).cast("double") for n in names])
+        return features.select(F.col("page_id").alias(page), packed.alias(values))
+
+    joined = (
+        pairs.select("a", "b")
+        .join(side("a", "va"), "a", "left")
+        .join(side("b", "vb"), "b", "left")
+    )
+    zeros = F.array_repeat(F.lit(0.0), len(names))
+    name_list = F.array(*[F.lit(n) for n in names])
+    entries = F.zip_with(
+        name_list,
+        F.arrays_zip(
+            F.coalesce("va", zeros).alias("x"), F.coalesce("vb", zeros).alias("y")
+        ),
+        lambda n, v: F.struct(
+            n.alias("feature"), v["x"].alias("value_a"), v["y"].alias("value_b")
+        ),
     )
+    differing = F.filter(entries, lambda e: e["value_a"] != e["value_b"])
+    rows = joined.select("a", "b", F.explode_outer(differing).alias("e")).filter("e is not null")
+    return rows.select("a", "b", "e.*", (F.col("e.value_b") - F.col("e.value_a")).alias("diff"))
 
 
 def top_features(importance: DataFrame, k: int = 40) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siftpage.functions import vocab
 from siftpage.functions.jsonld import all_types, lowered, microdata_type
 from siftpage.functions.numbers import flag
+from siftpage.functions.reuse import built_once
 from siftpage.functions.text import count_words, has_word, strip
 from siftpage.functions.url import listing_url
 from siftpage.operators.features import prepare
@@ -197,17 +198,18 @@ def others_signals() -> Column:
     return F.when(fires, _verdict("others", "others_signals", reason, 0.90))
 
 
-def with_verdict(prepared: DataFrame, status: str | None = None) -> DataFrame:
-    """Prepared pages plus ``verdict``; ``status`` names an HTTP status column, if there is one."""
-    signals = prepared.withColumns(
-        {
-            "x_listing_url": listing_url(F.col("parts")),
-            "x_listing_signals": listing_signals(),
-            **others_counts(),
-        }
-    )
-    verdict = F.coalesce(
-        error_page(F.col(status) if status else None),
+@built_once
+def rule_signals() -> dict[str, Column]:
+    return {
+        "x_listing_url": listing_url(F.col("parts")),
+        "x_listing_signals": listing_signals(),
+        **others_counts(),
+    }
+
+
+@built_once
+def rules_after_errors() -> tuple[Column, ...]:
+    return (
         schema_type(),
         feed(),
         open_graph(),
@@ -216,6 +218,12 @@ def with_verdict(prepared: DataFrame, status: str | None = None) -> DataFrame:
         domain_rules(),
         others_signals(),
     )
+
+
+def with_verdict(prepared: DataFrame, status: str | None = None) -> DataFrame:
+    """Prepared pages plus ``verdict``; ``status`` names an HTTP status column, if there is one."""
+    signals = prepared.withColumns(rule_signals())
+    verdict = F.coalesce(error_page(F.col(status) if status else None), *rules_after_errors())
     return signals.withColumn("verdict", F.when(~F.col("x_empty"), verdict))
 
 

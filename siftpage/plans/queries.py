@@ -279,7 +279,7 @@ def feature_compare(spark, folder):
     return (
         R.feature_compare(pairs, f)
         .groupBy("feature")
-        .agg(F.count("*").alias("pairs"), F.bround(F.sum("diff"), 3).alias("diff"))
+        .agg(F.count("*").alias("pairs"), (F.bround(F.sum("diff"), 3) + 0.0).alias("diff"))
     )
 
 
