@@ -7,8 +7,11 @@ Three views of one text are used throughout:
   pattern spells out) and every blank other than a newline a space. Character for character the
   same length, and plain ASCII ``\\b \\w \\d \\s`` then mean what their Unicode forms mean;
 * ``spaced``: the words of the folded text with single spaces around them and a mark for every run
-  of punctuation, so that a whole-word phrase test is one ``contains``. A substring scan is several
-  times cheaper than a regular expression, and there are some 300 such tests per page.
+  of punctuation, so that a whole-word phrase test is one ``contains``.
+
+There are some 300 phrase tests per page, too many to scan the text for each. One hash intersection
+of the page's words with the words of all phrases (``seen_words``) answers nearly all of them; the
+text is scanned only for phrases of several words whose longest word is on the page.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftpage.functions import vocab
+
 # Characters that count as blank: the Unicode White_Space set plus the four ASCII separators.
 BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -50,39 +55,68 @@ def spaced(folded: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(marked, r"\s+", " "), F.lit(" "))
 
 
-def _any_of(column: str, parts: Iterable[str]) -> Column:
-    """One SQL text instead of a call per part: long lists then cost the driver next to nothing."""
-    return F.expr(" or ".join(f"contains({column}, '{part}')" for part in parts))
+def pivot(phrase: str) -> str:
+    """The word looked up for a phrase: its longest one."""
+    return max(phrase.split(), key=len)
 
 
-def has_word(spaced_column: str, phrases: Iterable[str]) -> Column:
-    """True when one of the phrases occurs as whole words, words parted by blanks only."""
-    return _any_of(spaced_column, [f" {phrase} " for phrase in phrases])
+VOCABULARY = tuple(sorted({pivot(phrase) for words in vocab.WORD_LISTS for phrase in words}))
 
 
-def has_text(column: str, parts: Iterable[str]) -> Column:
-    """True when one of the parts occurs anywhere, also inside a word."""
-    return _any_of(column, parts)
+def seen_words(spaced_text: Column) -> Column:
+    """The words of the vocabulary that occur in the text."""
+    wanted = F.expr("array(" + ", ".join(f"'{word}'" for word in VOCABULARY) + ")")
+    return F.array_intersect(F.split(spaced_text, " "), wanted)
+
 
+def _word_test(column: str, phrase: str) -> str:
+    word = pivot(phrase)
+    if word not in VOCABULARY:
+        raise ValueError(f"phrase outside the word lists: {phrase}")
+    test = f"array_contains({column}_seen, '{word}')"
+    return test if word == phrase else f"({test} and contains({column}, ' {phrase} '))"
 
-def count_text(column: str, parts: Iterable[str]) -> Column:
-    """How many of the parts occur at least once."""
-    return F.expr(" + ".join(f"int(contains({column}, '{part}'))" for part in parts))
 
+def has_word(column: str, phrases: Iterable[str]) -> Column:
+    """True when one of the phrases occurs as whole words, words parted by blanks only.
 
-def count_words(spaced_column: str, groups: Iterable[Iterable[str]]) -> Column:
+    ``column`` names a ``spaced`` text; its ``seen_words`` are in ``<column>_seen``.
+    """
+    return F.expr(" or ".join(_word_test(column, phrase) for phrase in phrases))
+
+
+def count_words(column: str, groups: Iterable[Iterable[str]]) -> Column:
     """How many groups have at least one of their phrases in the text."""
-    tests = (
-        " or ".join(f"contains({spaced_column}, ' {phrase} ')" for phrase in group)
-        for group in groups
-    )
+    tests = (" or ".join(_word_test(column, phrase) for phrase in group) for group in groups)
     return F.expr(" + ".join(f"int({test})" for test in tests))
 
 
-def text_length_of(column: str, parts: Iterable[str]) -> Column:
+def _part_test(column: str, kinds: str | None, part: str) -> str:
+    whole = f"contains({column}, '{part}')"
+    if kinds is None:
+        return whole
+    near = f"contains({kinds}, '{pivot(part)}')"
+    return near if pivot(part) == part else f"({near} and {whole})"
+
+
+def has_text(column: str, parts: Iterable[str]) -> Column:
+    """True when one of the parts occurs anywhere, also inside a word."""
+    return F.expr(" or ".join(_part_test(column, None, part) for part in parts))
+
+
+def count_text(column: str, parts: Iterable[str], kinds: str) -> Column:
+    """How many of the parts occur at least once.
+
+    ``kinds`` names the different words of the text in one string; it is shorter than the text, and
+    a part without blanks is in the text exactly if it is in there.
+    """
+    return F.expr(" + ".join(f"int({_part_test(column, kinds, part)})" for part in parts))
+
+
+def text_length_of(column: str, parts: Iterable[str], kinds: str) -> Column:
     """Sum of the lengths of the parts that occur at least once."""
     return F.expr(
-        " + ".join(f"if(contains({column}, '{part}'), {len(part)}, 0)" for part in parts)
+        " + ".join(f"if({_part_test(column, kinds, part)}, {len(part)}, 0)" for part in parts)
     )
 
 
@@ -97,6 +131,11 @@ def distinct_letter_words(word_list: Column) -> Column:
     return F.size(F.filter(kinds, lambda w: F.rlike(w, F.lit(r"^\p{L}+$"))))
 
 
+def word_kinds(word_list: Column) -> Column:
+    """The different words in one string."""
+    return F.array_join(F.array_distinct(word_list), " ")
+
+
 def number_words(word_list: Column) -> Column:
     """Number of words that are a plain figure, with or without a dollar sign."""
     figure = r"^\$?[\p{Nd},]+\.?\p{Nd}*$"

@@ -255,6 +255,17 @@ RULE_API_WORDS = (
     "function", "method", "parameter", "api", "endpoint", "return", "exception", "class", "module",
 )
 
+# Every list of whole-word phrases above; a page's words are matched against all of them in one go.
+WORD_LISTS = (
+    BUY_WORDS, CART_WORDS, AUTHOR_WORDS, RATING_WORDS, SHARE_WORDS, COMMENT_WORDS, RELATED_WORDS,
+    CONTACT_WORDS, STORY_WORDS, EVENT_LIST_WORDS, TICKET_WORDS, VENUE_WORDS, ACT_WORDS,
+    APPLY_WORDS, APPLY_JOB_WORDS, PAY_WORDS, DUTY_WORDS, DEADLINE_WORDS, JOB_VOCAB_WORDS,
+    REPLY_WORDS, *CTA_FLAGS, *LEGAL_FLAGS, *INFO_FLAGS, *RULE_INFO_FLAGS, *FAQ_FLAGS,
+    *MARKETING_FLAGS, PRICING_WORDS, TESTIMONIAL_WORDS, MISSION_WORDS, BROWSE_WORDS,
+    PUBLICATION_WORDS, JOB_FILTER_WORDS, JOB_NEWS_WORDS, *FOOTER_FLAGS, RULE_BUY_WORDS,
+    RULE_SPEC_WORDS, RULE_API_WORDS, ("filter", "refine", "sort by"),
+)
+
 # ---- patterns over the folded text --------------------------------------------------------
 PAGING_PATTERN = (
     r"page\s*\d|\d\s*of\s*\d|next\s*page|previous\s*page|load\s*more|show\s*more|view\s*all|"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftpage.functions.reuse import built_once
-from siftpage.functions.text import fold, spaced, words
+from siftpage.functions.text import fold, seen_words, spaced, word_kinds, words
 from siftpage.functions.url import url_features, url_parts
 from siftpage.operators.features import composite, markup, wording
 from siftpage.operators.html import page_title, parse
@@ -74,11 +74,12 @@ META_COLUMNS = ("_title", "_body_text_length")
 
 
 def with_text_views(df: DataFrame) -> DataFrame:
-    """Adds lower, folded, spaced and words for the text column ``body``, one projection each."""
+    """Adds lower, folded, spaced, their words and what is seen of the vocabulary, for the text column ``body``, one projection each."""
     return (
         df.withColumn("lower", F.lower("body"))
-        .withColumn("folded", fold(F.col("lower")))
-        .withColumns({"spaced": spaced(F.col("folded")), "words": words(F.col("lower"))})
+        .withColumns({"folded": fold(F.col("lower")), "words": words(F.col("lower"))})
+        .withColumns({"spaced": spaced(F.col("folded")), "kinds": word_kinds(F.col("words"))})
+        .withColumn("spaced_seen", seen_words(F.col("spaced")))
     )
 
 
@@ -109,8 +110,10 @@ def prepare(pages: DataFrame, jsonld: bool = False, stored_title: str | None = N
         }
     )
     counted = base.withColumns(markup.counts()).drop("tags", "texts", "joined", "classes")
-    viewed = with_text_views(counted).withColumn(
-        "x_footer_spaced", spaced(fold(F.col("x_footer_text")))
+    viewed = (
+        with_text_views(counted)
+        .withColumn("x_footer_spaced", spaced(fold(F.col("x_footer_text"))))
+        .withColumn("x_footer_spaced_seen", seen_words(F.col("x_footer_spaced")))
     )
     return viewed.withColumns(wording.counts())
 

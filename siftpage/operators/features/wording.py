@@ -1,7 +1,7 @@
 """Feature columns read from text alone; they work on any text column.
 
-Expected columns: ``body`` (text), ``lower`` (lower case), ``folded``, ``spaced``, ``words``,
-``title`` and ``own_title``.
+Expected columns: ``body`` (text), ``lower`` (lower case), ``folded``, ``spaced``, ``spaced_seen``,
+``words``, ``kinds``, ``title`` and ``own_title``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from siftpage.functions.text import (
     has_word,
     number_words,
     text_length_of,
+    word_kinds,
     words,
 )
 
@@ -29,6 +30,11 @@ def matches(pattern: str, column: str | Column = "folded") -> Column:
     return F.rlike(column, F.lit(pattern))
 
 
+def mentions(*parts: str) -> Column:
+    """Cheap precondition of a pattern: one of the parts occurs in some word of the text."""
+    return has_text("kinds", parts)
+
+
 def says(phrases: tuple[str, ...], column: str = "spaced") -> Column:
     return has_word(column, phrases)
 
@@ -50,9 +56,10 @@ def counts() -> dict[str, Column]:
         "char_count": F.length("body"),
         "x_letter_words": distinct_letter_words(F.col("words")),
         "sentence_count": F.greatest(F.lit(1), F.regexp_count("body", F.lit("[.!?]+"))),
-        "x_boilerplate": text_length_of("lower", vocab.BOILERPLATE),
+        "x_boilerplate": text_length_of("lower", vocab.BOILERPLATE, "kinds"),
         "x_sample": sample,
         "x_sample_words": words(sample),
+        "x_sample_kinds": word_kinds(words(sample)),
         "x_price_text": matches(vocab.PLAIN_PRICE_PATTERN),
         "x_prices": F.regexp_count(folded, F.lit(vocab.PRICE_PATTERN)),
         "x_paging_text": matches(vocab.PAGING_PATTERN),
@@ -61,7 +68,8 @@ def counts() -> dict[str, Column]:
         "has_result_count": flag(matches(vocab.RESULT_COUNT_PATTERN)),
         "has_buy_cta": flag(says(vocab.BUY_WORDS)),
         "has_author": flag(says(vocab.AUTHOR_WORDS)),
-        "x_date_text": matches(vocab.PUBLISH_DATE_PATTERN),
+        "x_date_text": mentions("date", "posted", "published", "modified")
+        & matches(vocab.PUBLISH_DATE_PATTERN),
         "has_rating": flag(says(vocab.RATING_WORDS) | matches(vocab.SCORE_PATTERN)),
         "x_toc_text": matches(vocab.TOC_PATTERN, F.left(folded, F.lit(500))),
         "x_spec_text": matches(vocab.SPEC_CLASS, F.left(folded, F.lit(3000))),
@@ -78,11 +86,11 @@ def counts() -> dict[str, Column]:
         "title_signals_listing": flag(has_text("lower(own_title)", vocab.TITLE_LIST_WORDS)),
         "title_signals_detail": flag(has_text("lower(own_title)", vocab.TITLE_DETAIL_WORDS)),
         "x_contact": flag(says(vocab.CONTACT_WORDS)),
-        "x_story": flag(says(vocab.STORY_WORDS) | matches(vocab.EST_PATTERN)),
+        "x_story": flag(says(vocab.STORY_WORDS) | (mentions("est") & matches(vocab.EST_PATTERN))),
         "event_listing_signals": either(
             says(vocab.EVENT_LIST_WORDS),
-            matches(vocab.FIND_EVENTS_PATTERN),
-            matches(vocab.COUNT_EVENTS_PATTERN),
+            mentions("event") & matches(vocab.FIND_EVENTS_PATTERN),
+            mentions("event") & matches(vocab.COUNT_EVENTS_PATTERN),
         ),
         "single_event_signals": count_words("spaced", 
             (vocab.TICKET_WORDS, vocab.VENUE_WORDS, vocab.ACT_WORDS)
@@ -90,7 +98,7 @@ def counts() -> dict[str, Column]:
         "x_job_text": count_words("spaced", 
             (vocab.APPLY_WORDS, vocab.PAY_WORDS, vocab.DUTY_WORDS, vocab.DEADLINE_WORDS)
         ),
-        "x_forum_text": either(says(vocab.REPLY_WORDS), matches(vocab.MEMBER_PATTERN)),
+        "x_forum_text": either(says(vocab.REPLY_WORDS), mentions("joined", "member", "post") & matches(vocab.MEMBER_PATTERN)),
         "cta_signal_count": count_words("spaced", vocab.CTA_FLAGS),
         "legal_signal_count": count_words("spaced", vocab.LEGAL_FLAGS),
         "info_signal_count": count_words("spaced", vocab.INFO_FLAGS),
@@ -100,7 +108,8 @@ def counts() -> dict[str, Column]:
         "x_cart_text": says(vocab.CART_WORDS),
         "x_byline": (says(("by", "written by")) | F.contains(lower, F.lit("author")))
         & matches(vocab.BYLINE_PATTERN, fold(F.col("body"))),
-        "x_year_text": matches(vocab.PUBLISH_YEAR_PATTERN),
+        "x_year_text": mentions("date", "posted", "published")
+        & matches(vocab.PUBLISH_YEAR_PATTERN),
         "job_posting_signal_combined": flag(
             says(vocab.APPLY_JOB_WORDS) & says(vocab.JOB_VOCAB_WORDS)
         ),
@@ -132,8 +141,8 @@ def derived() -> dict[str, Column]:
         "boilerplate_ratio": ratio(
             c("x_boilerplate"), F.greatest(c("char_count"), F.lit(1))
         ),
-        "list_cue_word_hits": count_text("x_sample", vocab.LIST_CUES),
-        "detail_cue_word_hits": count_text("x_sample", vocab.DETAIL_CUES),
+        "list_cue_word_hits": count_text("x_sample", vocab.LIST_CUES, "x_sample_kinds"),
+        "detail_cue_word_hits": count_text("x_sample", vocab.DETAIL_CUES, "x_sample_kinds"),
         "x_numbers": number_words(c("x_sample_words")),
         "price_mention_count": F.least(c("x_prices"), F.lit(20)),
         "has_price": flag(c("x_prices") > 0),

@@ -29,7 +29,7 @@ from siftpage.operators.rules import blocked_page, pre_classify, rule_distributi
 from siftpage.plans.classify import features_and_verdict
 from siftpage.session import checkpoint_dir, configure
 from siftpage.sources.decorated import decorated_pages
-from siftpage.sources.tables import pages, table
+from siftpage.sources.tables import pages, spread, table
 from siftpage.streaming.pickup import classify_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,7 +246,7 @@ for _name, _columns in PILLARS.items():
 @register
 def document_text_features(spark, folder):
     configure(spark)
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return text_features(docs, "doc_id", "text")
 
 

@@ -19,11 +19,11 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     """
     configure(spark)
     scan = table(spark, folder, "pages").select("page_id", "url", "html")
-    return spread(scan)
+    return spread(scan, "page_id")
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, key: str) -> DataFrame:
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() < cores:
-        return scan.repartition(cores, "page_id")
+        return scan.repartition(cores, key)
     return scan
