@@ -42,12 +42,19 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def fold(text: Column) -> Column:
-    plain = F.translate(text, "\t\x0b\x0c\r\x1c\x1d\x1e\x1f", " " * 8)
-    wide = F.translate(plain, BLANKS.replace("\n", ""), " " * (len(BLANKS) - 1))
-    wide = F.regexp_replace(wide, r"[\p{Nd}&&[^\x00-\x7F]]", "7")
+def flat(text: Column) -> Column:
+    """Every blank but the newline as a plain space; the length stays."""
+    return F.translate(text, BLANKS.replace("\n", ""), " " * (len(BLANKS) - 1))
+
+
+def fold_flat(text: Column) -> Column:
+    wide = F.regexp_replace(text, r"[\p{Nd}&&[^\x00-\x7F]]", "7")
     wide = F.regexp_replace(wide, r"[\p{L}\p{N}&&[^\x00-\x7F]]", "_")
-    return F.when(is_ascii(text), plain).otherwise(wide)
+    return F.when(is_ascii(text), text).otherwise(wide)
+
+
+def fold(text: Column) -> Column:
+    return fold_flat(flat(text))
 
 
 def spaced(folded: Column) -> Column:
@@ -122,7 +129,11 @@ def text_length_of(column: str, parts: Iterable[str], kinds: str) -> Column:
 
 def words(text: Column) -> Column:
     """Blank-separated words, no empty ones."""
-    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
+    return flat_words(flat(text))
+
+
+def flat_words(text: Column) -> Column:
+    return F.array_remove(F.split(F.translate(text, "\n", " "), " "), "")
 
 
 def distinct_letter_words(word_list: Column) -> Column:

@@ -268,16 +268,16 @@ WORD_LISTS = (
 
 # ---- patterns over the folded text --------------------------------------------------------
 PAGING_PATTERN = (
-    r"page\s*\d|\d\s*of\s*\d|next\s*page|previous\s*page|load\s*more|show\s*more|view\s*all|"
-    r"see\s*all|\bpage\b"
+    r"page\s*\d|next\s*page|previous\s*page|load\s*more|show\s*more|view\s*all|see\s*all|\bpage\b"
 )
+PAGE_OF_PATTERN = r"\d\s*of\s*\d"
 RESULT_COUNT_PATTERN = (
     r"\b\d[\d,]*\s*(results?|listings?|items?|products?|jobs?|properties|found|matches)\b"
 )
 PRICE_PATTERN = (
-    r"(\$|€|£|¥|₹|usd|eur|gbp)\s*[\d,]+\.?\d*|[\d,]+\.?\d*\s*(\$|€|£|¥|₹)"
+    r"(?:[$€£¥₹]|usd|eur|gbp)\s*[\d,]+\.?\d*|[\d,]+\.?\d*\s*[$€£¥₹]"
 )
-PLAIN_PRICE_PATTERN = r"(\$|€|£|¥|₹)\s*[\d,]|[\d,]\s*(\$|€|£|¥|₹)"
+PLAIN_PRICE_PATTERN = r"[$€£¥₹]\s*[\d,]|[\d,]\s*[$€£¥₹]"
 PUBLISH_DATE_PATTERN = (
     r"\b(published|posted|updated|last\s+modified|date)\b.*"
     r"(\d{1,2}[/-]\d{1,2}[/-]\d{2}|\w \d{1,2},? \d{4})"
@@ -334,7 +334,7 @@ RULE_RESULT_PATTERN = (
     r"properties?\s+found)\b"
 )
 RULE_PRICE_PATTERN = (
-    r"(\$|€|£|¥|₹|usd|eur|gbp)\s*[\d,]|[\d,]\s*(\$|€|£|¥|₹)|\bprice[:\s]"
+    r"(?:[$€£¥₹]|usd|eur|gbp)\s*[\d,]|[\d,]\s*[$€£¥₹]|\bprice[:\s]"
 )
 RULE_RATING_PATTERN = (
     r"\b(\d+(\.\d+)?)\s*(out\s+of|/)\s*5\b|\b\d+\s*(reviews?|ratings?|stars?)\b|"

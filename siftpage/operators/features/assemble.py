@@ -10,7 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftpage.functions.reuse import built_once
-from siftpage.functions.text import fold, seen_words, spaced, word_kinds, words
+from siftpage.functions.text import (
+    flat,
+    flat_words,
+    fold,
+    fold_flat,
+    seen_words,
+    spaced,
+    word_kinds,
+)
 from siftpage.functions.url import url_features, url_parts
 from siftpage.operators.features import composite, markup, wording
 from siftpage.operators.html import page_title, parse
@@ -77,7 +85,8 @@ def with_text_views(df: DataFrame) -> DataFrame:
     """Adds lower, folded, spaced, their words and what is seen of the vocabulary, for the text column ``body``, one projection each."""
     return (
         df.withColumn("lower", F.lower("body"))
-        .withColumns({"folded": fold(F.col("lower")), "words": words(F.col("lower"))})
+        .withColumn("flat", flat(F.col("lower")))
+        .withColumns({"folded": fold_flat(F.col("flat")), "words": flat_words(F.col("flat"))})
         .withColumns({"spaced": spaced(F.col("folded")), "kinds": word_kinds(F.col("words"))})
         .withColumn("spaced_seen", seen_words(F.col("spaced")))
     )
@@ -109,7 +118,9 @@ def prepare(pages: DataFrame, jsonld: bool = False, stored_title: str | None = N
             "netloc": F.lower("parts.netloc"),
         }
     )
-    counted = base.withColumns(markup.counts()).drop("tags", "texts", "joined", "classes")
+    counted = base.withColumns(markup.counts()).drop(
+        "tags", "tag_line", "texts", "joined", "classes"
+    )
     viewed = (
         with_text_views(counted)
         .withColumn("x_footer_spaced", spaced(fold(F.col("x_footer_text"))))

@@ -52,11 +52,14 @@ def subsets() -> dict[str, Column]:
         "images": F.transform(nodes_of("img"), lambda e: e["attrs"]),
         "nav": first_of("nav"),
         "tags": F.col("nodes.tag"),
+        "tag_line": F.concat(F.lit(" "), F.array_join("nodes.tag", "  "), F.lit(" ")),
     }
 
 
 def tag_count(tag: str) -> Column:
-    return F.size(F.filter("tags", lambda t: t == tag))
+    """Elements of one kind, counted in the line of all tag names: some 35 counts without a lambda."""
+    gone = f"length(tag_line) - length(replace(tag_line, ' {tag} ', ''))"
+    return F.expr(f"int(({gone}) / {len(tag) + 2})")
 
 
 def any_class(pattern: str) -> Column:

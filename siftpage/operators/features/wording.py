@@ -62,7 +62,8 @@ def counts() -> dict[str, Column]:
         "x_sample_kinds": word_kinds(words(sample)),
         "x_price_text": matches(vocab.PLAIN_PRICE_PATTERN),
         "x_prices": F.regexp_count(folded, F.lit(vocab.PRICE_PATTERN)),
-        "x_paging_text": matches(vocab.PAGING_PATTERN),
+        "x_paging_text": (mentions("page", "more", "all") & matches(vocab.PAGING_PATTERN))
+        | matches(vocab.PAGE_OF_PATTERN),
         "x_filter_text": says(("filter", "refine"))
         | (says(("sort by",)) & F.contains(lower, F.lit("sort by"))),
         "has_result_count": flag(matches(vocab.RESULT_COUNT_PATTERN)),
