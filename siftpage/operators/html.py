@@ -82,7 +82,7 @@ def attribute_maps(tags: Column) -> Column:
         unique = F.size(F.array_distinct(names)) == F.size(names)
         return F.map_from_entries(F.when(unique, entries).otherwise(first))
 
-    bare = F.transform(tags, lambda tag: F.regexp_replace(tag, r"^<[^\s/>]+|/?>$", ""))
+    bare = F.transform(tags, lambda tag: F.regexp_replace(tag, r"^<[^\s/>]+|>$", ""))
     return F.transform(F.transform(bare, pairs), to_map)
 
 

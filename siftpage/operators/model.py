@@ -170,7 +170,9 @@ def fit(
             estimator=learner, estimatorParamMaps=grid, evaluator=MacroF1(),
             foldCol="fold", numFolds=FOLDS, parallelism=parallelism, seed=SEED,
         )
-        best = search.fit(data).bestModel
+        # Test rows have no fold. They are filtered out, but the fold check may run before the filter.
+        folded = data.withColumn("fold", F.coalesce("fold", F.lit(0)))
+        best = search.fit(folded).bestModel
     else:
         best = learner.fit(data)
     return PipelineModel(stages=[*prepared.stages, best])

@@ -55,7 +55,7 @@ def raw_pages(spark: SparkSession, root: str) -> DataFrame:
     return files.select(
         F.element_at(parts, -2).alias("key"),
         F.element_at(parts, -3).alias("label"),
-        F.expr("decode(content, 'UTF-8')").alias("html"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("html"),
     )
 
 
