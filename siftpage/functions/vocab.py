@@ -293,7 +293,7 @@ FIND_EVENTS_PATTERN = r"\b(explore|find|discover)\b.*\bevents?\b"
 COUNT_EVENTS_PATTERN = r"\b\d+\s+events?\b"
 MEMBER_PATTERN = r"\b(joined|member\s+since|posts?[:\s]\d+)\b"
 EST_PATTERN = r"\best\.\b"
-BYLINE_PATTERN = r"\b(by\s+[A-Z][a-z]+|author[:\s]|written\s+by)\b"
+BYLINE_PATTERN = r"\b(by\s+[A-Z][a-z]+|author[:\s]|written\s+by)\b"  # case matters: original text
 YEAR_PATTERN = r"\b(19|20)\d{2}\b"
 WORK_MODE_PATTERN = r"\b(full[- ]time|part[- ]time|remote|hybrid|on[- ]site)\b"
 JOB_COUNT_PATTERN = r"\b\d[\d,]*\s*(jobs?|positions?|openings?|roles?|vacancies)\b"

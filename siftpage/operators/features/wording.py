@@ -16,6 +16,8 @@ from siftpage.functions.text import (
     count_text,
     count_words,
     distinct_letter_words,
+    flat,
+    flat_words,
     fold,
     has_text,
     has_word,
@@ -51,6 +53,12 @@ def counts() -> dict[str, Column]:
     """First stage: plain measures and flags of the text."""
     lower, folded = F.col("lower"), F.col("folded")
     sample = F.lower(F.concat("title", F.lit(" "), F.left("body", F.lit(vocab.TEXT_SAMPLE))))
+    # The flattened text serves the sample too, unless lower-casing moved its characters.
+    flat_sample = F.when(
+        F.length("lower") == F.length("body"),
+        F.concat(flat(F.lower("title")), F.lit(" "), F.left("flat", F.lit(vocab.TEXT_SAMPLE))),
+    ).otherwise(flat(sample))
+    sample_words = flat_words(flat_sample)
     return {
         "word_count": F.size("words"),
         "char_count": F.length("body"),
@@ -58,8 +66,8 @@ def counts() -> dict[str, Column]:
         "sentence_count": F.greatest(F.lit(1), F.regexp_count("body", F.lit("[.!?]+"))),
         "x_boilerplate": text_length_of("lower", vocab.BOILERPLATE, "kinds"),
         "x_sample": sample,
-        "x_sample_words": words(sample),
-        "x_sample_kinds": word_kinds(words(sample)),
+        "x_sample_words": sample_words,
+        "x_sample_kinds": word_kinds(sample_words),
         "x_price_text": matches(vocab.PLAIN_PRICE_PATTERN),
         "x_prices": F.regexp_count(folded, F.lit(vocab.PRICE_PATTERN)),
         "x_paging_text": (mentions("page", "more", "all") & matches(vocab.PAGING_PATTERN))
@@ -107,7 +115,8 @@ def counts() -> dict[str, Column]:
         "has_pricing_section": flag(says(vocab.PRICING_WORDS)),
         "has_testimonials": flag(says(vocab.TESTIMONIAL_WORDS)),
         "x_cart_text": says(vocab.CART_WORDS),
-        "x_byline": (says(("by", "written by")) | F.contains(lower, F.lit("author")))
+        "x_byline": (says(("by", "written by")) | mentions("author"))
+        & F.rlike("body", F.lit("author|[bB]y[^a-zA-Z0-9_]+[A-Z]|written"))
         & matches(vocab.BYLINE_PATTERN, fold(F.col("body"))),
         "x_year_text": mentions("date", "posted", "published")
         & matches(vocab.PUBLISH_YEAR_PATTERN),
