@@ -735,4 +735,16 @@ SELECT 'stale', count(*) FROM led JOIN st USING (url)
   WHERE NOT (scrape_status = 'success' AND extract_status = 'success') AND label IS NOT NULL
 """
 )
+SQL["evaluation_samples"] = ledger(
+    """
+, st AS (SELECT page_id, 'https://u' || page_id || '.example.com/p/' AS url FROM pages),
+s AS (
+  SELECT led.url, key, label AS true_label, page_id FROM led JOIN st USING (url)
+  WHERE scrape_status = 'success' AND extract_status = 'success' AND label IS NOT NULL)
+SELECT url, key, true_label, page_id
+FROM (SELECT *, row_number() OVER (PARTITION BY true_label ORDER BY md5(key || ':42'), key) AS r,
+        round_even(count(*) OVER (PARTITION BY true_label) * 0.2::DOUBLE, 0) AS cut FROM s)
+WHERE r <= cut
+"""
+)
 SQL["stream_classify"] = rules_query("SELECT page_id, label, method FROM verdicts", decorated=False)

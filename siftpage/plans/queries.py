@@ -757,6 +757,15 @@ def training_rows(spark, folder):
     return ready.unionByName(stale.select(F.lit("stale").alias("label"), "n"))
 
 
+@register
+def evaluation_samples(spark, folder):
+    """Samples with page and features present, cut down to the held-out part of the split."""
+    ledger, p = _page_ledger(spark, folder)
+    samples = V.load_samples(ledger, p.select("page_id"), p)
+    parts = M.split(samples.withColumnRenamed("true_label", "label"))
+    return V.held_out(samples, parts).select("url", "key", "true_label", "page_id")
+
+
 def _weak_samples(spark, folder) -> DataFrame:
     """Decorated pages with their features; class from the rule verdict, else from the URL."""
     both = features_and_verdict(decorated_pages(spark, folder))
