@@ -1 +1,10 @@
-"""Operators for preparing training text. Nothing else in the library imports this package."""
+"""Operators for preparing training text. Nothing else in the library imports this package.
+
+Its functions travel to Python workers by value, so that executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from siftpage.llm import chat_format, mixing, quality_rules, url_filters
+from siftpage.llm import chat_format, language_id, mixing, pu_quality, quality_rules, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_language_id": language_id.op2_language_id,
     "op4_chat_formatting": chat_format.op4_chat_formatting,
     "op5_url_filters": url_filters.op5_url_filters,
     "op7_mixing": mixing.op7_mixing,
+    "op10_quality_classifier": pu_quality.op10_quality_classifier,
 }
 
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op4_chat_formatting": chat_format.OP4_SQL,
+    "op5_url_filters": url_filters.OP5_SQL,
 }

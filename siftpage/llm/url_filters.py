@@ -95,7 +95,7 @@ def entries_of(captures: DataFrame) -> DataFrame:
     """A dated list made of the captures' own keys, as the tables hold none.
 
     A key is listed at a quarter and changed at three quarters of the time in which it is seen. Hosts
-    and domains are blocked, paths allowed, where crc32 of the key is divisible by 3, 7 and 5.
+    and domains are blocked, paths allowed, where the key's md5 (first 32 bits) is divisible by 3, 7, 5.
     """
     keys = keys_of(F.col("url"))
     rows = captures.select(
@@ -109,7 +109,7 @@ def entries_of(captures: DataFrame) -> DataFrame:
         ).alias("e"),
     ).select("fetched_at", "e.*")
     seen = (
-        rows.filter("key IS NOT NULL AND crc32(key) % by = 0")
+        rows.filter("key IS NOT NULL AND CAST(conv(substr(md5(key), 1, 8), 16, 10) AS BIGINT) % by = 0")
         .groupBy("key", "status")
         .agg(F.unix_seconds(F.min("fetched_at")).alias("a"), F.unix_seconds(F.max("fetched_at")).alias("b"))
     )
@@ -130,3 +130,28 @@ def op5_url_filters(spark, folder: str) -> DataFrame:
         F.unix_seconds("listed_since").alias("listed"),
     )
 
+
+
+OP5_SQL = r"""
+WITH c AS (
+  SELECT row_number() OVER () AS r, page_id, url, 1704067200 + page_id * 60 AS fetched,
+         lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host,
+         nullif(regexp_extract(url,
+           '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?(/[^/?#]+)', 2), '') AS segment
+  FROM pages
+), k AS (
+  SELECT r, fetched, 1 AS level, host || segment AS key, 5 AS part, 'allow' AS status FROM c
+  UNION ALL SELECT r, fetched, 2, host, 3, 'block' FROM c
+  UNION ALL SELECT r, fetched, 3, nullif(regexp_extract(host, '([^.]+[.][^.]+)$', 1), ''), 7, 'block' FROM c
+), seen AS (
+  SELECT key, status, min(fetched) AS a, max(fetched) AS b FROM k
+  WHERE key IS NOT NULL AND ('0x' || substr(md5(key), 1, 8))::BIGINT % part = 0 GROUP BY key, status
+), iv AS (
+  SELECT key, status, a + (b - a) // 4 AS since, b - (b - a) // 4 AS until FROM seen
+), m AS (
+  SELECT k.r, arg_min(iv.key, level) AS key, arg_min(iv.status, level) AS status, arg_min(iv.since, level) AS since
+  FROM k JOIN iv ON k.key = iv.key AND fetched >= since AND (fetched < until OR since = until) GROUP BY k.r
+)
+SELECT page_id, url, fetched, coalesce(status = 'block', false) AS blocked, key AS matched_key, since AS listed
+FROM c LEFT JOIN m USING (r)
+"""
