@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from siftpage.llm import bpe_tree, chat_format, language_id, mixing, pu_quality, quality_rules, simhash_dedup, url_filters
+from siftpage.llm import (
+    bpe_tree,
+    chat_format,
+    kneser_ney,
+    language_id,
+    mixing,
+    posting_lists,
+    pu_quality,
+    quality_rules,
+    simhash_dedup,
+    url_filters,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_language_id": language_id.op2_language_id,
+    "op3_lm_scoring": kneser_ney.op3_lm_scoring,
     "op4_chat_formatting": chat_format.op4_chat_formatting,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_bpe_encoding": bpe_tree.op8_bpe_encoding,
+    "op9_nearest_neighbours": posting_lists.op9_nearest_neighbours,
     "op10_quality_classifier": pu_quality.op10_quality_classifier,
 }
 
