@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftpage.llm.common import WORD, table
+from siftpage.llm.common import WORD, table, written
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Rows of one slice of a running sum.
@@ -96,9 +96,9 @@ def plan(
 ) -> DataFrame:
     """One row for each document: `carry`, source, size, source_size, target and taken.
 
-    docs: doc_id, source, size and what else `carry` names.
+    docs: doc_id, source, size and what else `carry` names; read once, as the narrow rows are written.
     """
-    base = docs.select(*dict.fromkeys([*carry, "doc_id", "source", "size"]))
+    base = written(docs.select(*dict.fromkeys([*carry, "doc_id", "source", "size"])), "sizes")
     sources = base.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("source_rows"), F.max("size").alias("largest")
     )
