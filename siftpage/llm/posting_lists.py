@@ -192,27 +192,16 @@ def best_of(queries: pd.DataFrame, members: pd.DataFrame, top: int) -> pd.DataFr
     return pd.DataFrame(out, columns=["class", "vec_id", "score"])
 
 
-def nearest(vectors: DataFrame, is_query, top: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the `top` nearest found of each row that is a query."""
-    spark = vectors.sparkSession
-    rows = usable(vectors)
-    distinct = written(classes(rows, top), "classes")
-    model = fit(distinct)
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if model is None:
-        return empty
-    asked = rows.filter(is_query).select("vec_id", F.xxhash64("v").alias("class"), "v")
-    wanted = asked.select("class", "v").distinct()
-    members = filed(distinct, model, CLOSURE, REPLICAS, "class bigint, v array<double>, ids array<bigint>")
-    queries = filed(wanted, model, REACH, LISTS, "class bigint, v array<double>")
-    members, queries = written(members, "lists"), written(queries, "asked")
+def compared(queries: DataFrame, members: DataFrame, top: int) -> DataFrame:
+    """class, vec_id, score: the best of each query class (list, class, v) among the members of its lists."""
     m, q = split(members, "class", LIST_ROWS, "part"), split(queries, "class", QUERY_ROWS, "block")
     # a list's parts meet its blocks, each pair in one task; both numbers are 1 for all but hot lists
     sizes = m.select("list", "parts").distinct().join(q.select("list", "blocks").distinct(), "list")
-    m = m.drop("parts").join(sizes.select("list", "blocks"), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    q = q.drop("blocks").join(sizes.select("list", "parts"), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks, parts = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("blocks", "parts"))
+    m = m.drop("parts").join(sizes.select("list", "blocks"), "list").withColumn("block", blocks)
+    q = q.drop("blocks").join(sizes.select("list", "parts"), "list").withColumn("part", parts)
     key = ["list", "part", "block"]
-    found = (
+    return (
         q.select(*key, "class", "v")
         .groupBy(*key)
         .cogroup(m.select(*key, "v", "ids").groupBy(*key))
@@ -223,6 +212,31 @@ def nearest(vectors: DataFrame, is_query, top: int = 5) -> DataFrame:
         .groupBy("class", "vec_id")
         .agg(F.max("score").alias("score"))
     )
+
+
+def nearest(vectors: DataFrame, is_query, top: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score: the `top` nearest found of each row that is a query."""
+    spark = vectors.sparkSession
+    rows = usable(vectors)
+    distinct = written(classes(rows, top), "classes")
+    model = fit(distinct)
+    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    if model is None:
+        return empty
+    asked = rows.filter(is_query).select("vec_id", F.xxhash64("v").alias("class"), "v")
+    wanted = asked.select("class", "v").distinct()
+    members = filed(distinct, model, CLOSURE, REPLICAS, "class bigint, v array<double>, ids array<bigint>")
+    queries = filed(wanted, model, REACH, LISTS, "class bigint, v array<double>")
+    members, queries = written(members, "lists"), written(queries, "asked")
+    found = compared(queries, members, top)
+    # a query whose lists hold fewer than it must return is compared with all lists
+    total = distinct.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    found = written(found, "found")
+    enough = found.groupBy("class").count().filter(F.col("count") >= min(top + 1, total))
+    short = wanted.join(enough, "class", "left_anti")
+    if not short.isEmpty():
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(model[0]) - 1).cast("bigint")))
+        found = found.join(enough, "class", "left_semi").unionByName(compared(short.withColumn("list", every), members, top))
     order = Window.partitionBy("class").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= top + 1)
     lists = best.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
