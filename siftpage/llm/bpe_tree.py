@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftpage.llm.common import table
+from siftpage.llm.common import give_back, table
 
 LEAF = 256
 #: Tokens on each side of a join in the first window.
 WINDOW = 4
 #: Different pieces whose encodings a worker keeps, and characters of text in one slice of work.
-CACHED, SLICE = 150_000, 1_500_000
+CACHED, SLICE = 100_000, 1_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 Token = tuple[int, int, int]
@@ -192,6 +192,8 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, decoded:
                 columns = [part.column(f.name) for f in own] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 columns += [pa.array(names, pa.string())] * decoded
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in own + new])
+        tokenizer.pieces.clear()
+        give_back()
 
     return docs.select(*(f.name for f in own)).mapInArrow(each, T.StructType(own + new))
 

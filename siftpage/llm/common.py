@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +78,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parts_for(rows: int, per_part: int) -> int:
-    """Partitions so that each holds about `per_part` rows; grows with the data."""
-    return max(1, -(-rows // per_part))
+def slices(texts: pa.Array, size: int = 1_000_000) -> Iterator[list[str]]:
+    """The texts of a batch (null: empty) in lists of about `size` bytes, one text at least."""
+    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1
+    for rows in np.split(np.arange(len(lengths)), cuts) if len(lengths) else []:
+        yield [t or "" for t in texts.slice(int(rows[0]), len(rows)).to_pylist()]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker lives on after its task and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

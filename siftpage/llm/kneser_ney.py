@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftpage.llm.common import fold_of, mounted, scratch, table, written
+from siftpage.llm.common import fold_of, give_back, mounted, scratch, table, written
 
 #: Bytes of training text for each bucket, bytes of text hashed at once, counts held before a merge.
 BUCKET_BYTES, SLICE, HELD = 24_000_000, 4_000_000, 3_000_000
@@ -269,6 +269,7 @@ def train(docs: DataFrame) -> Model:
             held.add(tokens)
         keys, counts = held.merge()
         yield from dealt(keys, counts, hash_bucket(keys, buckets))
+        give_back()
 
     # words of more than a part of a bucket's share are told to the driver: a few for each bucket
     share = size / 6 / buckets / 4
@@ -320,6 +321,7 @@ def train(docs: DataFrame) -> Model:
             held.add(contexts_of(numbers, counts, words) << np.uint64(32) | numbers)
         keys, counts = held.merge()
         yield from dealt(keys, counts, np.searchsorted(edges, keys, "right"))
+        give_back()
 
     def keep_pairs(group: pa.Table) -> pa.Table:
         keys, counts = merged(group)
@@ -442,6 +444,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             values = [counts.astype(np.int64), add(times > 0).astype(np.int64), add(base), add(own)]
             names = [*keep, "n_tokens", "n_known", "base_score", "score"]
             yield pa.RecordBatch.from_arrays([rows.column(n) for n in keep] + [pa.array(v) for v in values], names)
+        give_back()
 
     return docs.select(*keep, "text").mapInArrow(each, f"{schema}, {RESULT}")
 

@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpage.llm.common import fold_of, table
+from siftpage.llm.common import fold_of, give_back, table
 
 LENGTHS, WIDTH = (1, 2, 3), 1 << 15
 #: Bounds of the fit: expected sample rows for each language, landmarks over all languages.
@@ -145,20 +146,19 @@ def train(docs: DataFrame, rows: int = FIT_ROWS) -> Model | None:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """All rows of docs with `lang_pred` and `score`."""
 
-    @F.pandas_udf("lang string, score double")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         landmarks = unpacked(model.bits)
         for texts in batches:
-            values = texts.tolist()
-            names, scores = ["und"] * len(values), np.zeros(len(values))
-            some = [i for i, t in enumerate(values) if t is not None]
-            for at in range(0, len(some), CHUNK):
-                part = some[at : at + CHUNK]
-                which, score = model.predict([values[i] for i in part], landmarks)
-                for i, k in zip(part, which, strict=True):
-                    names[i] = model.langs[k]
-                scores[part] = score
-            yield pd.DataFrame({"lang": names, "score": scores})
+            names, scores = [], []
+            for at in range(0, len(texts), CHUNK):
+                which, score = model.predict([t or "" for t in texts.slice(at, CHUNK).to_pylist()], landmarks)
+                names += [model.langs[k] for k in which]
+                scores += score.tolist()
+            yield pa.StructArray.from_arrays(
+                [pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"]
+            )
+        give_back()
 
     und = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
     readable = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))

@@ -23,12 +23,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpage.llm.common import fold_of, table
+from siftpage.llm.common import fold_of, give_back, slices, table
 
 #: Bound of the expected rows of each of the two samples that are fitted on.
 FIT_ROWS = 6_000
@@ -154,11 +154,14 @@ def sampled_features(docs: DataFrame, rows: int, bound: int) -> np.ndarray:
     limit = min(1.0, bound / max(1, rows))
     chosen = docs.filter(F.xxhash64(F.lit(3), "doc_id") / F.lit(2.0**64) + 0.5 <= limit).select("text")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"f": list(features(b["text"].fillna("").tolist()))})
+            for texts in slices(b.column("text")):
+                rows = pa.array(list(features(texts)), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([rows], ["f"])
+        give_back()
 
-    found = chosen.mapInPandas(each, "f array<float>").toPandas()["f"].tolist()
+    found = chosen.mapInArrow(each, "f array<float>").toPandas()["f"].tolist()
     return np.array(found, np.float64).reshape(-1, FEATURES)
 
 
@@ -187,13 +190,12 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model |
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """All rows of docs with `score` and `predicted`."""
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            if model is None:
-                yield pd.Series(np.full(len(texts), 0.5))
-            else:
-                yield pd.Series(model.scores(features(texts.fillna("").tolist())).astype("float64"))
+            found = [np.full(len(t), 0.5) if model is None else model.scores(features(t)) for t in slices(texts)]
+            yield pa.array(np.concatenate(found) if found else [], pa.float64())
+        give_back()
 
     out = docs.withColumn("score", scored(F.col("text")))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

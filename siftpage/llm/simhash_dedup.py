@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpage.llm.common import table, written
+from siftpage.llm.common import give_back, table, written
 from siftpage.llm.components import components
 
 SHINGLE, BITS = 4, 4
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("content"), pa.array(found.view(np.int64))], ["doc_id", "content", "fp"]
             )
+        give_back()
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("content"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -187,6 +188,7 @@ def linked(prints: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame
                 yield found(marks[:last], values[:last])
                 marks, values = marks[last:], values[last:]
         yield found(marks, values)
+        give_back()
 
     return sorted_.mapInArrow(each, "a bigint, b bigint")
 
