@@ -60,19 +60,25 @@ def attr(name: str, raw: str = "raw") -> str:
 
 
 TOKENS = rf"""
-code_free AS (
-  SELECT page_id, url, html,
-    regexp_replace(regexp_replace(regexp_replace(html,
-      '(?is)<script\b[^>]*>.*?</script\s*>', '<!>', 'g'),
-      '(?is)<style\b[^>]*>.*?</style\s*>', '<!>', 'g'),
-      '(?is)<noscript\b[^>]*>.*?</noscript\s*>', '<!>', 'g') AS c
-  FROM deco),
 split_up AS (
-  SELECT page_id, regexp_extract_all(c,
-    '(?is)<!--.*?-->|</?[a-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>|<[!?/][^>]*>|[^<]+') AS l
-  FROM code_free),
+  SELECT page_id, regexp_extract_all(html,
+    '(?is)<!--.*?-->'
+    || '|<script\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>.*?</script\s*>'
+    || '|<style\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>.*?</style\s*>'
+    || '|<noscript\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>.*?</noscript\s*>'
+    || '|</?[a-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>|<[!?/][^>]*>|[^<]+') AS found
+  FROM deco),
+code_free AS (
+  SELECT deco.page_id, url, html, found,
+    length(html) - coalesce(list_sum(list_transform(found, lambda x:
+      CASE WHEN regexp_matches(x, '(?i)^<(script|style|noscript)\b') THEN length(x) ELSE 0 END)), 0) AS clean_len
+  FROM deco JOIN split_up USING (page_id)),
 raw_tok AS (
-  SELECT page_id, unnest(l) AS raw, unnest(range(1, len(l) + 1)) AS pos FROM split_up),
+  SELECT page_id,
+    unnest(list_transform(found, lambda x:
+      CASE WHEN regexp_matches(x, '(?i)^<(script|style|noscript)\b') THEN '<!>' ELSE x END)) AS raw,
+    unnest(range(1, len(found) + 1)) AS pos
+  FROM split_up),
 tok AS MATERIALIZED (
   SELECT page_id, pos::INT AS pos, raw,
     lower(regexp_extract(raw, '^<(/?[a-zA-Z][^\s/>]*)', 1)) AS code,
@@ -181,8 +187,8 @@ upart AS MATERIALIZED (
       regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query
     FROM deco)),
 uf AS MATERIALIZED (
-  SELECT page_id, url, least(3, len(parts))::INT AS url_path_depth,
-    round_even(least(3, len(parts)) / 3.0, 4) AS url_depth_normalized,
+  SELECT page_id, url, len(parts)::INT AS url_path_depth,
+    round_even(len(parts) / 3.0, 4) AS url_depth_normalized,
     (query <> '')::INT AS url_has_any_param, (query <> '')::INT AS url_has_query_params,
     len(params)::INT AS url_query_param_count,
     regexp_matches(path, '/[0-9]{3,}')::INT AS url_has_numeric_id,

@@ -84,7 +84,7 @@ SQL["page_text_table"] = page_query(
 )
 SQL["blocked_pages"] = page_query(
     r"""
-SELECT page_id, regexp_matches(lower(html[1:3000] || regexp_extract(html, '<title>([^<]*)</title>', 1)),
+SELECT page_id, regexp_matches(lower(html || regexp_extract(html, '<title>([^<]*)</title>', 1)),
   'cf-browser-verification|challenge-form|cf_clearance|ray id|just a moment|ddos-guard|please verify you are a human|access denied|403 forbidden|captcha|enable javascript|checking your browser|security check|bot detection|are you a robot')::INT AS blocked
 FROM deco
 """,
@@ -92,7 +92,7 @@ FROM deco
 )
 LINKS = f"""
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY eid) - 1 AS pos,
-  spaced[1:200] AS text, href[1:500] AS href,
+  spaced AS text, href,
   NOT regexp_matches(href, '^https?://')
     OR regexp_extract(href, '^https?://([^/?#]*)', 1) = raw_netloc AS is_internal,
   coalesce(rel, '') AS rel
@@ -165,7 +165,7 @@ SELECT d.page_id, b.title, u.raw_netloc AS domain, u.raw_path AS path, u.raw_que
   (SELECT count(*) FROM node x WHERE x.page_id = d.page_id AND tag = 'form') AS forms,
   len(regexp_extract_all(d.html, '<script')) AS scripts,
   {", ".join(f"(SELECT count(*) FROM ({HEADINGS}) x WHERE x.page_id = d.page_id AND level = '{h}') AS {h}" for h in ("h1", "h2", "h3", "h4"))},
-  length(regexp_replace(b.body, '\\s+', ' ', 'g')[1:50000]) AS body_text_chars,
+  length(regexp_replace(b.body, '\\s+', ' ', 'g')) AS body_text_chars,
   len(list_filter(regexp_split_to_array(b.body, '\\s+'), lambda x: x <> '')) AS body_text_words,
   contains(d.html, 'rel="next"') AS has_next, contains(d.html, 'rel="prev"') AS has_prev
 FROM deco d JOIN body b USING (page_id) JOIN upart u USING (page_id)
@@ -246,6 +246,38 @@ WHERE coalesce(x.value, 0) <> coalesce(y.value, 0)
 SQL["rule_verdicts"] = rules_query(
     "SELECT page_id, label, confidence, method, reason FROM verdicts"
 )
+SQL["page_predictions"] = rules_query(
+    """
+, b AS (
+  SELECT v.page_id, v.label AS pl, v.confidence AS pc, v.method AS pm, v.reason AS pr, v.label IS NOT NULL AS fired,
+    CASE WHEN total_links > 15 THEN 'list' WHEN word_count >= 100 THEN 'detail' ELSE 'others' END AS ml,
+    [0.49, 0.59, 0.60, 0.69, 0.70, 0.99][word_count % 6 + 1]::DOUBLE AS mc, content_available = 1 AS full_page,
+    v.page_id % 31 = 5 AS blank
+  FROM verdicts v JOIN feat USING (page_id)),
+s AS (
+  SELECT *, CASE WHEN pc >= 0.9 THEN 0.7 ELSE 0.6 END AS bar FROM b),
+t AS (
+  SELECT *, CASE WHEN NOT fired THEN 'ml_only' WHEN pc >= 0.95 THEN 'absolute_rule' WHEN pl = ml THEN 'agreement'
+    WHEN mc >= bar THEN 'ml_wins' ELSE 'pre_wins' END AS tb,
+    round_even(mc * 100, 0)::INT AS mp, round_even(pc * 100, 0)::INT AS pp, round_even(bar * 100, 0)::INT AS bp FROM s)
+SELECT page_id,
+  CASE WHEN blank THEN 'others' WHEN tb IN ('ml_only', 'ml_wins') THEN ml ELSE pl END AS predicted_label,
+  CASE WHEN blank THEN 0 WHEN tb IN ('ml_only', 'ml_wins') THEN mc ELSE pc END::DOUBLE AS confidence,
+  CASE WHEN blank THEN 'scrape_failed' WHEN tb = 'ml_only' THEN 'ml_model'
+    WHEN tb = 'ml_wins' THEN CASE WHEN pc >= 0.9 THEN 'ml_override_pre' ELSE 'ml_override_soft_rule' END
+    ELSE pm END AS method,
+  CASE WHEN blank THEN 'scraping_failed: unknown' WHEN tb = 'ml_only' THEN ''
+    WHEN tb = 'ml_wins' THEN format('ML({}@{}%) overrode pre({}@{}% via {})', ml, mp, pl, pp, pm)
+    WHEN tb = 'pre_wins' THEN format('pre({}@{}%) held; ML({}@{}%) below threshold({}%)', pl, pp, ml, mp, bp)
+    ELSE pr END AS reason,
+  CASE WHEN NOT blank THEN tb = 'absolute_rule' OR full_page END AS content_available,
+  CASE WHEN NOT blank THEN pl END AS pre_label, CASE WHEN NOT blank THEN pc END AS pre_confidence,
+  CASE WHEN NOT blank AND tb <> 'absolute_rule' THEN ml END AS ml_label,
+  CASE WHEN NOT blank AND tb <> 'absolute_rule' THEN mc END AS ml_confidence,
+  CASE WHEN NOT blank THEN tb END AS tiebreaker
+FROM t
+"""
+)
 SQL["rule_distribution_table"] = rules_query(
     """
 SELECT coalesce(method, 'no_rule') AS method, coalesce(label, '-') AS label, count(*) AS pages
@@ -283,8 +315,8 @@ SELECT page_id AS doc_id, {", ".join(TEXT_ONLY)}, {lg("word_count")} AS log_word
   round_even(word_count / 200.0::DOUBLE, 4) AS reading_time_estimate,
   {ratio("list_cue_word_hits", "detail_cue_word_hits + 1")} AS list_vs_detail_cue_ratio,
   {ratio("detail_cue_word_hits", "list_cue_word_hits + 1")} AS detail_vs_list_cue_ratio,
-  least(x_prices, 20)::INT AS price_mention_count, (x_prices > 0)::INT AS has_price,
-  least(x_years, 50)::INT AS year_mention_count, (x_years >= 5)::INT AS has_many_years,
+  x_prices::INT AS price_mention_count, (x_prices > 0)::INT AS has_price,
+  x_years::INT AS year_mention_count, (x_years >= 5)::INT AS has_many_years,
   (job_listing_vocab >= 2)::INT AS is_job_listing_page
 FROM tf
 """
@@ -454,7 +486,7 @@ FROM led GROUP BY label
 )
 SQL["recent_top10"] = ledger(
     """
-SELECT (url || '?e=' || event_id)[1:55] AS url, coalesce(label, '?') AS predicted_label,
+SELECT (url || '?e=' || event_id) AS url, coalesce(label, '?') AS predicted_label,
   event_id % 100 / 100.0::DOUBLE AS confidence, event_id % 5 = 0 AS fallback_used,
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS predicted_at
 FROM upd ORDER BY ts DESC, url || '?e=' || event_id LIMIT 10
@@ -478,7 +510,7 @@ WHERE scrape_status = 'failed' OR extract_status = 'failed'
 )
 SQL["url_list"] = ledger(
     """
-SELECT url[1:65] AS url, label, scrape_status, extract_status, key[1:20] AS key FROM led
+SELECT url, label, scrape_status, extract_status, key FROM led
 WHERE label = 'list' AND scrape_status = 'success'
 """
 )

@@ -1,29 +1,51 @@
-"""schema.org types in JSON-LD blocks and microdata, as array expressions."""
+"""schema.org types in JSON-LD blocks and microdata.
+
+Walking JSON of any depth needs recursion, so that one step is Python; only pages read with JSON-LD
+take it.
+"""
 
 from __future__ import annotations
 
+import json
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-STRING = r'"((?:[^"\\]|\\.)*)"'
-TYPE_ENTRY = r'"@type"\s*:\s*("(?:[^"\\]|\\.)*"|\[[^\]]*\])'
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def valid_blocks(blocks: Column) -> Column:
     return F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull())
 
 
-def all_types(blocks: Column) -> Column:
-    """Every ``@type`` at any depth, in order of appearance; broken JSON is skipped."""
-
-    def of_block(block: Column) -> Column:
-        entries = F.regexp_extract_all(block, F.lit(TYPE_ENTRY), F.lit(1))
-        return F.flatten(
-            F.transform(entries, lambda e: F.regexp_extract_all(e, F.lit(STRING), F.lit(1)))
-        )
-
-    found = F.flatten(F.transform(valid_blocks(blocks), of_block))
-    return F.filter(found, lambda t: t != "")
+def types_of(text: str) -> list[str]:
+    """Every ``@type`` of one block: an object's own before those inside it; none of broken JSON."""
+    try:
+        todo = [json.loads(text)]
+    except (ValueError, RecursionError):
+        return []
+    found: list[str] = []
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict):
+            kinds = value.get("@type", [])
+            kinds = kinds if isinstance(kinds, list) else [kinds]
+            found += [k for k in kinds if isinstance(k, str) and k]
+            todo += reversed([v for k, v in value.items() if k != "@type"])
+        elif isinstance(value, list):
+            todo += reversed(value)
+    return found
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def all_types(blocks: pa.Array) -> pa.Array:
+    """Every ``@type`` of a page's JSON-LD blocks at any depth, in the order in which a walk meets them."""
+    pages = blocks.to_pylist()
+    return pa.array([[t for b in page or [] for t in types_of(b)] for page in pages], pa.list_(pa.string()))
 
 
 def top_types(blocks: Column) -> Column:

@@ -74,7 +74,7 @@ def url_features(url: Column, parts: Column) -> dict[str, Column]:
     """The 17 URL features. ``parts`` is a column already holding ``url_parts(url)``."""
     path, query = F.lower(parts["path"]), F.lower(parts["query"])
     netloc, pieces, params = F.lower(parts["netloc"]), parts["path_parts"], parts["params"]
-    depth = F.least(F.lit(3), F.size(pieces))
+    depth = F.size(pieces)
     last = F.coalesce(F.try_element_at(pieces, F.lit(-1)), F.lit(""))
     has_query = flag(query != "")
     return {

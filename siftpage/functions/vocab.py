@@ -6,7 +6,6 @@ names ending in _PATTERN are regular expressions over the folded lower-case text
 
 # ---- limits -------------------------------------------------------------------------------
 MIN_TEXT_LENGTH = 100
-TEXT_SAMPLE = 8000
 CLASSES = ("detail", "list", "others")
 
 # ---- cue phrases, tested as substrings ----------------------------------------------------

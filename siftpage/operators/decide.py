@@ -96,21 +96,28 @@ def decide(df: DataFrame, policy: str = "tiebreak") -> DataFrame:
     )
 
 
-def fetch_failures(pages: DataFrame, reason: str = "fetch_reason") -> DataFrame:
-    """Predictions of pages without content: others at 0.0, method ``scrape_failed``."""
-    why = F.coalesce(F.col(reason), F.lit("unknown")) if reason in pages.columns else F.lit("unknown")
-    return pages.filter(no_content()).select(
-        "page_id",
-        "url",
-        F.lit("others").alias("predicted_label"),
-        F.lit(0.0).alias("confidence"),
-        F.lit("scrape_failed").alias("method"),
-        F.concat(F.lit("scraping_failed: "), why).alias("reason"),
+def fetch_failures(decided: DataFrame, blank: str, reason: str = "fetch_reason") -> DataFrame:
+    """Overrides the predictions of pages without content (``blank`` names that flag): others at 0.0,
+    method ``scrape_failed``; what the rules or the model said of them becomes null."""
+    why = F.coalesce(F.col(reason), F.lit("unknown")) if reason in decided.columns else F.lit("unknown")
+    failed = {
+        "predicted_label": F.lit("others"),
+        "confidence": F.lit(0.0),
+        "method": F.lit("scrape_failed"),
+        "reason": F.concat(F.lit("scraping_failed: "), why),
+    }
+    return decided.withColumns(
+        {
+            c: F.when(F.col(blank), failed[c]).otherwise(F.col(c))
+            if c in failed
+            else F.when(~F.col(blank), F.col(c))
+            for c in PREDICTION_COLUMNS
+        }
     )
 
 
 def no_content() -> Column:
-    return F.col("html").isNull() | (F.regexp_replace("html", r"(?U)\s+", "") == "")
+    return F.col("html").isNull() | ~F.rlike("html", F.lit(r"(?U)\S"))
 
 
 def batch_row(status: Column, label: Column) -> Column:
@@ -123,9 +130,13 @@ def batch_row(status: Column, label: Column) -> Column:
 
 
 def skip_done(urls: DataFrame, done: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
-    """URLs whose key has no stored prediction in one of the statuses."""
-    finished = done.filter(F.col("status").isin(*statuses)).select("key").distinct()
-    return urls.join(finished, "key", "left_anti")
+    """URLs that have no stored prediction in one of the statuses.
+
+    By the URL itself where both sides have it: the key is short and two URLs may share one.
+    """
+    on = "url" if "url" in urls.columns and "url" in done.columns else "key"
+    finished = done.filter(F.col("status").isin(*statuses)).select(on).distinct()
+    return urls.join(finished, on, "left_anti")
 
 
 def decision_summary(results: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from siftpage.functions.vocab import CLASSES
 
 
+MODES = ("ml", "pre", "full")
+
+
 def _guarded(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
@@ -48,9 +51,15 @@ def _with_all_classes(counted: DataFrame, classes: tuple[str, ...], group: tuple
 
 
 def class_report(
-    rows: DataFrame, classes: tuple[str, ...] = CLASSES, group: tuple[str, ...] = ()
+    rows: DataFrame,
+    classes: tuple[str, ...] = CLASSES,
+    group: tuple[str, ...] = (),
+    groups: DataFrame | None = None,
 ) -> DataFrame:
-    """Per class: support, predicted, correct, precision, recall, f1; zeros where undefined."""
+    """Per class: support, predicted, correct, precision, recall, f1; zeros where undefined.
+
+    ``groups`` names the groups where they are known, so that the rows need not be read for them.
+    """
     counted = pair_counts(rows, group)
     sides = counted.select(
         *group,
@@ -64,7 +73,9 @@ def class_report(
         (F.col("actual") == F.col("predicted")).alias("hit"),
     )
     actual = F.col("s.is_actual") == 1
-    blank = (counted.select(*group).distinct() if group else rows.sparkSession.range(1)).select(
+    if groups is None:
+        groups = counted.select(*group).distinct() if group else rows.sparkSession.range(1)
+    blank = groups.select(
         *group,
         F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"),
         *[F.lit(0).cast("bigint").alias(x) for x in ("support", "predicted", "correct")],
@@ -123,7 +134,7 @@ def three_verdicts(rows: DataFrame) -> DataFrame:
         F.lit("ml_model").alias("ml_method"),
         rule("label", F.col("ml_label")).alias("pre_label"),
         rule("confidence", F.col("ml_conf")).alias("pre_conf"),
-        F.when(error, F.concat(F.lit("html_error: "), F.left("read_error", F.lit(40))))
+        F.when(error, F.concat(F.lit("html_error: "), F.col("read_error")))
         .when(fired, F.col("verdict.method"))
         .otherwise("no_rule")
         .alias("pre_method"),
@@ -152,15 +163,21 @@ def by_mode(verdicts: DataFrame) -> DataFrame:
 
 
 def compare_modes(verdicts: DataFrame) -> DataFrame:
-    return summary(class_report(by_mode(verdicts), group=("mode",)), ("mode",))
+    return summary(mode_report(verdicts), ("mode",))
+
+
+def mode_report(verdicts: DataFrame) -> DataFrame:
+    """The class report of each mode, from one pass over the verdicts."""
+    modes = verdicts.sparkSession.createDataFrame([(m,) for m in MODES], "mode string")
+    return class_report(by_mode(verdicts), group=("mode",), groups=modes)
 
 
 def class_by_mode(verdicts: DataFrame) -> DataFrame:
     """Per class: f1 in the three modes and the support among all samples."""
-    report = class_report(by_mode(verdicts), group=("mode",))
+    report = mode_report(verdicts)
     picks = [
         F.coalesce(F.max(F.when(F.col("mode") == m, F.col("f1"))), F.lit(0.0)).alias(f"{m}_f1")
-        for m in ("ml", "pre", "full")
+        for m in MODES
     ]
     support = F.max(F.when(F.col("mode") == "ml", F.col("support"))).alias("support")
     return report.groupBy("class").agg(*picks, support)

@@ -92,13 +92,19 @@ def with_text_views(df: DataFrame) -> DataFrame:
     )
 
 
-def prepare(pages: DataFrame, jsonld: bool = False, stored_title: str | None = None) -> DataFrame:
+def prepare(
+    pages: DataFrame,
+    jsonld: bool = False,
+    stored_title: str | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """Parsed pages with text views, URL parts and all first-stage counts.
 
     Features and rules both start here, so a page is parsed once for the two of them.
-    ``stored_title`` names a column with the title of an older snapshot, used when the page has none.
+    ``stored_title`` names a column with the title of an older snapshot, used when the page has none;
+    ``keep`` names further columns of the pages that stay.
     """
-    keep = (stored_title,) if stored_title else ()
+    keep = (*keep, stored_title) if stored_title else keep
     parsed = parse(pages, jsonld, keep)
     own = page_title()
     title = own

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftpage.functions import vocab
-from siftpage.functions.jsonld import all_types, lowered, top_types
+from siftpage.functions.jsonld import lowered, top_types
 from siftpage.functions.numbers import flag, ratio
 from siftpage.functions.reuse import built_once
 from siftpage.functions.text import count_words, has_text, occurrences, words
@@ -43,7 +43,7 @@ def mixed() -> dict[str, Column]:
     c = F.col
     trimmed = F.regexp_replace("path", "^/+|/+$", "")
     flat = lowered(top_types(c("jsonld")))
-    deep = lowered(all_types(c("jsonld")))
+    deep = lowered(c("jsonld_types"))
 
     def known(types: Column, wanted: tuple[str, ...]) -> Column:
         return F.arrays_overlap(types, F.array(*[F.lit(t) for t in wanted]))
@@ -149,7 +149,7 @@ def scores() -> dict[str, Column]:
             & (c("word_count") > 80)
             & (c("repeated_sibling_containers") < 12)
         ),
-        "entity_name_repetition": F.least(c("x_entity"), F.lit(20)),
+        "entity_name_repetition": c("x_entity"),
         "entity_is_repeated": flag(c("x_entity") >= 3),
         "struct_list_score": c("has_repeated_blocks")
         + c("has_pagination")

@@ -39,7 +39,7 @@ def subsets() -> dict[str, Column]:
             lambda e: F.struct(
                 e["src"].alias("src"),
                 attr(e, "href").alias("href"),
-                F.left(F.lower(text_of(e)), F.lit(80)).alias("text"),
+                F.lower(text_of(e)).alias("text"),
             ),
         ),
         "classes": classed,
@@ -88,12 +88,9 @@ def any_link(test) -> Column:
     return flag(F.exists("links", test))
 
 
-def repeated_containers(tags: tuple[str, ...], first: int | None, field: str, least: int) -> Column:
-    """Containers with at least ``least`` children of one kind, among the first ``first`` of them."""
-    found = nodes_of(*tags)
-    if first is not None:
-        found = F.slice(found, 1, first)
-    return F.size(F.filter(found, lambda e: e[field] >= least))
+def repeated_containers(tags: tuple[str, ...], field: str, least: int) -> Column:
+    """Containers with at least ``least`` children of one kind."""
+    return F.size(F.filter(nodes_of(*tags), lambda e: e[field] >= least))
 
 
 def feed_link() -> Column:
@@ -120,7 +117,6 @@ def counts() -> dict[str, Column]:
     depth_sum = F.aggregate(
         in_body, F.lit(0).cast("bigint"), lambda total, e: total + e["depth"].cast("bigint")
     )
-    near = F.filter("nodes", lambda e: (e["depth"] >= 0) & (e["near"] == 1))
     nav_hrefs = F.transform(
         F.filter(
             "anchors",
@@ -153,15 +149,15 @@ def counts() -> dict[str, Column]:
         "x_body": F.size(in_body),
         "x_depth_sum": depth_sum,
         "dom_max_depth": F.coalesce(
-            F.array_max(F.transform(near, lambda e: e["depth"])), F.lit(0)
+            F.array_max(F.transform(in_body, lambda e: e["depth"])), F.lit(0)
         ),
         "x_grid": count_class(vocab.GRID_CLASS),
         "x_rule_grid": count_class(vocab.RULE_GRID_CLASS),
         "x_cards": count_class(vocab.CARD_CLASS),
-        "x_siblings": repeated_containers(vocab.SIBLING_CONTAINERS, 150, "same_kids", 4),
-        "x_repeated": repeated_containers(vocab.SIBLING_CONTAINERS, None, "same_kids", 4),
-        "x_rule_repeated": repeated_containers(vocab.SIBLING_CONTAINERS, 200, "same_kids", 5),
-        "x_article_groups": repeated_containers(("ul", "div", "section"), 100, "article_kids", 4),
+        "x_siblings": repeated_containers(vocab.SIBLING_CONTAINERS, "same_kids", 4),
+        "x_repeated": repeated_containers(vocab.SIBLING_CONTAINERS, "same_kids", 4),
+        "x_rule_repeated": repeated_containers(vocab.SIBLING_CONTAINERS, "same_kids", 5),
+        "x_article_groups": repeated_containers(("ul", "div", "section"), "article_kids", 4),
         "total_links": F.size("anchors"),
         "external_links": F.size(
             F.filter("anchors", lambda a: is_external_link(a["href"], netloc))
@@ -256,7 +252,7 @@ def counts() -> dict[str, Column]:
         "has_rss_feed": feed_link(),
         "x_h1_text": F.coalesce(F.lower(text_of(first_of("h1"))), F.lit("")),
         "x_li_texts": F.filter(
-            F.transform(nodes_of("li"), lambda e: F.left(F.lower(text_of(e)), F.lit(40))),
+            F.transform(nodes_of("li"), lambda e: F.lower(text_of(e))),
             lambda t: t != "",
         ),
         "x_footer_text": F.lower(
@@ -277,8 +273,27 @@ def derived() -> dict[str, Column]:
     links = c("total_links")
     rich = F.size("x_rich")
     rich_sum = F.aggregate("x_rich", F.lit(0).cast("bigint"), lambda s, n: s + n.cast("bigint"))
-    nav_links = F.size(
-        F.filter("anchors", lambda a: F.array_contains(c("x_nav_hrefs"), a["href"]))
+    # each navigation target comes just before the anchors with the same one
+    merged = F.sort_array(
+        F.concat(
+            F.transform(
+                F.array_distinct("x_nav_hrefs"), lambda h: F.struct(h.alias("h"), F.lit(0).alias("k"))
+            ),
+            F.transform("anchors", lambda a: F.struct(a["href"].alias("h"), F.lit(1).alias("k"))),
+        )
+    )
+    nothing = F.struct(F.lit(None).cast("string").alias("h"), F.lit(0).alias("n"))
+    nav_links = F.aggregate(
+        merged,
+        nothing,
+        lambda s, x: F.struct(
+            F.when(x["k"] == 0, x["h"]).otherwise(s["h"]).alias("h"),
+            (
+                s["n"]
+                + F.coalesce((x["k"] == 1) & (x["h"] == s["h"]), F.lit(False)).cast("int")
+            ).alias("n"),
+        ),
+        lambda s: s["n"],
     )
     crumbs = F.size(
         F.filter(
@@ -299,9 +314,9 @@ def derived() -> dict[str, Column]:
             c("x_body") > 0, F.bround(c("x_depth_sum") / c("x_body"), 4)
         ).otherwise(F.lit(0.0)),
         "has_data_table": flag((c("tag_table_count") > 0) & (c("tag_td_count") > 6)),
-        "grid_class_count": F.least(c("x_grid"), F.lit(200)),
+        "grid_class_count": c("x_grid"),
         "has_grid_layout": flag(c("x_grid") >= 3),
-        "sibling_repeat_count": F.least(c("x_siblings"), F.lit(50)),
+        "sibling_repeat_count": c("x_siblings"),
         "log_total_links": log_count(links),
         "internal_links": links - c("external_links"),
         "nav_links": F.greatest(nav_links, F.lit(0)),
@@ -321,7 +336,7 @@ def derived() -> dict[str, Column]:
         ),
         "has_main_content_element": flag(c("tag_main_count") > 0),
         "has_article_element": flag(c("tag_article_count") > 0),
-        "content_block_count": F.least(F.greatest(F.size("x_blocks"), F.lit(0)), F.lit(30)),
+        "content_block_count": F.greatest(F.size("x_blocks"), F.lit(0)),
         "text_concentration_ratio": F.coalesce(ratio(c("x_longest"), chars), F.lit(0.0)),
         "content_density": ratio(c("char_count"), F.greatest(c("clean_len"), F.lit(1))),
         "log_image_count": log_count(c("image_count")),
@@ -331,9 +346,9 @@ def derived() -> dict[str, Column]:
             c("image_count") + c("has_video"), F.greatest(c("x_content_blocks"), F.lit(1))
         ),
         "has_page_param_links": flag(c("page_number_links") >= 2),
-        "repeated_sibling_containers": F.least(c("x_repeated"), F.lit(50)),
+        "repeated_sibling_containers": c("x_repeated"),
         "has_repeated_blocks": flag(c("x_repeated") >= 2),
-        "card_count": F.least(c("x_cards"), F.lit(100)),
+        "card_count": c("x_cards"),
         "has_card_elements": flag(c("x_cards") >= 3),
         "links_per_1k_words": ratio(links * 1000, word_floor),
         "breadcrumb_depth": F.when(c("crumb").isNotNull(), crumbs).otherwise(F.lit(0)),
@@ -346,7 +361,7 @@ def derived() -> dict[str, Column]:
         "robots_noindex": flag(F.contains(c("x_robots"), F.lit("noindex"))),
         "li_text_diversity": F.when(items > 4, F.bround(kinds / items, 4)).otherwise(F.lit(0.0)),
         "low_variation_li": flag((items > 4) & (kinds / items < 0.4)),
-        "article_sibling_containers": F.least(c("x_article_groups"), F.lit(20)),
+        "article_sibling_containers": c("x_article_groups"),
         "has_article_grid": flag(c("x_article_groups") >= 1),
     }
     for level in ("h1", "h2", "h3", "h4"):

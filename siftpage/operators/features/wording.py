@@ -52,11 +52,11 @@ def either(*tests: Column) -> Column:
 def counts() -> dict[str, Column]:
     """First stage: plain measures and flags of the text."""
     lower, folded = F.col("lower"), F.col("folded")
-    sample = F.lower(F.concat("title", F.lit(" "), F.left("body", F.lit(vocab.TEXT_SAMPLE))))
+    sample = F.lower(F.concat("title", F.lit(" "), F.col("body")))
     # The flattened text serves the sample too, unless lower-casing moved its characters.
     flat_sample = F.when(
         F.length("lower") == F.length("body"),
-        F.concat(flat(F.lower("title")), F.lit(" "), F.left("flat", F.lit(vocab.TEXT_SAMPLE))),
+        F.concat(flat(F.lower("title")), F.lit(" "), F.col("flat")),
     ).otherwise(flat(sample))
     sample_words = flat_words(flat_sample)
     return {
@@ -80,12 +80,12 @@ def counts() -> dict[str, Column]:
         "x_date_text": mentions("date", "posted", "published", "modified")
         & matches(vocab.PUBLISH_DATE_PATTERN),
         "has_rating": flag(says(vocab.RATING_WORDS) | matches(vocab.SCORE_PATTERN)),
-        "x_toc_text": matches(vocab.TOC_PATTERN, F.left(folded, F.lit(500))),
-        "x_spec_text": matches(vocab.SPEC_CLASS, F.left(folded, F.lit(3000))),
+        "x_toc_text": matches(vocab.TOC_PATTERN, folded),
+        "x_spec_text": matches(vocab.SPEC_CLASS, folded),
         "has_share_buttons": flag(says(vocab.SHARE_WORDS)),
         "has_comments_section": flag(says(vocab.COMMENT_WORDS)),
         "has_related_section": flag(says(vocab.RELATED_WORDS)),
-        "x_duration_text": matches(vocab.DURATION_PATTERN, F.left(folded, F.lit(2000))),
+        "x_duration_text": matches(vocab.DURATION_PATTERN, folded),
         "has_engagement_metrics": flag(matches(vocab.ENGAGEMENT_PATTERN)),
         "title_word_count": F.size(words(F.col("title"))),
         "title_has_list_cue": flag(has_text("lower(title)", vocab.LIST_CUES)),
@@ -154,10 +154,10 @@ def derived() -> dict[str, Column]:
         "list_cue_word_hits": count_text("x_sample", vocab.LIST_CUES, "x_sample_kinds"),
         "detail_cue_word_hits": count_text("x_sample", vocab.DETAIL_CUES, "x_sample_kinds"),
         "x_numbers": number_words(c("x_sample_words")),
-        "price_mention_count": F.least(c("x_prices"), F.lit(20)),
+        "price_mention_count": c("x_prices"),
         "has_price": flag(c("x_prices") > 0),
         "purchase_funnel_signal": flag(c("x_price_text") & c("x_cart_text")),
-        "year_mention_count": F.least(c("x_years"), F.lit(50)),
+        "year_mention_count": c("x_years"),
         "has_many_years": flag(c("x_years") >= 5),
         "is_job_listing_page": flag(c("job_listing_vocab") >= 2),
     }

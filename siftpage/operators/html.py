@@ -19,34 +19,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftpage.functions.entities import decode_entities
+from siftpage.functions.jsonld import all_types
 from siftpage.functions.reuse import built_once
 from siftpage.functions.text import BLANK_CLASS, strip
 from siftpage.operators.nesting import NODE_FIELDS, nest
 
-CODE = (
-    r"(?is)<script\b[^>]*+>.*?(?:</script\s*>|\z)|<style\b[^>]*+>.*?(?:</style\s*>|\z)"
-    r"|<noscript\b[^>]*+>.*?(?:</noscript\s*>|\z)"
-)
-CODE_AND_SVG = CODE + r"|<svg\b[^>]*+>.*?(?:</svg\s*>|\z)"
 BREAK = "<!>"  # stands where code was, so that the texts around it stay two texts
-TOKEN = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<(?:script|style)\b[^>]*+>.*?(?:</(?:script|style)\s*>|\z)"
-    r"|</?[a-z](?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+>"
-    r"|<[!?/][^>]*+>"
-    r"|(?:[^<]++|<(?![a-z/!?]))++"
-    r"|<.*+"
-)
+INSIDE = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+>"  # of a tag, quoted values included
+
+
+def _token(*units: str) -> str:
+    """Pattern of one token. Elements named in ``units`` are one token with all their content.
+
+    Comments and quoted values come first, so that code is only seen where it really begins.
+    """
+    whole = "".join(rf"|<{u}(?=[\s/>]){INSIDE}.*?(?:</{u}\s*>|\z)" for u in units)
+    return (
+        r"(?is)<!--.*?(?:-->|\z)"
+        + whole
+        + rf"|</?[a-z]{INSIDE}"
+        + r"|<[!?/][^>]*+>"
+        + r"|(?:[^<]++|<(?![a-z/!?]))++"
+        + r"|<.*+"
+    )
+
+
+TOKEN = _token("script", "style")
+TOKEN_NO_CODE = _token("script", "style", "noscript")
+TOKEN_VISIBLE = _token("script", "style", "noscript", "svg")
+IS_CODE = r"(?i)^<(?:script|style|noscript)(?=[\s/>])"
 ATTRIBUTE = r"([^\s\"'<>/=][^\s\"'>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?"
 
-def strip_code(html: Column, pattern: str = CODE) -> Column:
-    """HTML without scripts, styles and noscript parts, a break mark in their place."""
-    return F.regexp_replace(html, pattern, BREAK)
+def is_code(raw: Column) -> Column:
+    """Is the token a script, style or noscript element?"""
+    return F.rlike(raw, F.lit(IS_CODE))
+
+
+def raw_tokens(html: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
 
 
 @built_once
 def token_list(column: str) -> Column:
-    """array<struct<raw, code, text>> of an HTML column, in document order."""
+    """array<struct<raw, code, text>> of a column of raw tokens, in document order."""
 
     def describe(raw: Column) -> Column:
         is_markup = F.rlike(raw, F.lit("^<[a-zA-Z/!?]"))
@@ -57,7 +72,12 @@ def token_list(column: str) -> Column:
             F.when(~is_markup, strip(decode_entities(raw))).otherwise("").alias("text"),
         )
 
-    return F.transform(F.regexp_extract_all(column, F.lit(TOKEN), F.lit(0)), describe)
+    return F.transform(column, describe)
+
+
+def without_code(column: str) -> Column:
+    """A column of raw tokens with a break mark in the place of each piece of code."""
+    return F.transform(column, lambda raw: F.when(is_code(raw), F.lit(BREAK)).otherwise(raw))
 
 
 def attribute_maps(tags: Column) -> Column:
@@ -94,20 +114,29 @@ def parse(pages: DataFrame, jsonld: bool = False, keep: tuple[str, ...] = ()) ->
     With ``jsonld`` the JSON-LD script texts of the page are kept as ``jsonld`` (else an empty list).
     """
     pages = pages.withColumn("html", F.coalesce("html", F.lit("")))
-    clean = strip_code(F.col("html"))
-    blocks = jsonld_blocks(F.col("html")) if jsonld else F.array().cast("array<string>")
+    nothing = F.array().cast("array<string>")
+    blocks = jsonld_blocks(F.col("html")) if jsonld else nothing
     staged = (
-        pages.select("page_id", "url", "html", *keep, clean.alias("clean"))
+        pages.select("page_id", "url", "html", *keep, raw_tokens(F.col("html"), TOKEN_NO_CODE).alias("raw"))
         .select(
             "page_id",
             "url",
             *keep,
-            F.lower(F.left("html", F.lit(3000))).alias("head_html"),
+            F.lower("html").alias("head_html"),
             (F.col("html") == "").alias("x_empty"),
-            F.length(F.replace(F.col("clean"), F.lit(BREAK), F.lit(""))).alias("clean_len"),
+            (~F.rlike("html", F.lit(r"(?U)\S"))).alias("x_blank"),
+            (
+                F.length("html")
+                - F.aggregate(
+                    F.filter("raw", is_code), F.lit(0), lambda total, raw: total + F.length(raw)
+                )
+            ).alias("clean_len"),
             blocks.alias("jsonld"),
-            token_list("clean").alias("tokens"),
+            without_code("raw").alias("kept"),
         )
+        .withColumn("tokens", token_list("kept"))
+        .withColumn("jsonld_types", all_types(F.col("jsonld")) if jsonld else nothing)
+        .drop("kept")
     )
     return _with_nodes(staged)
 
@@ -120,10 +149,11 @@ def parse_raw(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         *keep,
         F.length("html").alias("html_length"),
         jsonld_blocks(F.col("html")).alias("jsonld"),
-        token_list("html").alias("tokens"),
+        raw_tokens(F.col("html"), TOKEN).alias("raw"),
         page_words(F.col("html")).alias("visible"),
     )
-    return _with_nodes(staged)
+    typed = staged.withColumn("jsonld_types", all_types(F.col("jsonld")))
+    return _with_nodes(typed.withColumn("tokens", token_list("raw")).drop("raw"))
 
 
 @built_once
@@ -175,15 +205,15 @@ def jsonld_blocks(html: Column) -> Column:
 
 
 def page_words(html: Column) -> Column:
-    """Visible text without svg, blanks collapsed, first 50,000 characters."""
+    """Visible text without svg, blanks collapsed."""
     texts = F.transform(
-        F.regexp_extract_all(strip_code(html, CODE_AND_SVG), F.lit(TOKEN), F.lit(0)),
+        raw_tokens(html, TOKEN_VISIBLE),
         lambda raw: F.when(
             F.rlike(raw, F.lit("^<[a-zA-Z/!?]")), F.lit("")
         ).otherwise(strip(decode_entities(raw))),
     )
     joined = F.array_join(F.filter(texts, lambda t: t != ""), " ")
-    return F.left(F.regexp_replace(joined, f"[{BLANK_CLASS}]+", " "), F.lit(50000))
+    return F.regexp_replace(joined, f"[{BLANK_CLASS}]+", " ")
 
 
 # ---- per-page helpers over the parsed row ---------------------------------------------------
@@ -243,8 +273,9 @@ def exploded(df: DataFrame, array: str, position: str, item: str) -> DataFrame:
 
 def tokens(pages: DataFrame) -> DataFrame:
     """page_id, pos, kind (start, end, text, other), tag, raw - code removed, one row per token."""
-    clean = pages.select("page_id", strip_code(F.col("html")).alias("clean"))
-    listed = clean.select("page_id", token_list("clean").alias("tokens"))
+    cut = pages.select("page_id", raw_tokens(F.col("html"), TOKEN_NO_CODE).alias("raw"))
+    clean = cut.select("page_id", without_code("raw").alias("kept"))
+    listed = clean.select("page_id", token_list("kept").alias("tokens"))
     rows = exploded(listed, "tokens", "pos", "t")
     kind = (
         F.when(F.startswith("t.code", F.lit("/")), "end")

@@ -47,10 +47,17 @@ def latest(updates: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def ledger_upsert(ledger: DataFrame, updates: DataFrame, key: str = "url") -> DataFrame:
-    """Rows of ``updates`` (one per key) laid over the ledger; a null update leaves a field as it is.
+    """Rows of ``updates`` laid over the ledger; a null update leaves a field as it is.
 
-    ``last_updated`` of a touched row comes from the update.
+    Updates of one key are reduced to one row first, in each field the last that is not null by
+    ``last_updated`` (without that column the greatest). ``last_updated`` of a touched row comes from
+    the update.
     """
+    if "last_updated" in updates.columns:
+        updates = latest(updates, key, "last_updated").select(*updates.columns)
+    else:
+        others = [F.max(c).alias(c) for c in updates.columns if c != key]
+        updates = updates.groupBy(key).agg(*others).select(*updates.columns)
     old, new = ledger.alias("o"), updates.alias("n")
     joined = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
 
@@ -140,7 +147,7 @@ def extract_outcome(results: DataFrame, at: Column) -> DataFrame:
     return results.select(
         "url",
         F.when(ok, "success").otherwise("failed").alias("extract_status"),
-        F.left("error", F.lit(200)).alias("extract_reason"),
+        F.col("error").alias("extract_reason"),
         at.alias("extract_completed_at"),
         F.when(ok, F.col("feature_count")).alias("feature_count"),
         at.alias("last_updated"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -57,7 +57,8 @@ def small_classes(samples: DataFrame, least: int = MIN_PER_CLASS) -> DataFrame:
 
 
 def require_classes(samples: DataFrame, least: int = MIN_PER_CLASS) -> None:
-    short = {r["label"]: r["n"] for r in small_classes(samples, least).collect()}
+    """Raise if a class is too small; the message names the first twenty."""
+    short = {r["label"]: r["n"] for r in small_classes(samples, least).take(20)}
     if short:
         raise ValueError(f"classes with fewer than {least} rows: {short}")
 
@@ -89,7 +90,7 @@ def split(
         F.sum("slice_n").over(whole).alias("class_n"),
     )
     inner = Window.partitionBy(label, "slice").orderBy("h", key)
-    ranked = sliced.withColumn("r", F.row_number().over(inner))
+    ranked = sliced.withColumn("r", F.rank().over(inner))  # rows of one key stay together
     joined = ranked.join(
         offsets, (F.col(label) == F.col("c")) & (F.col("slice") == F.col("s"))
     )
@@ -106,9 +107,9 @@ class MacroF1(Evaluator):
     """Mean of the per-class F1, which spark.ml's own weighted ``f1`` is not."""
 
     @keyword_only
-    def __init__(self, labelCol: str = "y", predictionCol: str = "prediction"):
+    def __init__(self, labelCol: str = "y", predictionCol: str = "prediction", classes: int = 3):
         super().__init__()
-        self.label, self.prediction = labelCol, predictionCol
+        self.label, self.prediction, self.classes = labelCol, predictionCol, classes
 
     def _evaluate(self, dataset: DataFrame) -> float:
         from siftpage.operators.evaluate import class_report
@@ -117,7 +118,7 @@ class MacroF1(Evaluator):
             F.col(self.label).cast("int").cast("string").alias("actual"),
             F.col(self.prediction).cast("int").cast("string").alias("predicted"),
         )
-        report = class_report(pairs, classes=("0", "1", "2"))
+        report = class_report(pairs, classes=tuple(str(i) for i in range(self.classes)))
         seen = report.filter("support > 0 or predicted > 0")
         return seen.agg(F.coalesce(F.avg("f1"), F.lit(0.0))).first()[0]
 
@@ -148,10 +149,24 @@ def default_grid(classifier: RandomForestClassifier) -> list:
         .addGrid(classifier.maxDepth, [4, 6, 8])
         .addGrid(classifier.numTrees, [100, 200])
         .addGrid(classifier.subsamplingRate, [0.8, 1.0])
+        .addGrid(classifier.featureSubsetStrategy, ["sqrt", "0.8"])
+        .addGrid(classifier.minInstancesPerNode, [1, 3])
         .build()
     )
 
 
+def in_fixed_order(train: DataFrame) -> DataFrame:
+    """Rows dealt and sorted by a hash of their key, as trees are drawn by where a row lies.
+
+    The number of partitions follows the session's setting, so a fit repeats in sessions alike.
+    """
+    if "key" not in train.columns:
+        return train
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    others = [c for c in ("url", "label") if c in train.columns]
+    return train.repartition(parts, "key").sortWithinPartitions("key", *others)
+
+
 def fit(
     train: DataFrame,
     columns: tuple[str, ...] = FEATURE_COLUMNS,
@@ -161,26 +176,68 @@ def fit(
 ) -> PipelineModel:
     """Indexer, assembler and forest; with a grid, cross-validated on ``fold`` by macro-F1."""
     learner = classifier or forest()
-    ready = train.fillna(0, list(columns))
+    ready = in_fixed_order(train.fillna(0, list(columns)))
     stages = Pipeline(stages=[label_indexer(), assembler(columns)])
     prepared = stages.fit(ready)
     data = prepared.transform(ready)
     if grid:
         search = CrossValidator(
-            estimator=learner, estimatorParamMaps=grid, evaluator=MacroF1(),
+            estimator=learner, estimatorParamMaps=grid,
+            evaluator=MacroF1(classes=len(prepared.stages[0].labelsArray[0])),
             foldCol="fold", numFolds=FOLDS, parallelism=parallelism, seed=SEED,
         )
         # Test rows have no fold. They are filtered out, but the fold check may run before the filter.
         folded = data.withColumn("fold", F.coalesce("fold", F.lit(0)))
-        best = search.fit(folded).bestModel
+        searched = search.fit(folded)
+        best = searched.bestModel
+        best.grid_scores = list(searched.avgMetrics)
     else:
         best = learner.fit(data)
     return PipelineModel(stages=[*prepared.stages, best])
 
 
+def fit_boosted(
+    train: DataFrame,
+    columns: tuple[str, ...] = FEATURE_COLUMNS,
+    rounds: int = 50,
+    depth: int = 4,
+    rate: float = 0.1,
+    sampling: float = 0.8,
+    seed: int = SEED,
+) -> PipelineModel:
+    """Boosted trees: one model of each class against the rest; ``score`` divides their positive
+    probabilities by the sum."""
+    ready = in_fixed_order(train.fillna(0, list(columns)))
+    prepared = Pipeline(stages=[label_indexer(), assembler(columns)]).fit(ready)
+    data = prepared.transform(ready)
+    learners = []
+    for i in range(len(prepared.stages[0].labelsArray[0])):
+        learner = GBTClassifier(
+            featuresCol="x", labelCol=f"y_{i}", predictionCol=f"prediction_{i}", maxIter=rounds,
+            maxDepth=depth, stepSize=rate, subsamplingRate=sampling, seed=seed,
+        )
+        learner.setProbabilityCol(f"probability_{i}").setRawPredictionCol(f"raw_{i}")
+        learners.append(learner.fit(data.withColumn(f"y_{i}", (F.col("y") == i).cast("double"))))
+    return PipelineModel(stages=[*prepared.stages, *learners])
+
+
 def _stages(model: PipelineModel) -> tuple:
-    indexer, vectors, learner = model.stages
-    return list(indexer.labelsArray[0]), vectors.getInputCols(), learner
+    indexer, vectors, *learners = model.stages
+    return list(indexer.labelsArray[0]), vectors.getInputCols(), learners
+
+
+def with_probabilities(df: DataFrame, learners: list) -> DataFrame:
+    """Adds ``p``, the class probabilities of the assembled rows (``x``)."""
+    if len(learners) == 1:
+        scored = learners[0].transform(df).withColumn("p", vector_to_array("probability"))
+        return scored.drop("rawPrediction", "probability", "prediction")
+    for learner in learners:
+        df = learner.transform(df)
+    each = [vector_to_array(f"probability_{i}")[1] for i in range(len(learners))]
+    made = [f"{c}_{i}" for i in range(len(learners)) for c in ("raw", "probability", "prediction")]
+    positive = df.withColumn("p", F.array(*each)).drop(*made)
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return positive.withColumn("p", F.transform("p", lambda x: x / total))
 
 
 def score(df: DataFrame, model: PipelineModel) -> DataFrame:
@@ -188,10 +245,10 @@ def score(df: DataFrame, model: PipelineModel) -> DataFrame:
 
     Below 0.50 on a page without content, the URL alone decides.
     """
-    labels, columns, learner = _stages(model)
+    labels, columns, learners = _stages(model)
     ready = df.fillna(0, [c for c in columns])
-    scored = learner.transform(assembler(tuple(columns)).transform(ready))
-    staged = scored.withColumn("p", vector_to_array("probability")).withColumns(
+    scored = with_probabilities(assembler(tuple(columns)).transform(ready), learners)
+    staged = scored.withColumns(
         {
             "top": F.array_max("p"),
             "weak": url_fallback(url_features(F.col("url"), url_parts(F.col("url")))),
@@ -211,67 +268,70 @@ def score(df: DataFrame, model: PipelineModel) -> DataFrame:
         "ml_method": F.when(fallback, "ml_model_url_fallback").otherwise("ml_model"),
         "probabilities": F.map_from_arrays(names, F.transform("p", lambda x: F.bround(x, 4))),
     }
-    drop = ("x", "p", "top", "weak", "rawPrediction", "probability", "prediction")
+    drop = ("x", "p", "top", "weak")
     return staged.withColumns(out).drop(*drop)
 
 
 def importance(model: PipelineModel, spark) -> DataFrame:
-    """(feature, importance): the learner's own normalised importances, unused features 0."""
-    _, columns, learner = _stages(model)
-    rows = [(c, round(float(v), 6)) for c, v in zip(columns, learner.featureImportances.toArray())]
+    """(feature, importance): the learners' own normalised importances, unused features 0."""
+    _, columns, learners = _stages(model)
+    each = sum(learner.featureImportances.toArray() for learner in learners) / len(learners)
+    rows = [(c, round(float(v), 6)) for c, v in zip(columns, each)]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+#: Test rows of one bucket, in which each row takes its values from another one.
+DONOR_ROWS = 10_000
+
+
 def permutation_importance(test: DataFrame, model: PipelineModel, seed: int = SEED) -> DataFrame:
-    """(feature, importance): loss of accuracy on the test rows when one column is shuffled.
+    """(feature, importance): loss of macro-F1 on the test rows when one column is shuffled.
 
-    All columns are tested in one job: a row is repeated once per column, with that column's value
-    taken from the next row in an order drawn per column. The order runs over (column, bucket)
-    windows, so no task holds more than one bucket of one column. Column -1 is the unshuffled base.
+    One shuffle pairs each row with a donor, the next row of its bucket in an order drawn by hash;
+    buckets are added as the rows grow. A pair is then repeated in place for each column that the
+    trees use, scored, and added up to counts before anything is shuffled again. Columns that no tree
+    uses lose nothing. Column -1 is the unshuffled base.
     """
-    _, columns, learner = _stages(model)
-    names = F.array(*[F.lit(c) for c in columns])
+    from siftpage.operators.evaluate import class_report, summary
+
+    labels, columns, learners = _stages(model)
+    spark = test.sparkSession
+    used = sum(learner.featureImportances.toArray() for learner in learners)
+    tested = [-1, *[i for i, v in enumerate(used) if v > 0]]
     rows = assembler(tuple(columns)).transform(test.fillna(0, list(columns))).select(
         "label", vector_to_array("x").alias("v"), F.xxhash64("url", F.lit(seed)).alias("row")
     )
-    long = rows.withColumn(
-        "column", F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1)))
-    ).withColumns(
-        {
-            "own": F.try_element_at("v", F.nullif(F.col("column") + 1, F.lit(0))),
-            "draw": F.xxhash64("row", "column"),
-            "bucket": F.pmod(F.xxhash64("column", "row", F.lit(1)), F.lit(64)),
-        }
-    )
-    group = Window.partitionBy("column", "bucket")
-    other = F.coalesce(
-        F.lag("own").over(group.orderBy("draw", "row")), F.max_by("own", "draw").over(group)
+    buckets = max(1, test.count() // DONOR_ROWS)
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(buckets)))
+    group = Window.partitionBy("bucket")
+    donor = F.coalesce(F.lag("v").over(group.orderBy("row")), F.max_by("v", "row").over(group))
+    pairs = dealt.withColumn("other", donor).withColumn(
+        "column", F.explode(F.array(*[F.lit(i) for i in tested]))
     )
-    swapped = long.withColumn("other", other).select(
+    swapped = pairs.select(
         "label",
         "column",
         array_to_vector(
-            F.transform("v", lambda x, i: F.when(i == F.col("column"), F.col("other")).otherwise(x))
+            F.transform(
+                "v", lambda own, i: F.when(i == F.col("column"), F.get("other", i)).otherwise(own)
+            )
         ).alias("x"),
     )
-    labels = list(model.stages[0].labelsArray[0])
-    predicted = F.element_at(
-        F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1
+    names = F.array(*[F.lit(x) for x in labels])
+    scored = with_probabilities(swapped, learners).select(
+        "column",
+        F.col("label").alias("actual"),
+        F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("predicted"),
     )
-    accuracy = (
-        learner.transform(swapped)
-        .groupBy("column")
-        .agg(F.avg((predicted == F.col("label")).cast("double")).alias("accuracy"))
-    )
-    # One row per column of the model: small whatever the number of test rows.
-    base = F.max(F.when(F.col("column") == -1, F.col("accuracy"))).over(Window.partitionBy())
-    return (
-        accuracy.withColumn("base", base)
-        .filter("column >= 0")
-        .select(
-            F.element_at(names, F.col("column") + 1).alias("feature"),
-            F.bround(F.col("base") - F.col("accuracy"), 6).alias("importance"),
-        )
+    groups = spark.createDataFrame([(i,) for i in tested], "column int")
+    report = summary(class_report(scored, tuple(labels), ("column",), groups), ("column",))
+    # one row for each column of the model, whatever the number of test rows
+    f1 = report.select("column", "macro_f1")
+    base = F.max(F.when(F.col("column") == -1, F.col("macro_f1"))).over(Window.partitionBy())
+    every = spark.createDataFrame(list(enumerate(columns)), "column int, feature string")
+    lost = f1.withColumn("lost", base - F.col("macro_f1"))
+    return every.join(lost, "column", "left").select(
+        "feature", F.bround(F.coalesce("lost", F.lit(0.0)), 6).alias("importance")
     )
 
 
@@ -285,15 +345,19 @@ def misclassified_test(scored: DataFrame) -> DataFrame:
     )
 
 
-def training_report(sample_split: DataFrame, scored_test: DataFrame) -> dict[str, DataFrame]:
-    """Small tables of a training run: sizes, label distribution, per-class report, confusion."""
+def training_report(
+    sample_split: DataFrame, scored_test: DataFrame, model: PipelineModel | None = None, top: int = 30
+) -> dict[str, DataFrame]:
+    """Small tables of a training run: sizes, label distribution, per-class report, confusion; with
+    the model also its parameters and top features."""
     from siftpage.operators.evaluate import class_report, confusion, summary
+    from siftpage.operators.reports import top_features
 
     pairs = scored_test.select(
         F.col("label").alias("actual"), F.col("ml_label").alias("predicted")
     )
     report = class_report(pairs)
-    return {
+    out = {
         "sizes": sample_split.agg(
             F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test")
         ),
@@ -302,3 +366,22 @@ def training_report(sample_split: DataFrame, scored_test: DataFrame) -> dict[str
         "summary": summary(report),
         "confusion": confusion(pairs),
     }
+    if model is not None:
+        spark = sample_split.sparkSession
+        learner = model.stages[2]
+        settings = [(p.name, str(v)) for p, v in sorted(learner.extractParamMap().items(), key=lambda x: x[0].name)]
+        out["parameters"] = spark.createDataFrame(settings, "name string, value string")
+        out["top_features"] = top_features(importance(model, spark), top)
+    return out
+
+
+def save_model(model: PipelineModel, path: str, tables: dict[str, DataFrame]) -> None:
+    """Model, report and importance as one artefact: spark.ml's own format and a table each."""
+    model.write().overwrite().save(f"{path}/model")
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+
+
+def load_model(spark, path: str, tables: tuple[str, ...] = ()) -> tuple[PipelineModel, dict[str, DataFrame]]:
+    """The model and the named tables of ``save_model``."""
+    return PipelineModel.load(f"{path}/model"), {t: spark.read.parquet(f"{path}/tables/{t}") for t in tables}

@@ -37,7 +37,7 @@ CLOSES = {
 HEAD_TAGS = frozenset("html head title meta link base script style noscript template body".split())
 
 NODE_FIELDS = (
-    "eid", "src", "stop", "parent", "depth", "near", "kids", "same_kids", "article_kids", "off", "len",
+    "eid", "src", "stop", "parent", "depth", "kids", "same_kids", "article_kids", "off", "len",
 )
 NODE_TYPE = T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in NODE_FIELDS]))
 TREE_TYPE = T.StructType(
@@ -51,11 +51,12 @@ def _nest_page(codes: list[str], lengths: list[int], out: dict[str, list[int]])
     ``codes`` holds ``div`` for a start tag, ``/div`` for an end tag and ``""`` for everything else.
     """
     first = len(out["src"])
-    parent, depth, near, stop = out["parent"], out["depth"], out["near"], out["stop"]
+    parent, depth, stop = out["parent"], out["depth"], out["stop"]
     kids, same, articles, ends = out["kids"], out["same_kids"], out["article_kids"], out["len"]
     stack: list[int] = []
     names: list[str] = []
     counts: list[dict[str, int]] = []
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of each name are
     chars = repairs = 0
     body = -1
 
@@ -64,11 +65,11 @@ def _nest_page(codes: list[str], lengths: list[int], out: dict[str, list[int]])
         node = len(out["src"])
         up = stack[-1] if stack else -1
         if name == "body" and body < 0:
-            body, level, close = node, 0, 1
+            body, level = node, 0
         elif up >= 0 and depth[up] >= 0:
-            level, close = depth[up] + 1, int(near[up] and kids[up] < 20)
+            level = depth[up] + 1
         else:
-            level, close = -1, 0
+            level = -1
         if up >= 0:
             kids[up] += 1
             seen = counts[-1][name] = counts[-1].get(name, 0) + 1
@@ -80,7 +81,6 @@ def _nest_page(codes: list[str], lengths: list[int], out: dict[str, list[int]])
         out["src"].append(src)
         parent.append(up - first if up >= 0 else -1)
         depth.append(level)
-        near.append(close)
         stop.append(src + 1)
         for zero in (kids, same, articles, ends):
             zero.append(0)
@@ -90,23 +90,23 @@ def _nest_page(codes: list[str], lengths: list[int], out: dict[str, list[int]])
     def push(name: str, node: int) -> None:
         stack.append(node)
         names.append(name)
+        places.setdefault(name, []).append(len(stack) - 1)
         counts.append({})
 
     def cut(size: int, at: int) -> None:
         while len(stack) > size:
             node = stack.pop()
-            names.pop()
+            places[names.pop()].pop()
             counts.pop()
             stop[node] = at
             ends[node] = chars - out["off"][node]
 
+    def last(kinds) -> int:
+        return max((places[k][-1] for k in kinds if places.get(k)), default=-1)
+
     def nearest(kinds, barriers=()) -> int:
-        for i in range(len(names) - 1, -1, -1):
-            if names[i] in kinds:
-                return i
-            if names[i] in barriers:
-                return -1
-        return -1
+        found = last(kinds)
+        return found if found > last(barriers) else -1
 
     for at, code in enumerate(codes):
         if not code:

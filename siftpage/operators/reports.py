@@ -53,12 +53,12 @@ def file_completeness(folders: DataFrame) -> DataFrame:
 
 
 def recent(predictions: DataFrame, k: int = 10) -> DataFrame:
-    """Newest ``k`` predictions, shortened for display (a top-k, not a full sort)."""
+    """Newest ``k`` predictions (a top-k, not a full sort)."""
     return (
         predictions.orderBy(F.col("predicted_at").desc(), "url")
         .limit(k)
         .select(
-            F.left("url", F.lit(55)).alias("url"),
+            "url",
             "predicted_label",
             "confidence",
             "fallback_used",
@@ -70,8 +70,7 @@ def recent(predictions: DataFrame, k: int = 10) -> DataFrame:
 def warnings(ledger: DataFrame, imbalance: int = 5, low: int = 10) -> DataFrame:
     """Issue rows (issue, label, n): pending extractions, class imbalance, small classes.
 
-    Everything is derived from one count per label, so the ledger is read once; the labels gathered
-    into one row are the classes the intake lets in.
+    Everything is derived from one count per label; small classes stay rows of their own.
     """
     waiting = _is("scrape_status", "success") & _is("extract_status", "pending")
     per_label = ledger.groupBy("label").agg(
@@ -79,18 +78,7 @@ def warnings(ledger: DataFrame, imbalance: int = 5, low: int = 10) -> DataFrame:
     )
     ready = F.when(F.col("ready") > 0, F.col("ready"))
     summary = per_label.agg(
-        F.sum("waiting").alias("waiting"),
-        F.max(ready).alias("most"),
-        F.min(ready).alias("least"),
-        F.collect_list(F.struct("label", "ready")).alias("labels"),
-    )
-    small = F.transform(
-        F.filter("labels", lambda x: (x["ready"] > 0) & (x["ready"] < low)),
-        lambda x: F.struct(
-            F.lit("few_samples").alias("issue"),
-            x["label"].alias("label"),
-            x["ready"].alias("n"),
-        ),
+        F.sum("waiting").alias("waiting"), F.max(ready).alias("most"), F.min(ready).alias("least")
     )
 
     def issue(name: str, condition: Column, n: Column) -> Column:
@@ -99,14 +87,16 @@ def warnings(ledger: DataFrame, imbalance: int = 5, low: int = 10) -> DataFrame:
         )
         return F.filter(F.array(F.when(condition, row)), lambda x: x.isNotNull())
 
-    issues = F.concat(
+    overall = F.concat(
         issue("extract_pending", F.col("waiting") > 0, F.col("waiting")),
         issue(
             "class_imbalance", F.col("most") > F.col("least") * imbalance, F.col("most")
         ),
-        small,
     )
-    return summary.select(F.explode(issues).alias("i")).select("i.*")
+    small = per_label.filter((F.col("ready") > 0) & (F.col("ready") < low)).select(
+        F.lit("few_samples").alias("issue"), "label", F.col("ready").alias("n")
+    )
+    return summary.select(F.explode(overall).alias("i")).select("i.*").unionByName(small)
 
 
 def failed_list(ledger: DataFrame) -> DataFrame:
@@ -116,19 +106,22 @@ def failed_list(ledger: DataFrame) -> DataFrame:
 
 
 def url_list(ledger: DataFrame, label: str | None = None, status: str | None = "success") -> DataFrame:
-    """Ledger rows filtered by label and fetch status, ordered by label."""
+    """Ledger rows filtered by label and fetch status, ordered by label and URL.
+
+    The URL keeps a frequent label from being one range of the sort.
+    """
     rows = ledger
     if label:
         rows = rows.filter(_is("label", label))
     if status:
         rows = rows.filter(_is("scrape_status", status))
     return rows.select(
-        F.left("url", F.lit(65)).alias("url"),
+        "url",
         "label",
         "scrape_status",
         "extract_status",
-        F.left("key", F.lit(20)).alias("key"),
-    ).orderBy(F.coalesce("label", F.lit("")))
+        "key",
+    ).orderBy(F.coalesce("label", F.lit("")), "url")
 
 
 def url_table_check(rows: DataFrame, columns: tuple[str, ...] = ("url", "label")) -> DataFrame:
@@ -237,19 +230,23 @@ def feature_long(features: DataFrame) -> DataFrame:
 def feature_compare(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """Features that differ between the two pages of each pair (``a``, ``b`` are page ids).
 
-    The joins carry one wide row per page; only the differing features become rows afterwards.
-    A page without stored features counts as all zeros.
+    ``features`` is read once: a page's values, one array, go to each pair it is in, and the two sides
+    meet by pair; only the differing features become rows. Equal pairs count once. A page without
+    stored features counts as all zeros.
     """
     names = [c for c in features.columns if c in FEATURE_COLUMNS]
-
-    def side(page: str, values: str) -> DataFrame:
-        packed = F.array(*[F.col(n).cast("double") for n in names])
-        return features.select(F.col("page_id").alias(page), packed.alias(values))
-
+    packed = features.select(
+        F.col("page_id").alias("page"), F.array(*[F.col(n).cast("double") for n in names]).alias("v")
+    )
+    sides = F.array(
+        *[F.struct(F.col(p).alias("page"), F.lit(p).alias("side")) for p in ("a", "b")]
+    )
+    members = pairs.select("a", "b", F.explode(sides).alias("m")).select("a", "b", "m.*")
+    of_side = lambda p: F.any_value(F.when(F.col("side") == p, F.col("v")), ignoreNulls=True)
     joined = (
-        pairs.select("a", "b")
-        .join(side("a", "va"), "a", "left")
-        .join(side("b", "vb"), "b", "left")
+        members.join(packed, "page", "left")
+        .groupBy("a", "b")
+        .agg(of_side("a").alias("va"), of_side("b").alias("vb"))
     )
     zeros = F.array_repeat(F.lit(0.0), len(names))
     name_list = F.array(*[F.lit(n) for n in names])

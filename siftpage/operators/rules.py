@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftpage.functions import vocab
-from siftpage.functions.jsonld import all_types, lowered, microdata_type
+from siftpage.functions.jsonld import lowered, microdata_type
 from siftpage.functions.numbers import flag
 from siftpage.functions.reuse import built_once
 from siftpage.functions.text import count_words, has_word, strip
@@ -43,7 +43,7 @@ def _any(text: Column, parts: tuple[str, ...]) -> Column:
 
 
 def error_page(status: Column | None) -> Column:
-    head = F.concat(F.lower("own_title"), F.lit(" "), F.left("head_html", F.lit(2000)))
+    head = F.concat(F.lower("own_title"), F.lit(" "), F.col("head_html"))
     seen = F.rlike(head, F.lit(ERROR_TEXT))
     if status is not None:
         seen = seen | F.coalesce(status >= 400, F.lit(False))
@@ -55,7 +55,7 @@ def schema_type() -> Column:
         F.filter("nodes", lambda e: F.map_contains_key(e["attrs"], "itemtype")),
         lambda e: microdata_type(e["attrs"]["itemtype"]),
     )
-    types = F.concat(lowered(all_types(F.col("jsonld"))), micro)
+    types = F.concat(lowered(F.col("jsonld_types")), micro)
     mapped = vocab.RULE_DETAIL_TYPES + vocab.RULE_LIST_TYPES
     first = F.try_element_at(F.filter(types, lambda t: t.isin(*mapped)), F.lit(1))
     label = F.when(first.isin(*vocab.RULE_LIST_TYPES), F.lit("list")).otherwise(F.lit("detail"))
@@ -242,5 +242,5 @@ def rule_distribution(verdicts: DataFrame) -> DataFrame:
 
 def blocked_page(html: Column, title: Column) -> Column:
     """Does the page look like a block or challenge page?"""
-    head = F.lower(F.concat(F.left(html, F.lit(3000)), title))
+    head = F.lower(F.concat(html, title))
     return _any(head, vocab.BLOCK_PHRASES)

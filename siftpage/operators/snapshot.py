@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftpage.functions.jsonld import all_types, valid_blocks
+from siftpage.functions.jsonld import valid_blocks
 from siftpage.functions.text import strip, words
 from siftpage.functions.url import authority, is_internal_link, url_path, url_query
 from siftpage.operators.html import exploded, first_of, nodes_of, parse_raw, spaced_text_of, text_of
@@ -29,13 +29,17 @@ def _filled(value: Column) -> Column:
 
 def last_wins(pairs: Column) -> Column:
     """array<struct<k,v>> -> map, the last of equal keys kept."""
-    keys = pairs["k"]
-    last = F.size(pairs)
-    kept = F.filter(
-        pairs,
-        lambda p, i: ~F.array_contains(F.slice(keys, i + 2, last), p["k"]),
+    placed = F.sort_array(
+        F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
+    )
+    # equal keys are neighbours now, the last one at the end
+    kept = F.transform(
+        F.array(placed),
+        lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["k"] != x["k"], F.lit(True))),
+    )
+    return F.map_from_entries(
+        F.transform(F.get(kept, F.lit(0)), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
     )
-    return F.map_from_entries(kept)
 
 
 def meta_pairs() -> Column:
@@ -95,8 +99,8 @@ def page_links() -> Column:
     def entry(e: Column) -> Column:
         href = strip(_attr(e, "href"))
         return F.struct(
-            F.left(spaced_text_of(e), F.lit(200)).alias("text"),
-            F.left(href, F.lit(500)).alias("href"),
+            spaced_text_of(e).alias("text"),
+            href.alias("href"),
             is_internal_link(href, F.col("domain")).alias("is_internal"),
             F.trim(F.regexp_replace(_or_empty(_attr(e, "rel")), r"\s+", " ")).alias("rel"),
         )
@@ -118,8 +122,8 @@ def page_images() -> Column:
 
     def entry(e: Column) -> Column:
         return F.struct(
-            F.left(source(e), F.lit(500)).alias("src"),
-            F.left(strip(_or_empty(_attr(e, "alt"))), F.lit(300)).alias("alt"),
+            source(e).alias("src"),
+            strip(_or_empty(_attr(e, "alt"))).alias("alt"),
             *[_or_empty(_attr(e, n)).alias(n) for n in ("width", "height", "loading")],
         )
 
@@ -197,7 +201,7 @@ def snapshot(pages: DataFrame, at: Column | None = None) -> DataFrame:
         "canonical",
         F.struct(
             valid_blocks(F.col("jsonld")).alias("raw"),
-            all_types(F.col("jsonld")).alias("types_found"),
+            F.col("jsonld_types").alias("types_found"),
         ).alias("schema_org"),
         counts.alias("counts"),
         F.struct("h1", "h2", "h3", "h4").alias("headings"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftpage.functions.url import url_key
-from siftpage.operators.decide import decide, fetch_failures, no_content
+from siftpage.operators.decide import decide, fetch_failures
 from siftpage.operators.evaluate import three_verdicts
 from siftpage.operators.features import FEATURE_COLUMNS
 from siftpage.operators.features.assemble import features_of, prepare
@@ -24,18 +24,17 @@ def features_and_verdict(pages: DataFrame, jsonld: bool = False) -> DataFrame:
 def predict(
     pages: DataFrame, model: PipelineModel, policy: str = "tiebreak", jsonld: bool = False
 ) -> DataFrame:
-    """One prediction per page, pages without content included. A map-only job: no shuffle."""
-    readable = pages.filter(~no_content())
-    scored = score(features_and_verdict(readable, jsonld), model)
-    content = F.col("content_available") == 1
-    decided = decide(scored.withColumn("content_available", content), policy)
-    failed = fetch_failures(pages)
+    """One prediction per page, pages without content included. One scan, a map-only job: no shuffle."""
     keep = [
         "page_id", "url", "predicted_label", "confidence", "method", "reason", "probabilities",
         "fallback_used", "content_available", "pre_label", "pre_confidence", "ml_label",
         "ml_confidence", "tiebreaker", "is_error_page",
     ]
-    both = decided.select(*keep).unionByName(failed, allowMissingColumns=True)
+    why = tuple(c for c in ("fetch_reason",) if c in pages.columns)
+    both = features_of(with_verdict(prepare(pages, jsonld, keep=why)))
+    scored = score(both.select("page_id", "url", "verdict", "x_blank", *why, *FEATURE_COLUMNS), model)
+    decided = decide(scored.withColumn("content_available", F.col("content_available") == 1), policy)
+    both = fetch_failures(decided, "x_blank").select(*keep)
     failure = F.col("method") == "scrape_failed"
     return both.select(
         url_key(F.col("url")).alias("key"),
@@ -53,6 +52,7 @@ def train(
     are kept at executor level while the fit runs; lost blocks are rebuilt from the feature table."""
     samples = split(training_set(ledger, features)).persist()
     model = fit(samples.filter("not is_test"), grid=grid, **options)
+    samples.unpersist()
     return model, samples
 
 

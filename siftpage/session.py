@@ -16,6 +16,7 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # An Arrow batch holds whole pages' tag lists; keep it small so that large pages fit.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
 
@@ -34,6 +35,8 @@ def local_session(cores: int | str = "*", name: str = "siftpage") -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SIFTPAGE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", "8")
+        # One machine reads small files of one row group; large tables need no such shuffle.
+        .config("spark.siftpage.parts", "8" if cores == "*" else str(cores))
         # No call-site capture per column expression: plans here have thousands of them.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -45,8 +48,11 @@ def local_session(cores: int | str = "*", name: str = "siftpage") -> SparkSessio
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named."""
+    """The cluster's shared checkpoint folder. Only a local session may go without, in a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="siftpage-")

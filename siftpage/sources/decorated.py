@@ -93,6 +93,14 @@ BODY = (
         'May 2021, with many more words so that the paragraph is rich.</p></main>',
     ),
 )
+# (divisor, remainder, markup put before </article> as well): code in comments and attribute values
+HIDDEN_CODE = (
+    (11, 1, '<!-- <script> old --><p>Visible one</p><script>x</script><p>two</p>'),
+    (11, 2, '<p>A</p><!-- <noscript> --><p>kept text</p>'),
+    (11, 3, '<p title="<style>">attr</p><p>after</p>'),
+    (11, 4, '<!-- <div><style>p{}</style><p>gone</p></div> --><noscript><p>off</p></noscript><p>on</p>'),
+)
+BODY += HIDDEN_CODE
 # (divisor, remainder, text put before </footer>)
 FOOTER = (
     (12, 1, ' About us contact privacy terms help support careers'),

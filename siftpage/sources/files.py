@@ -75,6 +75,31 @@ def write_snapshots(snapshots: DataFrame, path: str, as_json: bool = False) -> N
     writer.json(path) if as_json else writer.parquet(path)
 
 
+def read_snapshots(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Stored snapshots; JSON ones need the schema of the records that were written."""
+    return spark.read.schema(schema).json(path) if schema else spark.read.parquet(path)
+
+
+def predicted_pages(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
+    """key, label, html, url of ``root/<predicted label>/<key>/raw.html``, URLs from the ledger or the
+    stored predictions (``known``: key, url)."""
+    return with_urls(raw_pages(spark, root), known)
+
+
+def stored_files(spark: SparkSession, root: str) -> DataFrame:
+    """key, label and files (array) of what lies in ``root/<label>/<key>/``; contents are not read."""
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    )
+    parts = F.split("path", "/")
+    named = listed.select(
+        F.element_at(parts, -3).alias("label"),
+        F.element_at(parts, -2).alias("key"),
+        F.element_at(parts, -1).alias("file"),
+    )
+    return named.groupBy("label", "key").agg(F.sort_array(F.collect_set("file")).alias("files"))
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Stored features; a feature an older store lacks is read as 0."""
     stored = spark.read.parquet(path)

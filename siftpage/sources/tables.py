@@ -1,4 +1,4 @@
-"""Reading the page table with enough parallelism."""
+"""Reading the page table."""
 
 from __future__ import annotations
 
@@ -11,19 +11,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def pages(spark: SparkSession, folder: str) -> DataFrame:
+def pages(spark: SparkSession, folder: str, parts: int | None = None) -> DataFrame:
     """page_id, url, html.
 
-    A file with few row groups gives few tasks while parsing is CPU work, so a scan that would use
-    fewer tasks than there are cores is spread out; a large input is read as it is, unshuffled.
+    Parsing is CPU work, and a file with few row groups gives few tasks: ``parts`` spreads the rows
+    over that many, html included, with a shuffle. Without it the scan is read as it is.
     """
     configure(spark)
-    scan = table(spark, folder, "pages").select("page_id", "url", "html")
-    return spread(scan, "page_id")
+    return spread(table(spark, folder, "pages").select("page_id", "url", "html"), "page_id", parts)
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() < cores:
-        return scan.repartition(cores, key)
-    return scan
+def spread(scan: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """The rows in ``parts`` partitions, by default as many as the session's ``spark.siftpage.parts`` says;
+    as they are where neither is given."""
+    parts = parts or int(scan.sparkSession.conf.get("spark.siftpage.parts", "0"))
+    return scan.repartition(parts, key) if parts else scan

@@ -3,15 +3,18 @@
 import pytest
 
 import __spark_entry__ as entry
+from oracle.sql import SQL
+from siftpage.plans.queries import REGISTRY
 from tools.check import compare, connect
 
 ROWS_ONLY = {"model_scores", "feature_importance", "permutation_importance", "full_prediction"}
-SLOW = ROWS_ONLY | {"stream_classify", "plain_page_features", "feature_compare", "feature_pillars"}
+SLOW = ROWS_ONLY
 
 
 def test_registry():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(REGISTRY) - set(SQL) == ROWS_ONLY
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(REGISTRY) <= set(entry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +22,7 @@ def con(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - SLOW))
 def test_query(spark, con, folder, name):
     assert compare(spark, con, folder, name).startswith("ok")
 

@@ -41,10 +41,10 @@ def test_golden_values(spark):
     f = run(spark)
     assert len(f) == len(PAGES)
     assert f[1].word_count == 0 and f[1].og_type_is_website == 1 and f[1].url_is_root == 1
-    # The deep branch is the 21st child: the depth walk does not follow it, the average does.
-    assert f[2].dom_max_depth == 2 and f[2].dom_nesting_avg == round((1 + 21 * 2 + 3 + 4) / 25, 4)
-    # Container 150 counts, container 151 only where there is no cap.
-    assert f[3].sibling_repeat_count == 1 and f[3].repeated_sibling_containers == 2
+    # The deep branch is the 21st child.
+    assert f[2].dom_max_depth == 4 and f[2].dom_nesting_avg == round((1 + 21 * 2 + 3 + 4) / 25, 4)
+    # Containers 150 and 151 count like any other.
+    assert f[3].sibling_repeat_count == 2 and f[3].repeated_sibling_containers == 2
     assert (f[4].total_links, f[4].external_links, f[4].internal_links) == (8, 2, 6)
     assert f[4].nav_links == 2 and f[4].content_links == 4
     assert f[4].internal_anchor_links == 3 and f[4].has_internal_anchors == 1

@@ -86,11 +86,18 @@ def test_grid_search_uses_macro_f1(spark):
         rows, "page_id int, url string, key string, label string, word_count double, content_available int"
     )
     samples = split(df)
-    learner = forest(trees=3, depth=2)
-    grid = ParamGridBuilder().addGrid(learner.maxDepth, [1, 3]).build()
-    model = fit(samples.filter("not is_test"), ("word_count", "content_available"), grid, learner)
+    # a tree of depth 0 knows one class of three, so the settings can't tie
+    learner = forest(trees=9, depth=2)
+    grid = ParamGridBuilder().addGrid(learner.maxDepth, [0, 3]).build()
+    train = samples.filter("not is_test")
+    model = fit(train, ("word_count", "content_available"), grid, learner)
+    low, high = model.stages[-1].grid_scores
+    assert low < 0.5 < high
+    assert model.stages[-1].getMaxDepth() == 3
     scored = score(samples.filter("is_test"), model)
     assert scored.filter("ml_label = label").count() == scored.count() == 12
+    again = fit(train.repartition(5), ("word_count", "content_available"), grid, learner)
+    assert again.stages[-1].toDebugString == model.stages[-1].toDebugString
 
 
 def test_stream_equals_batch(spark, folder, tmp_path):
