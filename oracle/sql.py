@@ -163,7 +163,8 @@ SELECT d.page_id, b.title, u.raw_netloc AS domain, u.raw_path AS path, u.raw_que
   (SELECT count(*) FROM ({LINKS}) x WHERE x.page_id = d.page_id) AS links,
   (SELECT count(*) FROM ({IMAGES}) x WHERE x.page_id = d.page_id) AS images,
   (SELECT count(*) FROM node x WHERE x.page_id = d.page_id AND tag = 'form') AS forms,
-  len(regexp_extract_all(d.html, '<script')) AS scripts,
+  (SELECT len(list_filter(found, lambda x: regexp_matches(x, '(?i)^<script\\b'))) FROM code_free c
+     WHERE c.page_id = d.page_id) AS scripts,
   {", ".join(f"(SELECT count(*) FROM ({HEADINGS}) x WHERE x.page_id = d.page_id AND level = '{h}') AS {h}" for h in ("h1", "h2", "h3", "h4"))},
   length(regexp_replace(b.body, '\\s+', ' ', 'g')) AS body_text_chars,
   len(list_filter(regexp_split_to_array(b.body, '\\s+'), lambda x: x <> '')) AS body_text_words,
