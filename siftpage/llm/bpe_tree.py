@@ -202,13 +202,11 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     """All rows with `decoded`, from their `ids`; null ids give the empty text."""
     path = path or vocabulary_path()
 
-    @F.pandas_udf("string")
-    def joined_names(batches):
-        import pandas as pd
-
+    @F.arrow_udf("string")
+    def joined_names(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = encoder(path).names
         for ids in batches:
-            yield pd.Series([" ".join([names[i] for i in x]) if x is not None else "" for x in ids], dtype=object)
+            yield pa.array([" ".join([names[i] for i in x or []]) for x in ids.to_pylist()], pa.string())
 
     return rows.withColumn("decoded", joined_names("ids"))
 
