@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftpage.llm.common import give_back, table
+from siftpage.llm.common import give_back, small_batches, table
 
 LEAF = 256
 #: Tokens on each side of a join in the first window.
 WINDOW = 4
-#: Different pieces whose encodings a worker keeps, and characters of text in one slice of work.
-CACHED, SLICE = 100_000, 1_000_000
+#: Different pieces whose encodings a worker keeps, characters of text in one slice of work, and pieces
+#: in one call of the library, whose results are large.
+CACHED, SLICE, AT_ONCE = 100_000, 500_000, 2_000
 VOCABULARY = "word_bpe_49k.json"
 
 Token = tuple[int, int, int]
@@ -135,7 +136,9 @@ class Encoder:
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are not known yet."""
         short = [p for p in pieces if len(p) <= self.leaf]
-        found = [x.ids for x in self.bare.encode_batch_fast(short, add_special_tokens=False)]
+        found = []
+        for at in range(0, len(short), AT_ONCE):
+            found += [x.ids for x in self.bare.encode_batch_fast(short[at : at + AT_ONCE], add_special_tokens=False)]
         long = [p for p in pieces if len(p) > self.leaf]
         found += [[t[0] for t in tree(p, self.tokens, self.leaf)] for p in long]
         for piece, ids in zip(short + long, found, strict=True):
@@ -176,6 +179,7 @@ def encoder(path: str, leaf: int = LEAF) -> Encoder:
 def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, decoded: bool = False) -> DataFrame:
     """All rows of docs with `ids` and, on request, `decoded`, the ids turned back into text."""
     path = path or vocabulary_path()
+    small_batches(docs.sparkSession)
     own = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
     new = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded
 

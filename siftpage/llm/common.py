@@ -86,6 +86,13 @@ def slices(texts: pa.Array, size: int = 1_000_000) -> Iterator[list[str]]:
         yield [t or "" for t in texts.slice(int(rows[0]), len(rows)).to_pylist()]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python workers of some megabytes: whole texts are long, and a batch is held in the
+    executor and in the worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def give_back() -> None:
     """Hand freed memory back to the system: a Python worker lives on after its task and would keep it."""
     gc.collect()

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpage.llm.common import fold_of, give_back, slices, table
+from siftpage.llm.common import fold_of, give_back, slices, small_batches, table
 
 #: Bound of the expected rows of each of the two samples that are fitted on.
 FIT_ROWS = 6_000
@@ -197,6 +197,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
             yield pa.array(np.concatenate(found) if found else [], pa.float64())
         give_back()
 
+    small_batches(docs.sparkSession)
     out = docs.withColumn("score", scored(F.col("text")))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpage.llm.common import give_back, table, written
+from siftpage.llm.common import give_back, small_batches, table, written
 from siftpage.llm.components import components
 
 SHINGLE, BITS = 4, 4
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             )
         give_back()
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("content"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(each, f"doc_id {kind}, content bigint, fp bigint")
