@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Centroids are fitted on a bounded sample by balanced k-means and kept small enough for memory, with a
-graph of their nearest neighbours; every vector is filed under its nearest centroids: the nearest one,
-and each further one whose distance is within `CLOSURE` of the nearest, at most `REPLICAS` in all, so
-that vectors at a boundary are found from both sides. A query searches the graph for its nearest
-centroids, keeps those whose distance is within `REACH` of the nearest, at most `LISTS`, and compares
-itself exactly with all that is filed there.
+Centroids are fitted on a bounded sample by balanced k-means and kept small enough for memory; every
+vector is filed under its nearest centroids: the nearest one, and each further one whose distance is
+within `CLOSURE` of the nearest, at most `REPLICAS` in all, so that vectors at a boundary are found from
+both sides. A query compares itself exactly with all that is filed under its nearest centroids. How
+many of them is measured at each fit: queries of a second sample are compared with that whole sample,
+and as many lists are searched as hold the share `RECALL` of the neighbours found there. The neighbours
+in a sample lie farther off than those in the table, so the number errs to the high side.
 
 Nearness is the cosine; k-means and lists work on vectors of length one, the scores on the originals
 in double precision. Equal vectors are one entry with their smallest ids, as many as can appear in a
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 
 from siftpage.llm.common import table, written
 
-#: Bounds of the fit: expected sample rows, and centroids.
+#: Bounds of the fit: expected rows of each of two samples, and centroids.
 FIT_ROWS, CENTROIDS, ROWS_PER_CENTROID = 20_000, 1_024, 128
-DEGREE, BEAM = 16, 48
 REPLICAS, CLOSURE = 4, 1.12
-LISTS, REACH = 32, 1.35
+#: Share of the true neighbours that the searched lists must hold, and the queries it is measured on.
+RECALL, HELD = 0.98, 500
 LIST_ROWS, QUERY_ROWS = 4_000, 1_000
 
 
@@ -59,57 +60,42 @@ def balanced_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np
     return np.unique(centers, axis=0)
 
 
-def graph_of(centers: np.ndarray, degree: int = DEGREE, seed: int = 5) -> np.ndarray:
-    """For each centroid its nearest others, and two at random that tie far regions together."""
-    n = len(centers)
-    rng = np.random.default_rng(seed)
-    near = np.empty((n, min(degree, n)), np.int64)
-    for at in range(0, n, 1024):
-        close = centers[at : at + 1024] @ centers.T
-        near[at : at + 1024] = np.argsort(-close, axis=1, kind="stable")[:, : near.shape[1]]
-    return np.concatenate([near, rng.integers(0, n, (n, 2))], axis=1)
-
+def ranked(q: np.ndarray, centers: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query its `most` nearest centroids, nearest first, with their cosines."""
+    close = q @ centers.T
+    ids = np.argsort(-close, axis=1, kind="stable")[:, :most]
+    return ids, np.take_along_axis(close, ids, 1)
 
-def search(q: np.ndarray, centers: np.ndarray, graph: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the `beam` nearest centroids met by a best-first walk, with their cosines.
 
-    All queries walk at once: each takes the neighbours of all that is new in its beam until no beam
-    changes. The walk starts at evenly spaced centroids.
-    """
-    n = len(centers)
-    beam = min(beam, n)
-    start = np.unique(np.linspace(0, n - 1, beam).astype(np.int64))
-    start = np.resize(start, beam)
-    ids = np.tile(start, (len(q), 1))
-    close = q @ centers[start].T
-    fresh = np.ones_like(ids, bool)
-    while fresh.any():
-        # neighbours of what is new; what was looked at stands for itself
-        reach = np.where(fresh[:, :, None], graph[ids], ids[:, :, None]).reshape(len(q), -1)
-        # only beams that have something new are looked at again
-        rows = np.flatnonzero(fresh.any(1))
-        every = np.concatenate([ids[rows], reach[rows]], axis=1)
-        old = np.zeros(every.shape, bool)
-        old[:, : ids.shape[1]] = True
-        order = np.argsort(every * 2 + ~old, axis=1, kind="stable")  # the old one of two comes first
-        every, old = np.take_along_axis(every, order, 1), np.take_along_axis(old, order, 1)
-        again = np.concatenate([np.zeros((len(rows), 1), bool), every[:, 1:] == every[:, :-1]], axis=1)
-        values = np.einsum("ijk,ik->ij", centers[every], q[rows])
-        values[again] = -np.inf
-        best = np.argsort(-values, axis=1, kind="stable")[:, :beam]
-        ids[rows] = np.take_along_axis(every, best, 1)
-        close[rows] = np.take_along_axis(values, best, 1)
-        fresh[:] = False
-        fresh[rows] = ~np.take_along_axis(old, best, 1) & np.isfinite(close[rows])
-    return ids, close
-
-
-def chosen(close: np.ndarray, ratio: float, most: int) -> np.ndarray:
+def chosen(close: np.ndarray, ratio: float) -> np.ndarray:
     """Which of the centroids, nearest first, lie within `ratio` times the nearest distance."""
     distance = np.sqrt(np.maximum(0, 2 - 2 * close))
-    keep = distance <= ratio * distance[:, :1] + 1e-9
-    keep[:, most:] = False
-    return keep & np.isfinite(close)
+    return distance <= ratio * distance[:, :1] + 1e-9
+
+
+def lists_for(centers: np.ndarray, x: np.ndarray, top: int, seed: int = 5) -> int:
+    """How many lists a query must search so that they hold the share `RECALL` of its `top` nearest.
+
+    Some rows of x are the queries, all others their candidates, compared one with another.
+    """
+    top = min(top, len(x) - 1)
+    if top < 1:
+        return len(centers)
+    needed = []
+    asked = np.random.default_rng(seed).permutation(len(x))[:HELD]
+    for at in range(0, len(asked), 64):
+        rows = asked[at : at + 64]
+        close = x[rows] @ x.T
+        close[np.arange(len(rows)), rows] = -np.inf
+        best = np.argpartition(-close, top - 1, axis=1)[:, :top]
+        order, _ = ranked(x[rows], centers, len(centers))
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(centers))[None, :], 1)
+        lists, cosines = ranked(x[best.ravel()], centers, REPLICAS)
+        met = place[np.repeat(np.arange(len(rows)), top)[:, None], lists]
+        needed.append(np.where(chosen(cosines, CLOSURE), met, len(centers)).min(1))
+    found = np.sort(np.concatenate(needed))
+    return int(found[int(np.ceil(RECALL * len(found))) - 1]) + 1
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -132,32 +118,41 @@ def classes(rows: DataFrame, top: int) -> DataFrame:
     return first.groupBy("class", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def fit(distinct: DataFrame, bound: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
-    """Centroids and their graph from a sample of the different vectors."""
+def fit(distinct: DataFrame, top: int, bound: int = FIT_ROWS) -> tuple[np.ndarray, int] | None:
+    """Centroids from a sample of the different vectors, and how many lists a query must search.
+
+    The second sample is drawn from the other end of the hash, so that in a table of more than two
+    samples no row that shaped the centroids is in it.
+    """
     count = distinct.count()
     if not count:
         return None
     share = min(1.0, bound / count)
-    sample = distinct.filter(F.xxhash64(F.lit(3), "class") / F.lit(2.0**64) + 0.5 <= share).select("v").toPandas()["v"]
-    if not len(sample):
-        sample = distinct.limit(bound).select("v").toPandas()["v"]
-    x = unit(np.stack([np.asarray(v, np.float64) for v in sample]))
+    place = F.xxhash64(F.lit(3), "class") / F.lit(2.0**64) + 0.5
+
+    def sample(inside) -> np.ndarray:
+        rows = distinct.filter(inside).select("v").toPandas()["v"]
+        if not len(rows):
+            rows = distinct.limit(bound).select("v").toPandas()["v"]
+        x = unit(np.stack([np.asarray(v, np.float64) for v in rows]))
+        return x[np.lexsort(x.T)]
+
+    x = sample(place <= share)
     k = max(1, min(CENTROIDS, count // ROWS_PER_CENTROID, len(x)))
     centers = balanced_means(x, k)
-    return centers, graph_of(centers)
+    return centers, lists_for(centers, x if share == 1 else sample(place > 1 - share), top)
 
 
-def filed(distinct: DataFrame, model, ratio: float, most: int, columns: str) -> DataFrame:
+def filed(distinct: DataFrame, centers: np.ndarray, ratio: float, most: int, columns: str) -> DataFrame:
     """Each row once for each list it belongs to: list, and the row's own columns."""
-    centers, graph = model
     names = [c.split()[0] for c in columns.split(", ")]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 64):
                 b = batch.iloc[at : at + 64]
-                ids, close = search(unit(np.stack([np.asarray(v, np.float64) for v in b["v"]])), centers, graph, max(BEAM, most))
-                row, column = np.nonzero(chosen(close, ratio, most))
+                ids, close = ranked(unit(np.stack([np.asarray(v, np.float64) for v in b["v"]])), centers, most)
+                row, column = np.nonzero(chosen(close, ratio))
                 yield pd.DataFrame({"list": ids[row, column]} | {n: b[n].to_numpy()[row] for n in names})
 
     return distinct.select(*names).mapInPandas(each, f"list bigint, {columns}")
@@ -219,14 +214,15 @@ def nearest(vectors: DataFrame, is_query, top: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     rows = usable(vectors)
     distinct = written(classes(rows, top), "classes")
-    model = fit(distinct)
+    model = fit(distinct, top)
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if model is None:
         return empty
     asked = rows.filter(is_query).select("vec_id", F.xxhash64("v").alias("class"), "v")
     wanted = asked.select("class", "v").distinct()
-    members = filed(distinct, model, CLOSURE, REPLICAS, "class bigint, v array<double>, ids array<bigint>")
-    queries = filed(wanted, model, REACH, LISTS, "class bigint, v array<double>")
+    centers, lists = model
+    members = filed(distinct, centers, CLOSURE, REPLICAS, "class bigint, v array<double>, ids array<bigint>")
+    queries = filed(wanted, centers, float("inf"), lists, "class bigint, v array<double>")
     members, queries = written(members, "lists"), written(queries, "asked")
     found = compared(queries, members, top)
     # a query whose lists hold fewer than it must return is compared with all lists
@@ -235,13 +231,13 @@ def nearest(vectors: DataFrame, is_query, top: int = 5) -> DataFrame:
     enough = found.groupBy("class").count().filter(F.col("count") >= min(top + 1, total))
     short = wanted.join(enough, "class", "left_anti")
     if not short.isEmpty():
-        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(model[0]) - 1).cast("bigint")))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(centers) - 1).cast("bigint")))
         found = found.join(enough, "class", "left_semi").unionByName(compared(short.withColumn("list", every), members, top))
     order = Window.partitionBy("class").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= top + 1)
-    lists = best.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
+    answers = best.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
     # a query's own id is taken out of its vector's list
-    own = asked.join(lists, "class").select(
+    own = asked.join(answers, "class").select(
         F.col("vec_id").alias("query_id"), F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")).alias("found")
     )
     return own.select("query_id", F.posexplode(F.slice("found", 1, top)).alias("at", "x")).select(

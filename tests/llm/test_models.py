@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +172,21 @@ def test_neighbours_recall(spark, monkeypatch, rows):
     assert hits >= 0.9 * len(got)
 
 
+def test_neighbours_recall_with_many_lists(spark, tmp_path):
+    # 390 centroids: a query must search more lists than a small fixed number
+    x = np.random.default_rng(3).normal(size=(50_000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}), tmp_path / "e.parquet")
+    got = posting_lists.nearest(spark.read.parquet(str(tmp_path / "e.parquet")), F.col("vec_id") % 200 == 0).toPandas()
+    wide = x.astype(float)
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = wide @ wide[q]
+        s[q] = -2
+        hits += len(set(g["vec_id"]) & set(np.argpartition(-s, 5)[:5].tolist()))
+    assert len(got) == 5 * 250 and hits >= 0.95 * len(got)
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, i / 10.0], 0) for i in range(1, 8)] + [(50, [1.0, 0.3], 0), (100, [1.0, 0.3], 0), (100, [1.0, 0.3], 0)]
