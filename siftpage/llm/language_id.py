@@ -3,14 +3,16 @@
 Texts are compared by the blended-spectrum presence kernel: the number of character n-grams, of all
 lengths from 1 to 3, that two texts share, each counted once, divided by the root of the product of
 the texts' own numbers. Landmark texts give the Nyström approximation of that kernel, and one ridge
-regression against the rest for each language is solved in the landmarks' feature space. A batch of
-texts is scored by matrix products: presence times landmarks' presence, normalised, times weights.
+regression against the rest for each language is solved in the landmarks' feature space. The different
+n-grams of a text are looked up among those of the landmarks and counted for each landmark; these counts,
+normalised by the text's own number of different n-grams, times weights are its score.
 
-n-grams are hashed to `WIDTH` places; the kernel is then that of the hashed presence vectors. Letters
-are lower-cased and runs of other characters count as one blank, so that symbols and digits say nothing.
+An n-gram of at most three code points is one number of 63 bits, so nothing is hashed and the kernel is
+exact however long a text or large its script is. Letters are lower-cased and runs of other characters
+count as one blank, so that symbols and digits say nothing.
 
-The fit uses a sample bounded by `FIT_ROWS` rows for each language, chosen by hash, as bit vectors of
-fixed size (`WIDTH` / 8 bytes each). Prediction reads every whole text.
+The fit uses a sample bounded by `FIT_ROWS` rows for each language, chosen by hash; the n-grams of the
+landmark texts are held in memory. Prediction reads every whole text, `STEP` characters at a time.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without training rows all
 texts are `und`; with one language all others get it with score 1; repeated rows are predicted alike;
@@ -28,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpage.llm.common import fold_of, give_back, table
+from siftpage.llm.common import fold_of, give_back, small_batches, table, written
 
-LENGTHS, WIDTH = (1, 2, 3), 1 << 15
+LENGTHS = (1, 2, 3)
 #: Bounds of the fit: expected sample rows for each language, landmarks over all languages.
 FIT_ROWS, LANDMARKS = 400, 96
 RIDGE, SHARPNESS = 1e-3, 4.0
-#: Texts whose presence vectors are held at once.
-CHUNK = 64
+#: Texts scored at once, and places of a text whose n-grams are sorted at once.
+CHUNK, STEP = 64, 1 << 20
 
 BLANK = 32
 
@@ -53,94 +55,122 @@ def _folded() -> np.ndarray:
 FOLDED = _folded()
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """One row of `WIDTH` zeros and ones for each text."""
-    out = np.zeros((len(texts), WIDTH), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        points = FOLDED[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-        if len(points) > 1:
-            blank = points == BLANK
-            points = points[np.append(True, ~(blank[1:] & blank[:-1]))]
-        for n in LENGTHS:
-            if len(points) < n:
-                break
-            h = np.full(len(points) - n + 1, n, np.uint32)
-            for k in range(n):
-                h = (h ^ points[k : len(points) - n + 1 + k]) * np.uint32(0x9E3779B1)
-                h ^= h >> np.uint32(15)
-            row[h & np.uint32(WIDTH - 1)] = 1
-    return out
+def grams(text: str) -> np.ndarray:
+    """The different n-grams of a text, sorted. No folded point is 0, so the lengths share no number."""
+    points = FOLDED[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+    if len(points) > 1:
+        blank = points == BLANK
+        points = points[np.append(True, ~(blank[1:] & blank[:-1]))]
+    out = []
+    for n in LENGTHS:
+        found = np.zeros(0, np.int64)
+        for at in range(0, len(points) - n + 1, STEP):
+            part = points[at : at + STEP + n - 1].astype(np.int64)
+            key = part[: len(part) - n + 1].copy()
+            for k in range(1, n):
+                key |= part[k : len(part) - n + 1 + k] << (21 * k)
+            key = np.unique(key)
+            found = np.union1d(found, key) if len(found) else key
+        out.append(found)
+    return np.concatenate(out)
 
 
-class Model:
-    """Languages, landmark presence (bits), and the weights of each language for the landmarks."""
-
-    def __init__(self, langs: list[str], bits: np.ndarray, weights: np.ndarray):
-        self.langs, self.bits, self.weights = langs, bits, weights
+def presence(texts: list[str]) -> np.ndarray:
+    """One row of zeros and ones for each text, over all their n-grams: the kernel's vectors in full, for few texts."""
+    own = [grams(t) for t in texts]
+    every = np.unique(np.concatenate(own))
+    return np.stack([np.isin(every, g) for g in own]).astype(np.float32)
 
-    def kernel(self, x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-        own = np.sqrt(np.maximum(1, x.sum(1)))[:, None] * np.sqrt(np.maximum(1, landmarks.sum(1)))[None, :]
-        return (x @ landmarks.T) / own
 
-    def predict(self, texts: list[str], landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Model:
+    """Languages, the landmarks' n-grams (each with the landmarks that have it), and the weights of each
+    language for the landmarks."""
+
+    def __init__(self, langs: list[str], landmarks: list[np.ndarray]):
+        self.langs, self.weights = langs, None
+        self.sizes = np.array([len(g) for g in landmarks])
+        flat = np.concatenate(landmarks)
+        order = np.argsort(flat, kind="stable")
+        self.owners = np.repeat(np.arange(len(landmarks), dtype=np.int32), self.sizes)[order]
+        self.keys, counts = np.unique(flat, return_counts=True)
+        self.offsets = np.append(0, np.cumsum(counts))
+
+    def kernel(self, own: np.ndarray) -> np.ndarray:
+        """The kernel of a text, given its n-grams, and each landmark."""
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        at = at[self.keys[at] == own]
+        starts, lengths = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
+        places = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        shared = np.bincount(self.owners[places], minlength=len(self.sizes))
+        return shared / (np.sqrt(max(1, len(own))) * np.sqrt(np.maximum(1, self.sizes)))
+
+    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of the language and a score from 0 to 1 for each text."""
-        z = SHARPNESS * (self.kernel(presence(texts), landmarks).astype(np.float64) @ self.weights)
+        z = SHARPNESS * (np.stack([self.kernel(grams(t)) for t in texts]) @ self.weights)
         e = np.exp(z - z.max(1, keepdims=True))
         e /= e.sum(1, keepdims=True)
         return e.argmax(1), e.max(1)
 
 
-def unpacked(bits: np.ndarray) -> np.ndarray:
-    return np.unpackbits(bits, axis=1).astype(np.float32)
-
+def solve(model: Model, marks: np.ndarray, langs: list[str], rows: np.ndarray) -> None:
+    """The weights, from the kernel of the landmarks, and the language and kernel row of each sample row.
 
-def fit(langs: list[str], bits: np.ndarray, seed: int = 5) -> Model:
-    """From the language and the packed presence bits of each sample row.
-
-    Landmarks are drawn evenly from the languages. With K the kernel of the landmarks, the features of
-    a text are K^(-1/2) times its kernel row; the ridge solution is folded back onto kernel rows.
+    With K the kernel of the landmarks, the features of a text are K^(-1/2) times its kernel row; the
+    ridge solution is folded back onto kernel rows.
     """
-    names = sorted(set(langs))
-    order = np.lexsort((np.array([b.tobytes() for b in bits]), np.array(langs)))
-    langs, bits = [langs[i] for i in order], bits[order]
-    rng = np.random.default_rng(seed)
-    of = {n: np.array([i for i, x in enumerate(langs) if x == n]) for n in names}
-    share = max(1, LANDMARKS // len(names))
-    marks = np.concatenate([rng.permutation(of[n])[:share] for n in names])
-    model = Model(names, bits[marks], None)
-    x, z = unpacked(bits), unpacked(bits[marks])
-    values, vectors = np.linalg.eigh(model.kernel(z, z).astype(np.float64))
+    order = np.lexsort([*rows.T, np.array(langs)])
+    langs, rows = np.array(langs)[order], rows[order]
+    values, vectors = np.linalg.eigh(marks)
     root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
-    phi = model.kernel(x, z).astype(np.float64) @ root
-    y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    phi = rows @ root
+    y = np.where(langs[:, None] == np.array(model.langs)[None, :], 1.0, -1.0)
     # languages weigh alike, whatever their rows
-    weight = np.array([1 / len(of[n]) for n in langs])[:, None]
+    counts = {n: int((langs == n).sum()) for n in model.langs}
+    weight = np.array([1 / counts[n] for n in langs])[:, None]
     solved = np.linalg.solve(phi.T @ (phi * weight) + RIDGE * np.eye(len(marks)), phi.T @ (y * weight))
     model.weights = root @ solved
-    return model
 
 
 def train(docs: DataFrame, rows: int = FIT_ROWS) -> Model | None:
-    """The model from docs (doc_id, text, lang); None without a usable row. Hold out before."""
+    """The model from docs (doc_id, text, lang); None without a usable row. Hold out before.
+
+    Landmarks are drawn evenly from the languages, by hash.
+    """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return None
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))))
     chosen = usable.filter(F.xxhash64(F.lit(3), "doc_id") / F.lit(2.0**64) + 0.5 <= share[F.col("lang")])
+    small_batches(docs.sparkSession)
+    chosen = written(chosen.select("lang", "text", F.xxhash64(F.lit(5), "doc_id", "text").alias("place")), "sample")
+    places: dict[str, set[int]] = {}
+    for r in chosen.select("lang", "place").collect():
+        places.setdefault(r["lang"], set()).add(r["place"])
+    if not places:
+        return None
+    names = sorted(places)
+    most = max(1, LANDMARKS // len(names))
+    drawn = [(n, p) for n in names for p in sorted(places[n])[:most]]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), CHUNK):
-                part = b.iloc[at : at + CHUNK]
-                packed = np.packbits(presence(part["text"].tolist()).astype(bool), axis=1)
-                yield pd.DataFrame({"lang": part["lang"].tolist(), "bits": [r.tobytes() for r in packed]})
+            for lang, place, text in zip(b["lang"], b["place"], b["text"], strict=True):
+                yield pd.DataFrame({"lang": [lang], "place": [place], "grams": [grams(text).tobytes()]})
 
-    found = chosen.select("lang", "text").mapInPandas(each, "lang string, bits binary").toPandas()
-    if found.empty:
-        return None
-    bits = np.stack([np.frombuffer(b, np.uint8) for b in found["bits"]])
-    return fit(found["lang"].tolist(), bits)
+    marked = chosen.filter(F.col("place").isin([p for _, p in drawn]))
+    found = marked.mapInPandas(own, "lang string, place bigint, grams binary").collect()
+    held = {(r["lang"], r["place"]): np.frombuffer(r["grams"], np.int64) for r in found}
+    landmarks = [held[d] for d in drawn]
+    model = Model(names, landmarks)
+
+    def kernels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"lang": b["lang"].tolist(), "k": [model.kernel(grams(t)) for t in b["text"]]})
+
+    sample = chosen.select("lang", "text").mapInPandas(kernels, "lang string, k array<double>").toPandas()
+    solve(model, np.stack([model.kernel(g) for g in landmarks]), sample["lang"].tolist(), np.stack(sample["k"]))
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -148,11 +178,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     @F.arrow_udf("lang string, score double")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        landmarks = unpacked(model.bits)
         for texts in batches:
             names, scores = [], []
             for at in range(0, len(texts), CHUNK):
-                which, score = model.predict([t or "" for t in texts.slice(at, CHUNK).to_pylist()], landmarks)
+                which, score = model.predict([t or "" for t in texts.slice(at, CHUNK).to_pylist()])
                 names += [model.langs[k] for k in which]
                 scores += score.tolist()
             yield pa.StructArray.from_arrays(

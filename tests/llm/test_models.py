@@ -32,6 +32,18 @@ def test_language_kernel():
     assert a.sum() == len(grams("abc d")) and (a & b).sum() == len(grams("abc d") & grams("bcd"))
 
 
+def test_language_long_texts(spark):
+    """Two made-up scripts of 3,000 signs: a text of 300,000 signs has more n-grams than any small table of bits."""
+    rng = np.random.default_rng(7)
+    signs = {"aa": 0x4E00 + np.arange(3_000), "bb": 0x4E00 + 3_000 + np.arange(3_000)}
+    written = lambda lang, n: "".join(map(chr, rng.choice(signs[lang], n)))
+    rows = [(i, written(("aa", "bb")[i % 2], 2_000), ("aa", "bb")[i % 2]) for i in range(60)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    long = [(100 + i, written(("aa", "bb")[i % 2], 300_000), ("aa", "bb")[i % 2]) for i in range(6)]
+    got = language_id.predict(spark.createDataFrame(long, "doc_id bigint, text string, lang string"), model).collect()
+    assert [r["lang_pred"] for r in got] == [r["lang"] for r in got]
+
+
 def test_language_odd_rows(spark):
     rows = [(1, "der und die", "de", 1.0), (2, "the and of", "en", 1.0), (3, None, "en", 1.0), (4, "", "en", 1.0), (5, "12 !", "de", 1.0), (6, "the " * 60_000, None, 1.0)]
     rows += [rows[0]]
