@@ -2,13 +2,14 @@
 
 A list is a table of dated entries: from its day on, `key` has the status 'block', 'allow' or 'none'
 until the key's next entry. Entries become validity intervals, and each capture is joined as of its
-fetch time to the intervals of its keys: host with first path segment, host, registered domain (the
-last two labels). The most specific key with an active status other than 'none' decides; a capture
-without one is kept.
+fetch time to the intervals of its keys: its host with each prefix of its path, by whole segments, the
+host alone, and each suffix of the host by whole labels, at least two. The most specific key with an
+active status other than 'none' decides: the longest path, then the longest host. A capture without one
+is kept.
 
-A key has at most one interval at any time, so the three joins add no rows and captures need no
-grouping; the captures of a hot host can be split by the engine, as every join keeps captures on its
-left side. Only the narrow capture columns take part.
+Only different (URL, fetch time) pairs are taken apart into narrow rows (capture, level, key); what
+matches is reduced to the most specific hit of a pair before it is joined to the captures. A key has at
+most one interval at any time, so no join adds rows, and repeated captures of one URL meet as one row.
 
 Defined results: a null or malformed URL has no keys and is kept; with a null fetch time no entry is
 active; entries of one key on one day count as one, 'block' before 'allow' before 'none'; repeated
@@ -20,22 +21,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftpage.llm.common import table
+from siftpage.llm.common import let, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 SEGMENT = HOST + r"(?::[0-9]*)?(/[^/?#]+)"
+PATH = HOST + r"(?::[0-9]*)?(/[^?#]*)"
 DOMAIN = r"([^.]+\.[^.]+)$"
-LEVELS = ("path", "host", "domain")
 
 
 def keys_of(url: Column) -> dict[str, Column]:
-    """The keys of a URL by level; null where it has none."""
+    """The keys of a URL that `entries_of` lists, by level; null where it has none."""
     some = lambda x: F.when(x != "", x)
     host = F.lower(some(F.regexp_extract(url, HOST, 1)))
     segment = some(F.regexp_extract(url, SEGMENT, 2))
     return {"path": F.concat(host, segment), "host": host, "domain": some(F.regexp_extract(host, DOMAIN, 1))}
 
 
+def levels_of(url: Column) -> Column:
+    """All keys of a URL as an array of (level, key), the most specific first; empty where it has none.
+
+    Paths have negative levels, by their number of segments; the host is 0, its suffixes count up.
+    """
+    host = F.lower(F.regexp_extract(url, HOST, 1))
+    path = F.regexp_replace(F.regexp_extract(url, PATH, 2), "/+$", "")
+    segments = F.when(path == "", F.array().cast("array<string>")).otherwise(F.split(F.substring(path, 2, 1 << 30), "/"))
+    named = lambda level, key: F.struct(level.cast("int").alias("level"), key.alias("key"))
+
+    def of(x: Column) -> Column:
+        host, segments, labels = x["host"], x["segments"], x["labels"]
+        n = F.size(segments)
+        deep = F.when(n > 0, F.sequence(n, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        paths = F.transform(deep, lambda k: named(-k, F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/"))))
+        most = F.size(labels) - 2
+        steps = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+        suffixes = F.transform(steps, lambda k: named(k, F.array_join(F.slice(labels, k + 1, F.size(labels)), ".")))
+        return F.concat(paths, F.array(named(F.lit(0), host)), F.filter(suffixes, lambda y: y["key"].rlike(DOMAIN)))
+
+    parts = F.struct(host.alias("host"), segments.alias("segments"), F.split(host, r"\.").alias("labels"))
+    return F.when(host != "", let(parts, of))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """key, status, since, until (null: open) from key, day, status.
 
@@ -52,34 +77,15 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """All captures (url, fetched_at, ...) with blocked, matched_key and listed_since."""
     valid = intervals(entries)
-    out = captures
-    for level, key in keys_of(F.col("url")).items():
-        v = valid.select(
-            F.col("key").alias(f"__{level}"),
-            F.col("status").alias(f"__{level}_status"),
-            F.col("since").alias(f"__{level}_since"),
-            F.col("until").alias(f"__{level}_until"),
-        )
-        active = (F.col("fetched_at") >= F.col(f"__{level}_since")) & (
-            F.col(f"__{level}_until").isNull() | (F.col("fetched_at") < F.col(f"__{level}_until"))
-        )
-        out = out.withColumn(f"__k_{level}", key)
-        out = out.join(v, (F.col(f"__k_{level}") == F.col(f"__{level}")) & active, "left")
-    hit = F.coalesce(
-        *(
-            F.when(
-                F.col(f"__{level}_status").isin("block", "allow"),
-                F.struct(
-                    F.col(f"__{level}_status").alias("status"),
-                    F.col(f"__{level}").alias("key"),
-                    F.col(f"__{level}_since").alias("since"),
-                ),
-            )
-            for level in LEVELS
-        )
-    )
-    return out.withColumn("__hit", hit).select(
-        *captures.columns,
+    pairs = captures.select("url", "fetched_at").filter("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
+    rows = pairs.select("url", "fetched_at", F.explode(levels_of(F.col("url"))).alias("x")).select("url", "fetched_at", "x.*")
+    active = (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
+    met = rows.join(valid.filter("status <> 'none'"), "key").filter(active)
+    hit = F.min_by(F.struct("status", "key", "since"), "level").alias("__hit")
+    hits = met.groupBy(F.col("url").alias("__url"), F.col("fetched_at").alias("__at")).agg(hit)
+    out = captures.join(hits, (F.col("url") == F.col("__url")) & (F.col("fetched_at") == F.col("__at")), "left")
+    return out.select(
+        *(captures[c] for c in captures.columns),
         F.coalesce(F.col("__hit.status") == "block", F.lit(False)).alias("blocked"),
         F.col("__hit.key").alias("matched_key"),
         F.col("__hit.since").alias("listed_since"),

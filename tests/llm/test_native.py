@@ -169,6 +169,27 @@ def test_url_lists(spark):
     assert url_filters.judge(captures.limit(0), entries).count() == 0
 
 
+def test_url_filter_levels(spark):
+    """Entries for a middle level of the host, below a suffix of two parts, and for deeper paths."""
+    on = datetime.datetime(2024, 1, 1)
+    keys = [("b.example.com", "block"), ("example.co.uk", "block"), ("deep.org/a/b", "block"), ("deep.org/a/b/c", "allow")]
+    entries = spark.createDataFrame([(k, on, s) for k, s in keys], "key string, day timestamp, status string")
+    rows = {
+        "http://a.b.example.com/x": (True, "b.example.com"),
+        "http://ab.example.com/x": (False, None),
+        "http://www.example.co.uk": (True, "example.co.uk"),
+        "http://other.co.uk/": (False, None),
+        "http://deep.org/a/b?q=/c": (True, "deep.org/a/b"),
+        "http://deep.org:80/a/b/d": (True, "deep.org/a/b"),
+        "http://deep.org/a/b/c/d#e": (False, "deep.org/a/b/c"),
+        "http://deep.org/a/bc": (False, None),
+        "http://deep.org//a/b": (False, None),
+    }
+    captures = spark.createDataFrame([(u, on) for u in rows], "url string, fetched_at timestamp")
+    got = {r["url"]: (r["blocked"], r["matched_key"]) for r in url_filters.judge(captures, entries).collect()}
+    assert got == rows
+
+
 def fill(sizes, weights, most):
     """Targets by sharing again and again what is above the stops."""
     goal, capped = {}, set()
