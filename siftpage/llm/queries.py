@@ -5,6 +5,7 @@ from __future__ import annotations
 from siftpage.llm import (
     bpe_tree,
     chat_format,
+    filter_audit,
     kneser_ney,
     language_id,
     mixing,
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_bpe_encoding": bpe_tree.op8_bpe_encoding,
     "op9_nearest_neighbours": posting_lists.op9_nearest_neighbours,
     "op10_quality_classifier": pu_quality.op10_quality_classifier,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op4_chat_formatting": chat_format.OP4_SQL,
     "op5_url_filters": url_filters.OP5_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
