@@ -13,6 +13,7 @@ from siftpage.llm import (
     pu_quality,
     quality_rules,
     simhash_dedup,
+    turn_repair,
     url_filters,
 )
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_nearest_neighbours": posting_lists.op9_nearest_neighbours,
     "op10_quality_classifier": pu_quality.op10_quality_classifier,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_conversation_repair": turn_repair.op12_conversation_repair,
 }
 
 SQL = {
@@ -35,4 +37,5 @@ SQL = {
     "op4_chat_formatting": chat_format.OP4_SQL,
     "op5_url_filters": url_filters.OP5_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_conversation_repair": turn_repair.OP12_SQL,
 }
