@@ -7,6 +7,7 @@ from siftpage.llm import (
     chat_format,
     filter_audit,
     kneser_ney,
+    label_shards,
     language_id,
     mixing,
     posting_lists,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_quality_classifier": pu_quality.op10_quality_classifier,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_conversation_repair": turn_repair.op12_conversation_repair,
+    "op13_label_shards": label_shards.op13_label_shards,
 }
 
 SQL = {
