@@ -9,9 +9,10 @@ granted, and of the gain at which a quota ends the share that fits, whole hubs b
 no row moves, or after `ROUNDS`.
 
 Then sizes are made even. Linked rows stay in their shard up to its capacity, hub by hub; what is
-above, and all rows without links, which cut nothing wherever they go, stand in one line that is cut
-at the shards' free bytes. A document lies where its middle lies, so a shard misses its capacity by
-less than the largest document. A group of equal texts that lies across a cut is divided there.
+above, and all rows without links, which cut nothing wherever they go, stand in a line that is cut at
+the shards' free bytes. A row lies where its middle lies. Large rows are placed first and small ones
+then fill what is free, so a shard misses its capacity by less than a small row, if there are enough of
+them. A group of equal texts that lies across a cut is divided there.
 
 What meets in a task is never a group or a shard: counts of hubs and shards are merged before they
 are shuffled, running sums go over slices of hash ranges whose number follows the rows, and a line is
@@ -145,12 +146,53 @@ def within(borders: Sequence[int], place: Column) -> Column:
     return sum(((place >= F.lit(b)).cast("int") for b in borders), F.lit(0))
 
 
+def in_line(rows: DataFrame, loose: DataFrame, count: int, borders: Sequence[int]) -> DataFrame:
+    """row, size and shard of the rows of loose pieces (piece, shard, bytes, n), which stand in one line that
+    is cut at the borders.
+
+    Rows of one piece that lie between two borders are one row of the line; the few pieces that lie
+    across a border are placed row by row.
+    """
+    # a piece has one row in the line for each shard that it was in
+    line = running(
+        loose.withColumns({"one": F.lit(0), "place": F.xxhash64("piece", "shard")}), ["one"], "place", F.col("bytes"), F.lit(count)
+    )
+    first = within(borders, F.col("start"))
+    whole = first == within(borders, F.col("start") + F.col("bytes") - 1)
+    goal = F.when(F.col("n") == 1, within(borders, F.col("start") + F.col("bytes") / 2)).when(whole, first)
+    named = line.select(F.col("piece").alias("_piece"), F.col("shard").alias("_shard"), F.col("start").alias("from"), "n", goal.alias("goal"))
+    joined = rows.join(named, (rows["piece"] == named["_piece"]) & rows["shard"].eqNullSafe(named["_shard"]))
+    simple = joined.filter("goal is not null").select("row", "size", F.col("goal").alias("shard"))
+    split = joined.filter("goal is null").select(
+        "row", "size", "o", "piece", F.coalesce("_shard", F.lit(-1)).alias("was"), "from", "n"
+    )
+    split = running(split, ["piece", "was"], "o", F.col("size"), F.col("n"))
+    place = F.col("from") + F.col("start") + F.col("size") / 2
+    return simple.unionByName(split.select("row", "size", within(borders, place).alias("shard")))
+
+
+def shares(room: Sequence[int], total: int) -> list[int]:
+    """Borders of a line of `total` bytes that is divided in proportion to the room of each shard."""
+    room = [max(0, r) for r in room]
+    return [total * sum(room[: k + 1]) // max(1, sum(room)) for k in range(len(room) - 1)]
+
+
+def fine_class(sizes: dict[int, int], shards: int) -> int:
+    """The class (power of two) of row sizes from which on rows go before: those below it hold enough
+    bytes to make up for what the others miss the borders by. sizes: bytes by class."""
+    enough, so_far = shards * 2 ** (max(sizes, default=0) + 1), 0
+    for c in sorted(sizes):
+        if so_far >= enough:
+            return c
+        so_far += sizes[c]
+    return 0
+
+
 def evened(rows: DataFrame, capacity: Sequence[int]) -> DataFrame:
     """row and shard for all rows: row, size, piece (hash of what should stay together), o (a hash of
     the row) and shard (null: anywhere). Sizes near the capacities, which add up to all bytes.
 
-    Rows of one piece that stay or move together are one row of the line; the few that lie across a
-    cut are placed row by row.
+    Large loose rows go first, in proportion to the free bytes; small ones fill what is then free.
     """
     shards = len(capacity)
     pieces = written(rows.groupBy("piece", "shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "pieces")
@@ -160,33 +202,21 @@ def evened(rows: DataFrame, capacity: Sequence[int]) -> DataFrame:
     settled = running(settled, ["shard"], "piece", F.col("bytes"), F.col("pieces"))
     settled = settled.withColumn("stays", F.col("start") + F.col("bytes") <= room)
     settled = written(settled.select("piece", "shard", "bytes", "n", "stays"), "settled")
-    kept = dict(settled.filter("stays").groupBy("shard").agg(F.sum("bytes")).collect())
     loose = settled.filter("not stays").drop("stays").union(pieces.filter("shard is null").select("piece", "shard", "bytes", "n"))
-    count = loose.count()
-    borders, at = [], 0
-    for k in range(shards - 1):
-        at += capacity[k] - kept.get(k, 0)
-        borders.append(at)
-    # a piece has one row in the line for each shard that it was in; they stand side by side
-    line = running(
-        loose.withColumns({"one": F.lit(0), "place": F.xxhash64("piece", "shard")}), ["one"], "place", F.col("bytes"), F.lit(count)
-    )
-    goal, last = within(borders, F.col("start") + F.col("bytes") / 2), within(borders, F.col("start") + F.col("bytes") - 1)
-    whole = (F.col("n") == 1) | (within(borders, F.col("start")) == last)
-    line = line.select("piece", "shard", "start", "n", F.when(whole, goal).alias("goal"))
-    stays = settled.filter("stays").select(
-        "piece", "shard", F.lit(None).cast("bigint").alias("start"), "n", F.col("shard").alias("goal")
-    )
-    plan = written(stays.unionByName(line), "plan")
-    named = plan.select(F.col("piece").alias("_piece"), F.col("shard").alias("_shard"), "start", "n", "goal")
-    joined = rows.join(named, (rows["piece"] == named["_piece"]) & rows["shard"].eqNullSafe(named["_shard"]))
-    simple = joined.filter("goal is not null").select("row", F.col("goal").alias("shard"))
-    split = joined.filter("goal is null").select("row", "size", "o", "piece", "_shard", F.col("start").alias("from"), "n")
-    # shard as a key of its own, never null
-    split = split.withColumn("was", F.coalesce("_shard", F.lit(-1))).drop("_shard")
-    split = running(split, ["piece", "was"], "o", F.col("size"), F.col("n"))
-    place = F.col("from") + F.col("start") + F.col("size") / 2
-    return simple.unionByName(split.select("row", within(borders, place).alias("shard")))
+    loose = written(loose.withColumn("class", F.floor(F.log2(F.col("bytes") / F.col("n"))).cast("int")), "loose")
+    classes = {c: (n, size) for c, n, size in loose.groupBy("class").agg(F.count("*"), F.sum("bytes")).collect()}
+    fine = fine_class({c: size for c, (_, size) in classes.items()}, shards)
+
+    stay = settled.filter("stays").select(F.col("piece").alias("_piece"), F.col("shard").alias("_shard"))
+    done = rows.join(stay, (rows["piece"] == stay["_piece"]) & (rows["shard"] == stay["_shard"])).select("row", "size", "shard")
+    done = written(done, "stay")
+    for some, test in ((lambda c: c >= fine, F.col("class") >= fine), (lambda c: c < fine, F.col("class") < fine)):
+        held = dict(done.groupBy("shard").agg(F.sum("size")).collect())
+        free = [c - held.get(k, 0) for k, c in enumerate(capacity)]
+        count, size = (sum(x[i] for c, x in classes.items() if some(c)) for i in (0, 1))
+        placed = in_line(rows, loose.filter(test).drop("class"), count, shares(free, size))
+        done = done.union(written(placed, "line"))
+    return done.select("row", "shard")
 
 
 def nodes(docs: DataFrame) -> DataFrame:
