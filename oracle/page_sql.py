@@ -167,6 +167,21 @@ body AS MATERIALIZED (
   LEFT JOIN ttl t USING (page_id))
 """
 
+MARKS = "'cf-browser-verification|challenge-form|cf_clearance|ddos-guard'"
+NOTICE = f"""
+notice AS MATERIALIZED (
+  SELECT b.page_id,
+    lower(b.title || ' ' || coalesce(h.headings, '')
+      || CASE WHEN len(regexp_extract_all(b.body, '\\S+')) < 60 THEN ' ' || b.body ELSE '' END) AS said,
+    coalesce(c.marked, false) AS marked
+  FROM body b
+  LEFT JOIN (SELECT page_id, string_agg(joined, ' ' ORDER BY eid) AS headings FROM node
+             WHERE tag IN ('h1', 'h2', 'h3') GROUP BY page_id) h USING (page_id)
+  LEFT JOIN (SELECT page_id, bool_or(regexp_matches(lower(concat_ws(' ', {attr("id")}, {attr("class")}, {attr("name")},
+               {attr("action")})), {MARKS})) AS marked FROM node GROUP BY page_id) c USING (page_id))
+"""
+
+
 # Non-ASCII letters and digits become '_', so that RE2's ASCII word boundaries are right for them.
 def ascii_words(x: str) -> str:
     return rf"regexp_replace({x}, '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{M}}\p{{C}}]', '_', 'g')"

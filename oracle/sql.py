@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.feature_sql import TEXT, features_query, lg, ratio, rules_query
-from oracle.page_sql import attr, page_query
+from oracle.page_sql import NOTICE, attr, page_query
 from siftpage.operators.features import FEATURE_COLUMNS
 
 SQL: dict[str, str] = {}
@@ -84,11 +84,11 @@ SQL["page_text_table"] = page_query(
 )
 SQL["blocked_pages"] = page_query(
     r"""
-SELECT page_id, regexp_matches(lower(html || regexp_extract(html, '<title>([^<]*)</title>', 1)),
-  'cf-browser-verification|challenge-form|cf_clearance|ray id|just a moment|ddos-guard|please verify you are a human|access denied|403 forbidden|captcha|enable javascript|checking your browser|security check|bot detection|are you a robot')::INT AS blocked
-FROM deco
+SELECT page_id, (marked OR regexp_matches(said,
+  'cf-browser-verification|challenge-form|cf_clearance|ray id|just a moment|ddos-guard|please verify you are a human|access denied|403 forbidden|captcha|enable javascript|checking your browser|security check|bot detection|are you a robot'))::INT AS blocked
+FROM notice
 """,
-    parts=(),
+    parts=("tree", NOTICE.strip()),
 )
 LINKS = f"""
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY eid) - 1 AS pos,
@@ -115,8 +115,7 @@ FROM node WHERE tag IN ('h1', 'h2', 'h3', 'h4') AND joined <> ''
 SQL["links_table"] = page_query(LINKS, parts=("tree", "url"))
 SQL["images_table"] = page_query(IMAGES)
 SQL["heading_texts"] = page_query(HEADINGS)
-SQL["forms_inputs"] = page_query(
-    f"""
+FORMS = f"""
 SELECT page_id, form, action, method, CASE WHEN fid IS NOT NULL
     THEN row_number() OVER (PARTITION BY page_id, form ORDER BY fid) - 1 END AS pos,
   type, name, placeholder, required
@@ -131,7 +130,7 @@ FROM (
     AND i.tag IN ('input', 'select', 'textarea')
   WHERE f.tag = 'form')
 """
-)
+SQL["forms_inputs"] = page_query(FORMS)
 
 
 def _meta(key: str, condition: str) -> str:
@@ -149,7 +148,7 @@ SQL["jsonld_types"] = page_query(
     r"""
 SELECT page_id, unnest(range(0, len(l))) AS pos, unnest(l) AS type
 FROM (SELECT page_id, regexp_extract_all(
-  regexp_extract(html, '(?s)<script type="application/ld\+json">(.*?)</script>', 1),
+  regexp_extract(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script type="application/ld\+json">(.*?)</script>', 1),
   '"@type":"([^"]*)"', 1) AS l FROM deco) WHERE len(l) > 0
 """,
     parts=(),
@@ -173,6 +172,36 @@ FROM deco d JOIN body b USING (page_id) JOIN upart u USING (page_id)
 """,
     parts=("tree", "url"),
 )
+COUNTED = SQL["snapshot_counts"].rpartition("\nSELECT d.page_id")[2]
+SQL["page_snapshot"] = page_query(
+    f"""
+SELECT c.*, 'success' AS status, 1 AS rebuilt_from_html, d.url, coalesce(m.v, '') AS meta, coalesce(og.v, '') AS open_graph,
+  coalesce(j.raw, '') AS schema_raw, coalesce(j.types, '') AS schema_types,
+  {", ".join(f"coalesce({h}.v, '') AS {h}_texts" for h in ("h1", "h2", "h3", "h4"))},
+  coalesce(r.v, '') AS rel_links, coalesce(f.v, '') AS form_lines, md5(coalesce(l.v, '')) AS links_md5,
+  md5(coalesce(i.v, '')) AS images_md5, md5(regexp_replace(b.body, '\\s+', ' ', 'g')) AS body_md5
+FROM (SELECT d.page_id{COUNTED}) c JOIN deco d USING (page_id) JOIN body b USING (page_id)
+LEFT JOIN (SELECT page_id, string_agg(key || '=' || value, chr(10) ORDER BY key || '=' || value) AS v
+           FROM ({_meta(f"coalesce({attr('name')}, {attr('property')})", "value <> ''")}) GROUP BY page_id) m USING (page_id)
+LEFT JOIN (SELECT page_id, string_agg(key || '=' || value, chr(10) ORDER BY key || '=' || value) AS v
+           FROM ({_meta(attr("property"), "starts_with(key, 'og:')")}) GROUP BY page_id) og USING (page_id)
+LEFT JOIN (SELECT page_id, raw, array_to_string(regexp_extract_all(raw, '"@type":"([^"]*)"', 1), ',') AS types
+           FROM (SELECT page_id, regexp_extract(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+                   '(?s)<script type="application/ld\\+json">(.*?)</script>', 1) AS raw FROM deco)) j USING (page_id)
+{" ".join(f"LEFT JOIN (SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS v FROM ({HEADINGS}) WHERE level = '{h}' GROUP BY page_id) {h} USING (page_id)" for h in ("h1", "h2", "h3", "h4"))}
+LEFT JOIN (SELECT page_id, string_agg({attr("rel")} || '|' || {attr("href")}, chr(10) ORDER BY eid) AS v FROM node
+           WHERE tag = 'link' AND {attr("rel")} IN ('next', 'prev') GROUP BY page_id) r USING (page_id)
+LEFT JOIN (SELECT page_id, string_agg(v, chr(10) ORDER BY form) AS v FROM (
+             SELECT page_id, form, any_value(action) || '|' || any_value(method) || '|' || coalesce(string_agg(
+               type || ',' || name || ',' || placeholder || ',' || required::INT, ';' ORDER BY pos) FILTER (pos IS NOT NULL), '') AS v
+             FROM ({FORMS}) GROUP BY page_id, form) GROUP BY page_id) f USING (page_id)
+LEFT JOIN (SELECT page_id, string_agg(text || '|' || href || '|' || is_internal || '|' || rel, chr(10) ORDER BY pos) AS v
+           FROM ({LINKS}) GROUP BY page_id) l USING (page_id)
+LEFT JOIN (SELECT page_id, string_agg(src || '|' || alt || '|' || width || '|' || height || '|' || loading, chr(10) ORDER BY pos) AS v
+           FROM ({IMAGES}) GROUP BY page_id) i USING (page_id)
+""",
+    parts=("tree", "url"),
+)
 SQL["snapshot_pickup"] = page_query(
     """
 , keyed AS (
@@ -374,6 +403,7 @@ SELECT coalesce(n.url, o.url) AS url, {", ".join(f"coalesce(n.{f}, o.{f}) AS {f}
 FROM early o FULL JOIN late n ON o.url = n.url
 """
 )
+SQL["ledger_bucketed_upsert"] = SQL["ledger_upsert"]
 SQL["ledger_fold"] = ledger(
     f"""
 SELECT url, {", ".join(f"arg_max({f}, event_id) FILTER ({f} IS NOT NULL) AS {f}" for f in FIELDS)},
@@ -387,6 +417,7 @@ SELECT DISTINCT url FROM upd WHERE url NOT IN
   (SELECT url FROM early WHERE scrape_status IN ('success', 'failed', 'skipped'))
 """
 )
+SQL["ledger_bloom_pickup"] = SQL["ledger_new"]
 AT = "TIMESTAMP '2024-01-01 00:00:00'"
 SQL["ledger_register"] = ledger(
     f"""
@@ -533,7 +564,8 @@ SELECT CASE WHEN lower(trim(label)) IN ('list', 'detail', 'others') THEN lower(t
 )
 SQL["url_of_key"] = ledger(
     """
-SELECT k.key, coalesce(e.url, l.url || '#late') AS url
+SELECT k.key, coalesce(e.url, l.url || '#late') AS url,
+  (count(*) OVER (PARTITION BY k.key) > 1)::INT AS ambiguous
 FROM (SELECT DISTINCT key FROM upd) k
 LEFT JOIN (SELECT key, url FROM early WHERE scrape_status = 'success') e USING (key)
 LEFT JOIN late l USING (key)
@@ -781,3 +813,20 @@ WHERE r <= cut
 """
 )
 SQL["stream_classify"] = rules_query("SELECT page_id, label, method FROM verdicts", decorated=False)
+
+SQL["stream_ledger"] = rules_query(
+    """
+SELECT url, regexp_replace(split_part(regexp_replace(rtrim(trim(url), '/'), 'https?://', ''), '/', 1),
+    '[^a-zA-Z0-9]', '_', 'g')[1:40] || '__' || sha256(rtrim(trim(url), '/'))[1:8] AS key,
+  coalesce(label, 'others') AS label, 'success' AS scrape_status,
+  CASE WHEN label IS NULL THEN 'pending' ELSE 'success' END AS extract_status
+FROM verdicts
+""",
+    decorated=False,
+)
+SQL["page_store_pickup"] = """
+SELECT url, regexp_replace(split_part(regexp_replace(rtrim(trim(url), '/'), 'https?://', ''), '/', 1),
+    '[^a-zA-Z0-9]', '_', 'g')[1:40] || '__' || sha256(rtrim(trim(url), '/'))[1:8] AS key,
+  ['list', 'detail', 'others'][page_id % 3 + 1] AS label, md5(html) AS html_md5
+FROM pages WHERE page_id % 5 = 1
+"""

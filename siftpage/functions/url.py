@@ -21,9 +21,19 @@ AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)"
 PREFIX = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?"
 
 
+def cleaned_url(url: Column) -> Column:
+    return F.regexp_replace(strip(url), "/+$", "")
+
+
+def url_id(url: Column) -> Column:
+    """The identity of a URL: all 64 hex digits of the sha256 of the cleaned URL."""
+    return F.sha2(cleaned_url(url), 256)
+
+
 def url_key(url: Column) -> Column:
-    """Host part, blanks and signs as ``_``, cut to 40, plus eight hex digits of the sha256."""
-    cleaned = F.regexp_replace(strip(url), "/+$", "")
+    """For display and folder names: host part, blanks and signs as ``_``, cut to 40, plus eight hex digits
+    of the sha256. Several URLs may share one; joins go by ``url_id`` or the URL."""
+    cleaned = cleaned_url(url)
     host = F.split_part(F.regexp_replace(cleaned, "https?://", ""), F.lit("/"), F.lit(1))
     slug = F.left(F.regexp_replace(host, "[^a-zA-Z0-9]", "_"), F.lit(40))
     return F.concat(slug, F.lit("__"), F.substring(F.sha2(cleaned, 256), 1, 8))

@@ -327,6 +327,8 @@ BLOCK_PHRASES = (
     "enable javascript", "checking your browser", "security check", "bot detection",
     "are you a robot",
 )
+# those of the phrases above that sites put into ids, classes, names and form actions
+CHALLENGE_MARKS = ("cf-browser-verification", "challenge-form", "cf_clearance", "ddos-guard")
 RULE_PAGING_PATTERN = r"\b(next\s*page|previous\s*page|load\s*more|showing\s+\d)"
 RULE_RESULT_PATTERN = (
     r"\b(\d[\d,]*)\s*(results?|listings?|items?\s+found|products?\s+found|jobs?\s+found|matches|"

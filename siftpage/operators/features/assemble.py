@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftpage.functions import vocab
 from siftpage.functions.reuse import built_once
 from siftpage.functions.text import (
     flat,
@@ -21,7 +22,7 @@ from siftpage.functions.text import (
 )
 from siftpage.functions.url import url_features, url_parts
 from siftpage.operators.features import composite, markup, wording
-from siftpage.operators.html import page_title, parse
+from siftpage.operators.html import carries, notice, page_title, parse
 
 # Names and order of the feature columns, a contract with stored models.
 FEATURE_COLUMNS = tuple(
@@ -122,6 +123,8 @@ def prepare(
             "path": F.lower("parts.path"),
             "query": F.lower("parts.query"),
             "netloc": F.lower("parts.netloc"),
+            "x_notice": notice(),
+            "x_challenge": carries(vocab.CHALLENGE_MARKS),
         }
     )
     counted = base.withColumns(markup.counts()).drop(

@@ -24,6 +24,8 @@ from siftpage.functions.reuse import built_once
 from siftpage.functions.text import BLANK_CLASS, strip
 from siftpage.operators.nesting import NODE_FIELDS, nest
 
+#: A page with fewer words has nothing to say but a notice.
+BRIEF_WORDS = 60
 BREAK = "<!>"  # stands where code was, so that the texts around it stay two texts
 INSIDE = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+>"  # of a tag, quoted values included
 
@@ -109,20 +111,19 @@ def attribute_maps(tags: Column) -> Column:
 def parse(pages: DataFrame, jsonld: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per page with everything later operators read; the HTML itself is left behind.
 
-    Columns: page_id, url, clean_len, head_html, body, joined, texts, nodes, repairs (+ ``keep``).
+    Columns: page_id, url, clean_len, body, joined, texts, nodes, repairs (+ ``keep``).
     ``nodes`` is an array of element structs in document order.
     With ``jsonld`` the JSON-LD script texts of the page are kept as ``jsonld`` (else an empty list).
     """
     pages = pages.withColumn("html", F.coalesce("html", F.lit("")))
     nothing = F.array().cast("array<string>")
-    blocks = jsonld_blocks(F.col("html")) if jsonld else nothing
+    blocks = jsonld_blocks(F.col("raw")) if jsonld else nothing
     staged = (
         pages.select("page_id", "url", "html", *keep, raw_tokens(F.col("html"), TOKEN_NO_CODE).alias("raw"))
         .select(
             "page_id",
             "url",
             *keep,
-            F.lower("html").alias("head_html"),
             (F.col("html") == "").alias("x_empty"),
             (~F.rlike("html", F.lit(r"(?U)\S"))).alias("x_blank"),
             (
@@ -148,10 +149,9 @@ def parse_raw(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "url",
         *keep,
         F.length("html").alias("html_length"),
-        jsonld_blocks(F.col("html")).alias("jsonld"),
         raw_tokens(F.col("html"), TOKEN).alias("raw"),
         page_words(F.col("html")).alias("visible"),
-    )
+    ).withColumn("jsonld", jsonld_blocks(F.col("raw")))
     typed = staged.withColumn("jsonld_types", all_types(F.col("jsonld")))
     return _with_nodes(typed.withColumn("tokens", token_list("raw")).drop("raw"))
 
@@ -193,15 +193,26 @@ def _with_nodes(staged: DataFrame) -> DataFrame:
     )
 
 
-def jsonld_blocks(html: Column) -> Column:
-    """Contents of the JSON-LD scripts in order."""
+def jsonld_blocks(raw: Column) -> Column:
+    """Contents of the JSON-LD scripts among raw tokens, in order.
+
+    A script in a comment or in an attribute's value is no token, so it is not seen; one inside a token
+    of a whole noscript element is.
+    """
     block = (
-        r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)"
+        r"(?is)^<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)"
         r"(?:</script\s*>|\z)"
     )
-    return F.when(
-        F.contains(html, F.lit("ld+json")), F.regexp_extract_all(html, F.lit(block), F.lit(1))
-    ).otherwise(F.array().cast("array<string>"))
+    known = F.filter(raw, lambda t: F.contains(t, F.lit("ld+json")) & is_code(t))
+    inside = F.transform(
+        known,
+        lambda t: F.when(
+            F.rlike(t, F.lit(r"(?i)^<noscript(?=[\s/>])")),
+            raw_tokens(F.regexp_replace(t, rf"(?is)^<noscript(?=[\s/>]){INSIDE}", ""), TOKEN),
+        ).otherwise(F.array(t)),
+    )
+    scripts = F.filter(F.flatten(inside), lambda t: F.rlike(t, F.lit(block)))
+    return F.transform(scripts, lambda t: F.regexp_extract(t, block, 1))
 
 
 def page_words(html: Column) -> Column:
@@ -257,6 +268,23 @@ def page_title() -> Column:
     return F.coalesce(F.when(title["kids"] == 0, spaced_text_of(title)), F.lit(""))
 
 
+def notice() -> Column:
+    """What a page says first of all, lower-cased: title, headings of the upper three levels, and all
+    its text if it has next to none. ``own_title``, ``body`` and ``nodes`` are read."""
+    headings = F.array_join(F.transform(nodes_of("h1", "h2", "h3"), text_of), " ")
+    brief = F.when(F.regexp_count("body", F.lit(r"\S+")) < BRIEF_WORDS, F.concat(F.lit(" "), F.col("body")))
+    return F.lower(F.concat("own_title", F.lit(" "), headings, F.coalesce(brief, F.lit(""))))
+
+
+def carries(marks: tuple[str, ...], names: tuple[str, ...] = ("id", "class", "name", "action")) -> Column:
+    """Does an element have one of the marks in one of the named attributes?"""
+    values = F.transform(
+        "nodes", lambda e: F.lower(F.concat_ws(" ", *(attr(e, n) for n in names)))
+    )
+    pattern = "|".join(m.replace(".", r"\.") for m in marks)
+    return F.exists(values, lambda v: F.rlike(v, F.lit(pattern)))
+
+
 def exploded(df: DataFrame, array: str, position: str, item: str) -> DataFrame:
     """One row per array item.
 

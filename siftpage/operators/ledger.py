@@ -249,14 +249,20 @@ def reset_extract(ledger: DataFrame) -> DataFrame:
 
 
 def url_of_key(keys: DataFrame, *sources: DataFrame) -> DataFrame:
-    """key -> url from the first source (key, url) that knows it; null when none does."""
-    out = keys
-    names = []
+    """key -> url from the first source (key, url) that knows it; null when none does.
+
+    A short key may belong to several URLs: all that the source has are returned, and ``ambiguous`` is set.
+    """
+    out = None
     for i, source in enumerate(sources):
-        names.append(f"url_{i}")
-        once = source.groupBy("key").agg(F.max("url").alias(f"url_{i}"))
-        out = out.join(once, "key", "left")
-    return out.select(*keys.columns, F.coalesce(*names).alias("url"))
+        ranked = source.filter("url is not null").select("key", "url").withColumn("_rank", F.lit(i))
+        out = ranked if out is None else out.unionByName(ranked)
+    once = out.groupBy("key", "url").agg(F.min("_rank").alias("_rank"))
+    best = once.groupBy("key").agg(F.min("_rank").alias("_rank"))
+    found = once.join(best, ["key", "_rank"])
+    many = found.groupBy("key").agg((F.count("*") > 1).alias("ambiguous"))
+    known = found.join(many, "key").drop("_rank")
+    return keys.join(known, "key", "left").select(*keys.columns, "url", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
 def rejected_urls(rows: DataFrame) -> DataFrame:

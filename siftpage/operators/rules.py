@@ -16,6 +16,7 @@ from siftpage.functions.reuse import built_once
 from siftpage.functions.text import count_words, has_word, strip
 from siftpage.functions.url import listing_url
 from siftpage.operators.features import prepare
+from siftpage.operators.html import carries, notice, page_title, parse
 
 ERROR_TEXT = "(?dU)" + "|".join(vocab.ERROR_PATTERNS)
 
@@ -43,8 +44,9 @@ def _any(text: Column, parts: tuple[str, ...]) -> Column:
 
 
 def error_page(status: Column | None) -> Column:
-    head = F.concat(F.lower("own_title"), F.lit(" "), F.col("head_html"))
-    seen = F.rlike(head, F.lit(ERROR_TEXT))
+    """Title, headings and brief pages are read, and marks of a challenge; not scripts, nor the prose of a page
+    that has something to say."""
+    seen = F.rlike("x_notice", F.lit(ERROR_TEXT)) | F.col("x_challenge")
     if status is not None:
         seen = seen | F.coalesce(status >= 400, F.lit(False))
     return F.when(seen, _verdict("others", "error_page", "page_error_or_blocked", 0.97, True))
@@ -240,7 +242,9 @@ def rule_distribution(verdicts: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("pages"))
 
 
-def blocked_page(html: Column, title: Column) -> Column:
-    """Does the page look like a block or challenge page?"""
-    head = F.lower(F.concat(html, title))
-    return _any(head, vocab.BLOCK_PHRASES)
+def blocked_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url and ``blocked``: does the page look like a block or challenge page?"""
+    parsed = parse(pages).withColumn("own_title", page_title())
+    return parsed.select(
+        "page_id", "url", (_any(notice(), vocab.BLOCK_PHRASES) | carries(vocab.CHALLENGE_MARKS)).alias("blocked")
+    )

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftpage.functions.jsonld import valid_blocks
+from siftpage.functions.jsonld import parsed_blocks
 from siftpage.functions.text import strip, words
-from siftpage.functions.url import authority, is_internal_link, url_path, url_query
+from siftpage.functions.url import authority, is_internal_link, url_id, url_path, url_query
 from siftpage.operators.html import exploded, first_of, nodes_of, parse_raw, spaced_text_of, text_of
 
 
@@ -200,7 +200,7 @@ def snapshot(pages: DataFrame, at: Column | None = None) -> DataFrame:
         "open_graph",
         "canonical",
         F.struct(
-            valid_blocks(F.col("jsonld")).alias("raw"),
+            parsed_blocks(F.col("jsonld")).alias("raw"),
             F.col("jsonld_types").alias("types_found"),
         ).alias("schema_org"),
         counts.alias("counts"),
@@ -216,12 +216,73 @@ def snapshot(pages: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def pick_snapshots(folders: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
-    """Pages to rebuild: with a URL, and without a snapshot that already lists its links."""
+    """Pages to rebuild: with a URL, and without a snapshot that already lists its links.
+
+    Snapshots are told apart by the identity of their URL. Old ones that carry only the short key stand
+    for a page where no other page has that key; pages that share one are rebuilt.
+    """
     known = folders.filter(F.coalesce("url", F.lit("")) != "")
     if force:
         return known
-    done = stored.filter(F.col("links").isNotNull()).select("key").distinct()
-    return known.join(done, "key", "left_anti")
+    done = stored.filter(F.col("links").isNotNull())
+    if "url" in stored.columns:
+        named = known.withColumn("_id", url_id(F.col("url")))
+        ids = done.select(url_id(F.col("url")).alias("_id")).distinct()
+        return named.join(ids, "_id", "left_anti").select(*known.columns)
+    owners = known.groupBy("key").agg(F.min("url").alias("_a"), F.max("url").alias("_b"))
+    single = owners.filter("_a = _b").join(done.select("key").distinct(), "key", "left_semi").select("key")
+    return known.join(single, "key", "left_anti")
+
+
+# ---- the record as plain columns -------------------------------------------------------------
+
+
+def _lines(array: str, *fields: str) -> Column:
+    """An array of structs as text: a line for each item, its fields parted by bars."""
+    item = lambda x: F.concat_ws("|", *(F.coalesce(x[f].cast("string"), F.lit("")) for f in fields))
+    return F.array_join(F.transform(array, item), "\n")
+
+
+def _entries(column: str) -> Column:
+    pairs = F.array_sort(F.transform(F.map_entries(column), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return F.array_join(pairs, "\n")
+
+
+def record_table(snapshots: DataFrame) -> DataFrame:
+    """The whole record with a column of text for each nested part, for stores without nested types."""
+    forms = F.transform(
+        "forms",
+        lambda f: F.concat_ws(
+            "|",
+            f["action"],
+            f["method"],
+            F.array_join(
+                F.transform(
+                    f["inputs"],
+                    lambda i: F.concat_ws(",", i["type"], i["name"], i["placeholder"], i["required"].cast("int").cast("string")),
+                ),
+                ";",
+            ),
+        ),
+    )
+    return snapshots.select(
+        "page_id", "url", "title", "domain", "path", "query", "html_length", "status",
+        F.col("rebuilt_from_html").cast("int").alias("rebuilt_from_html"),
+        _entries("meta").alias("meta"),
+        _entries("open_graph").alias("open_graph"),
+        "canonical",
+        F.array_join(F.transform("schema_org.raw", lambda v: F.to_json(v)), "\n").alias("schema_raw"),
+        F.array_join("schema_org.types_found", ",").alias("schema_types"),
+        "counts.*",
+        *[F.array_join(f"headings.{h}", "\n").alias(f"{h}_texts") for h in ("h1", "h2", "h3", "h4")],
+        F.col("pagination.has_next").alias("has_next"),
+        F.col("pagination.has_prev").alias("has_prev"),
+        _lines("pagination.rel_links", "rel", "href").alias("rel_links"),
+        F.array_join(forms, "\n").alias("form_lines"),
+        F.md5(_lines("links", "text", "href", "is_internal", "rel")).alias("links_md5"),
+        F.md5(_lines("images", "src", "alt", "width", "height", "loading")).alias("images_md5"),
+        F.md5("body_text").alias("body_md5"),
+    )
 
 
 # ---- flat tables ----------------------------------------------------------------------------

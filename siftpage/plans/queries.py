@@ -26,12 +26,15 @@ from siftpage.operators import snapshot as S
 from siftpage.operators.features import FEATURE_COLUMNS, features, text_features
 from siftpage.operators.features.assemble import features_of, prepare
 from siftpage.operators.html import elements, page_text, tokens
-from siftpage.operators.rules import blocked_page, pre_classify, rule_distribution, with_verdict
+from siftpage.operators.rules import blocked_pages as find_blocked
+from siftpage.operators.rules import pre_classify, rule_distribution, with_verdict
 from siftpage.plans.classify import features_and_verdict
 from siftpage.session import checkpoint_dir, configure
 from siftpage.sources.decorated import decorated_pages
+from siftpage.sources.ledger_store import LedgerStore
+from siftpage.sources.page_store import PageStore
 from siftpage.sources.tables import pages, spread, table
-from siftpage.streaming.pickup import classify_stream
+from siftpage.streaming.pickup import classify_stream, record_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -149,9 +152,8 @@ def page_text_table(spark, folder):
 
 @register
 def blocked_pages(spark, folder):
-    p = decorated_pages(spark, folder)
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return p.select("page_id", flag(blocked_page(F.col("html"), title)).alias("blocked"))
+    found = find_blocked(decorated_pages(spark, folder))
+    return found.select("page_id", flag(F.col("blocked")).alias("blocked"))
 
 
 def _snapshots(spark, folder) -> DataFrame:
@@ -167,6 +169,12 @@ def snapshot_counts(spark, folder):
     )
 
 
+@register
+def page_snapshot(spark, folder):
+    """The whole record of each page."""
+    return S.record_table(_snapshots(spark, folder))
+
+
 @register
 def links_table(spark, folder):
     return S.links_table(_snapshots(spark, folder))
@@ -208,7 +216,7 @@ def snapshot_pickup(spark, folder):
     p = decorated_pages(spark, folder)
     folders = p.select(url_key(F.col("url")).alias("key"), "url", "page_id")
     stored = p.filter(F.contains("html", F.lit("application/rss+xml"))).select(
-        url_key(F.col("url")).alias("key"), F.array(F.col("url")).alias("links")
+        "url", F.array(F.col("url")).alias("links")
     )
     return S.pick_snapshots(folders, stored).select("page_id", "key")
 
@@ -410,6 +418,31 @@ def ledger_upsert(spark, folder):
     return _shown(L.ledger_upsert(_ledger(_early(u, True)), newest))
 
 
+def _store(spark, name: str) -> LedgerStore:
+    """A new ledger store in the shared folder."""
+    run = spark.range(1).select(F.expr("uuid()")).first()[0]
+    return LedgerStore(spark, f"{checkpoint_dir(spark)}/{name}-{run}", buckets=16)
+
+
+@register
+def ledger_bucketed_upsert(spark, folder):
+    """As ``ledger_upsert``, with both halves written to a store of buckets under a manifest."""
+    u = _updates(spark, folder)
+    store = _store(spark, "ledger")
+    store.upsert(_ledger(_early(u, True)))
+    store.upsert(_ledger(_early(u, False)))
+    return _shown(store.read())
+
+
+@register
+def ledger_bloom_pickup(spark, folder):
+    """As ``ledger_new``, against a stored ledger whose filters keep most new URLs out of the join."""
+    u = _updates(spark, folder)
+    store = _store(spark, "ledger")
+    store.upsert(_ledger(_early(u, True)))
+    return store.pick_new(u.select("url").distinct())
+
+
 @register
 def ledger_fold(spark, folder):
     """All updates of a URL laid over each other: the last known value of every field."""
@@ -571,7 +604,8 @@ def url_of_key(spark, folder):
     late = _ledger(_early(u, False)).select(
         "key", F.concat("url", F.lit("#late")).alias("url")
     )
-    return L.url_of_key(u.select("key").distinct(), early, late)
+    found = L.url_of_key(u.select("key").distinct(), early, late)
+    return found.withColumn("ambiguous", flag(F.col("ambiguous")))
 
 
 # ---- decision and evaluation: verdicts and scores derived from documents and labels ----------
@@ -858,3 +892,33 @@ def stream_classify(spark, folder):
         F.col("verdict.label").alias("label"),
         F.col("verdict.method").alias("method"),
     )
+
+
+@register
+def stream_ledger(spark, folder):
+    """A file stream of pages, classified and recorded in a stored ledger that knew them as pending."""
+    configure(spark)
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    store = _store(spark, "stream-ledger")
+    known = table(spark, folder, "pages").select("url", F.lit("others").alias("label"), F.col("page_id").alias("row"))
+    store.upsert(L.register(known, at))
+    query = record_stream(
+        spark, f"{folder}/pages.parque[t]", store, f"{store.root}/verdicts", f"{store.root}/checkpoint", pre_classify, at, "pages", 4
+    )
+    query.awaitTermination()
+    return store.read().select("url", "key", "label", "scrape_status", "extract_status")
+
+
+@register
+def page_store_pickup(spark, folder):
+    """Pages of a store that a ledger has not finished: found by the store's manifest, read by segment."""
+    configure(spark)
+    run = spark.range(1).select(F.expr("uuid()")).first()[0]
+    store = PageStore(spark, f"{checkpoint_dir(spark)}/pages-{run}")
+    p = table(spark, folder, "pages").select("page_id", "url", "html")
+    label = F.element_at(F.array(F.lit("list"), F.lit("detail"), F.lit("others")), (F.col("page_id") % 3 + 1).cast("int"))
+    for part in (0, 1):
+        store.add(p.filter(F.col("page_id") % 2 == part).withColumn("label", label))
+    done = p.filter(F.col("page_id") % 5 != 1).select("url")
+    found = store.read(store.pending(done))
+    return found.select("url", "key", "label", F.md5("html").alias("html_md5"))

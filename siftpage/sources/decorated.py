@@ -25,6 +25,7 @@ HEAD = (
     (9, 0, '<link rel="next" href="?page=3"><link rel="prev" href="?page=1">'),
     (14, 5, '<base href="/"><meta property="og:type" content="business.place">'),
     (3, 1, '<meta name="description" content="first"><meta name="description" content="second">'),
+    (16, 9, '<!-- <script type="application/ld+json">{"@type":"Event"}</script> -->'),
 )
 # (divisor, remainder, markup put before </article>)
 BODY = (
@@ -100,7 +101,13 @@ HIDDEN_CODE = (
     (11, 3, '<p title="<style>">attr</p><p>after</p>'),
     (11, 4, '<!-- <div><style>p{}</style><p>gone</p></div> --><noscript><p>off</p></noscript><p>on</p>'),
 )
-BODY += HIDDEN_CODE
+# as well: words of error pages in scripts and prose, which make no error page, and where they make one
+NOTICES = (
+    (15, 4, '<script>var k="captcha";</script><p>Smoking is forbidden here; access denied is a phrase.</p>'),
+    (25, 7, '<h2>Access denied</h2>'),
+    (27, 2, '<form id="challenge-form" action="/verify"><input name="answer"></form>'),
+)
+BODY += HIDDEN_CODE + NOTICES
 # (divisor, remainder, text put before </footer>)
 FOOTER = (
     (12, 1, ' About us contact privacy terms help support careers'),

@@ -60,9 +60,11 @@ def raw_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def with_urls(raw: DataFrame, known: DataFrame) -> DataFrame:
-    """Raw pages with the URL looked up by key (null when unknown)."""
-    once = known.groupBy("key").agg(F.max("url").alias("url"))
-    return raw.join(once, "key", "left")
+    """Raw pages with the URL looked up by key: null when unknown, and when several URLs share the key, which
+    ``ambiguous`` tells apart."""
+    once = known.filter("url is not null").groupBy("key").agg(F.min("url").alias("_a"), F.max("url").alias("_b"))
+    looked = once.select("key", F.when(F.col("_a") == F.col("_b"), F.col("_a")).alias("url"), (F.col("_a") != F.col("_b")).alias("ambiguous"))
+    return raw.join(looked, "key", "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from siftpage.functions.url import url_key
+from siftpage.sources.ledger_store import LedgerStore
+
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
@@ -44,3 +48,49 @@ def classify_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def classified_updates(classified: DataFrame, at: Column) -> DataFrame:
+    """Ledger updates of classified pages (url, verdict); a page without a verdict keeps its label."""
+    return classified.filter("url is not null").select(
+        "url",
+        url_key(F.col("url")).alias("key"),
+        F.col("verdict.label").alias("label"),
+        F.lit("success").alias("scrape_status"),
+        F.when(F.col("verdict").isNotNull(), "success").otherwise("pending").alias("extract_status"),
+        F.lit("").alias("scrape_reason"),
+        at.alias("scrape_completed_at"),
+        at.alias("last_updated"),
+    )
+
+
+def record_stream(
+    spark: SparkSession,
+    in_dir: str,
+    store: LedgerStore,
+    out_dir: str,
+    checkpoint: str,
+    classify: Callable[[DataFrame], DataFrame],
+    at: Column,
+    name: str = "pages",
+    files_per_batch: int = 64,
+) -> StreamingQuery:
+    """Classifies every page file that is new since the last run and records the pages in the ledger.
+
+    A batch first writes its own folder of verdicts in overwrite mode, then lays its updates over the
+    ledger under the stream's name and the batch's number. If it is repeated after a failure, the folder
+    is replaced, and the ledger takes the updates only if its manifest has no such batch yet.
+    """
+
+    def record(batch: DataFrame, number: int) -> None:
+        out = f"{out_dir}/batch={number}"
+        classify(batch).write.mode("overwrite").parquet(out)
+        store.upsert(classified_updates(spark.read.parquet(out), at), batch=(name, number))
+
+    return (
+        page_stream(spark, in_dir, files_per_batch)
+        .writeStream.foreachBatch(record)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
