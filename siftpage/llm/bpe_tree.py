@@ -1,7 +1,9 @@
 """BPE encoding and decoding, with tree concatenation for long unsplit text.
 
-A text is normalised and cut into pieces as the tokenizer file says; BPE never merges across pieces.
-Pieces up to `LEAF` symbols are encoded directly, each different one once per batch. A longer piece is
+A text is normalised and cut into pieces as the tokenizer file says; BPE never merges across pieces, nor
+pieces across blanks, so each different word is encoded once and kept. A file with other steps than those
+known here is left to the library's own, long texts too.
+Pieces up to `LEAF` symbols are encoded directly. A longer piece is
 a long unsplit text: it is halved down to leaves, the leaves are encoded in one parallel batch, and
 the halves are joined from the bottom up. At a join a window of tokens around the cut is encoded
 again. It is grown until it holds a token that the left half has too, and after it one that the right
@@ -17,11 +19,13 @@ columns pass through (own columns `ids` and `decoded` are replaced). Nothing is
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import sys
 import types
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -35,9 +39,9 @@ from siftpage.llm.common import give_back, small_batches, table
 LEAF = 256
 #: Tokens on each side of a join in the first window.
 WINDOW = 4
-#: Different pieces whose encodings a worker keeps, characters of text in one slice of work, and pieces
-#: in one call of the library, whose results are large.
-CACHED, SLICE, AT_ONCE = 100_000, 500_000, 2_000
+#: Bytes of words and their encodings that a worker keeps, characters of text in one slice of work, and
+#: pieces in one call of the library, whose results are large.
+CACHED, SLICE, AT_ONCE = 64 << 20, 500_000, 2_000
 VOCABULARY = "word_bpe_49k.json"
 
 Token = tuple[int, int, int]
@@ -93,20 +97,62 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+#: The steps before and after the model for which pieces are cut here.
+KNOWN_STEPS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+#: Bytes of UTF-8 that only occur in characters below U+0240 (or continue them), without U+001C to U+001F.
+PLAIN_BYTES = bytes([*range(0x1C), *range(0x20, 0x80), *range(0x80, 0xC9)])
+
+#: What is kept of a word or piece: its ids in decimal, and its tokens' strings, each joined by blanks.
+Entry = tuple[str, str]
+
+
 class Encoder:
-    """One worker's tokenizer: whole texts to ids and to the tokens' strings."""
+    """One worker's tokenizer: whole texts to entries of words, which are kept from text to text and from
+    task to task, up to `CACHED` bytes; beyond, the older half goes."""
 
     def __init__(self, path: str, leaf: int = LEAF):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
+        self.full.no_truncation()
+        self.full.no_padding()
         #: the model alone: what it is given is one piece
         self.bare = Tokenizer(self.full.model)
         self.leaf = leaf
-        self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
         self.names = {i: t for t, i in self.full.get_vocab(True).items()}
-        self.special = {str(t): i for i, t in self.full.get_added_tokens_decoder().items()}
+        added = self.full.get_added_tokens_decoder()
+        self.special = {t.content: i for i, t in added.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        steps = json.loads(self.full.to_str())
+        plain_tokens = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added.values())
+        #: whether the file has the steps for which pieces are cut here; any other is left to the library
+        self.known = plain_tokens and all(steps.get(k) == v for k, v in KNOWN_STEPS.items()) and steps["model"]["type"] == "BPE"
+        self.entries: dict[str | tuple[str], Entry] = {}
+        self.pieces: dict[str, Entry] = {}
+        self.weight = 0
         self.letters = byte_letters()
         # In this range a text is in normal form already and lower-casing is by character, so that
         # the cut into pieces can be made here; others go through the tokenizer's own steps.
@@ -116,15 +162,25 @@ class Encoder:
         self.odd = re.compile("[^" + "".join(re.escape(c) for c in plain) + "]")
         self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
 
-    def pieces_of(self, text: str) -> list[str]:
-        """The pieces of a text without special tokens, in letters that stand for bytes."""
-        if self.odd.search(text):
-            normal = self.full.normalizer.normalize_str(text) if self.full.normalizer else text
-            return [p for p, _ in self.full.pre_tokenizer.pre_tokenize_str(normal)]
-        found = self.cut.findall(text.lower())
-        if text.isascii():
+    def is_plain(self, text: str) -> bool:
+        if not text.encode("utf-8", "replace").translate(None, PLAIN_BYTES):
+            return "\x85" not in text and "\u0130" not in text
+        return not self.odd.search(text)
+
+    def keys_of(self, text: str) -> list[str | tuple[str]]:
+        """The words of a plain text, lower-cased, else its pieces (in letters that stand for bytes), as tuples.
+
+        No piece lies across a blank, so a word's pieces are the same wherever it stands.
+        """
+        if self.is_plain(text):
+            return text.lower().split()
+        normal = self.full.normalizer.normalize_str(text) if self.full.normalizer else text
+        return [(p,) for p, _ in self.full.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def pieces_of(self, word: str) -> list[str]:
+        found, letters = self.cut.findall(word), self.letters
+        if word.isascii():
             return found
-        letters = self.letters
         return [p if p.isascii() else "".join([letters[b] for b in p.encode()]) for p in found]
 
     def tokens(self, texts: list[str]) -> list[list[Token]]:
@@ -133,39 +189,55 @@ class Encoder:
             for x in self.bare.encode_batch(texts, add_special_tokens=False)
         ]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that are not known yet."""
-        short = [p for p in pieces if len(p) <= self.leaf]
-        found = []
+    def entry(self, ids: Iterable[int]) -> Entry:
+        return " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
+
+    def learn(self, keys: set[str | tuple[str]]) -> None:
+        """Encode the words and pieces that are not known yet."""
+        cut = {k: list(k) if isinstance(k, tuple) else self.pieces_of(k) for k in keys}
+        new = {p for pieces in cut.values() for p in pieces}.difference(self.pieces)
+        short = [p for p in new if len(p) <= self.leaf]
         for at in range(0, len(short), AT_ONCE):
-            found += [x.ids for x in self.bare.encode_batch_fast(short[at : at + AT_ONCE], add_special_tokens=False)]
-        long = [p for p in pieces if len(p) > self.leaf]
-        found += [[t[0] for t in tree(p, self.tokens, self.leaf)] for p in long]
-        for piece, ids in zip(short + long, found, strict=True):
-            self.pieces[piece] = (tuple(ids), " ".join([self.names[i] for i in ids]))
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
-        """For each text its ids, and their strings joined by blanks, as the tokenizer decodes them."""
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
-        cut = []
+            part = short[at : at + AT_ONCE]
+            for piece, x in zip(part, self.bare.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.pieces[piece] = self.entry(x.ids)
+        for piece in new:
+            if len(piece) > self.leaf:
+                self.pieces[piece] = self.entry([t[0] for t in tree(piece, self.tokens, self.leaf)])
+        for key, pieces in cut.items():
+            found = [e for e in map(self.pieces.__getitem__, pieces) if e[0]]
+            self.entries[key] = one = " ".join([e[0] for e in found]), " ".join([e[1] for e in found])
+            self.weight += len(one[0]) + len(one[1]) + len(key) + 400
+
+    def encode(self, texts: list[str]) -> list[Entry]:
+        """For each text its ids in decimal and their strings as the tokenizer decodes them, joined by blanks."""
+        if not self.known:
+            ids = [x.ids for x in self.full.encode_batch(texts, add_special_tokens=False)]
+            return [(" ".join(map(str, i)), self.full.decode(i, skip_special_tokens=False)) for i in ids]
+        if self.weight > CACHED:
+            for kept in (self.pieces, self.entries):
+                for key in list(kept)[: len(kept) // 2]:
+                    del kept[key]
+            self.weight //= 2
+        keys = []
         for text in texts:
             if self.split and any(s in text for s in self.special):
-                cut.append([x for part in self.split.split(text) for x in ([(part,)] if part in self.special else self.pieces_of(part))])
+                own = [[(p, "")] if p in self.special else self.keys_of(p) for p in self.split.split(text)]
+                keys.append(list(chain.from_iterable(own)))
             else:
-                cut.append(self.pieces_of(text))
+                keys.append(self.keys_of(text))
+        known = self.entries
         for name, i in self.special.items():
-            self.pieces[(name,)] = ((i,), name)
-        known = self.pieces
-        unknown = {p for pieces in cut for p in pieces if p not in known}
-        if unknown:
-            self.learn(unknown)
-        ids, names = [], []
-        for pieces in cut:
-            found = [known[p] for p in pieces]
-            ids.append(list(chain.from_iterable([f[0] for f in found])))
-            names.append(" ".join([f[1] for f in found]))
-        return ids, names
+            known[(name, "")] = (str(i), name)
+        self.learn(set(chain.from_iterable(keys)).difference(known))
+        out = []
+        for own in keys:
+            found = [e for e in map(known.__getitem__, own) if e[0]]
+            out.append((" ".join([e[0] for e in found]), " ".join([e[1] for e in found])))
+        return out
+
+    def decode(self, ids: Iterable[int]) -> str:
+        return " ".join([self.names[i] for i in ids]) if self.known else self.full.decode(list(ids), skip_special_tokens=False)
 
 
 def encoder(path: str, leaf: int = LEAF) -> Encoder:
@@ -176,6 +248,19 @@ def encoder(path: str, leaf: int = LEAF) -> Encoder:
     return kept[(path, leaf)]
 
 
+def coded(batch: pa.RecordBatch, tokenizer: Encoder) -> Iterator[tuple[pa.RecordBatch, list[Entry]]]:
+    """A batch in slices of some text, each with the entries of its texts."""
+    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0))
+    slices = np.cumsum(lengths, dtype=np.int64) // SLICE
+    for at in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(slices)) + 1) if len(lengths) else []:
+        part = batch.slice(int(at[0]), len(at))
+        yield part, tokenizer.encode([t or "" for t in part.column("text").to_pylist()])
+
+
+def count_of(decimals: str) -> int:
+    return decimals.count(" ") + 1 if decimals else 0
+
+
 def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, decoded: bool = False) -> DataFrame:
     """All rows of docs with `ids` and, on request, `decoded`, the ids turned back into text."""
     path = path or vocabulary_path()
@@ -186,40 +271,49 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, decoded:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path, leaf)
         for batch in batches:
-            lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0))
-            slices = np.cumsum(lengths, dtype=np.int64) // SLICE
-            for at in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(slices)) + 1) if len(lengths) else []:
-                part = batch.slice(int(at[0]), len(at))
-                ids, names = tokenizer.encode([t or "" for t in part.column("text").to_pylist()])
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+            for part, entries in coded(batch, tokenizer):
+                ends = np.cumsum([0, *(count_of(e[0]) for e in entries)], dtype=np.int32)
+                flat = np.fromstring(" ".join([e[0] for e in entries if e[0]]), np.int32, sep=" ")
                 columns = [part.column(f.name) for f in own] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                columns += [pa.array(names, pa.string())] * decoded
+                columns += [pa.array([e[1] for e in entries], pa.string())] * decoded
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in own + new])
-        tokenizer.pieces.clear()
         give_back()
 
     return docs.select(*(f.name for f in own)).mapInArrow(each, T.StructType(own + new))
 
 
+def digests(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """doc_id, n_tokens and the sha256 of the ids (decimal, joined by a blank) and of the decoded text, made
+    where the text is encoded: neither ids nor decoded texts leave the worker."""
+    path = path or vocabulary_path()
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = encoder(path, leaf)
+        for batch in batches:
+            for part, entries in coded(batch, tokenizer):
+                counts = pa.array([count_of(e[0]) for e in entries], pa.int64())
+                hashes = [pa.array([hashlib.sha256(e[i].encode()).hexdigest() for e in entries]) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), counts, *hashes], names)
+        give_back()
+
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     """All rows with `decoded`, from their `ids`; null ids give the empty text."""
     path = path or vocabulary_path()
 
     @F.arrow_udf("string")
-    def joined_names(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = encoder(path).names
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokenizer = encoder(path)
         for ids in batches:
-            yield pa.array([" ".join([names[i] for i in x or []]) for x in ids.to_pylist()], pa.string())
+            yield pa.array([tokenizer.decode(x or []) for x in ids.to_pylist()], pa.string())
 
-    return rows.withColumn("decoded", joined_names("ids"))
+    return rows.withColumn("decoded", texts("ids"))
 
 
 def op8_bpe_encoding(spark, folder: str) -> DataFrame:
-    coded = encode(table(spark, folder, "documents").select("doc_id", "text"), decoded=True)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return digests(table(spark, folder, "documents").select("doc_id", "text"))

@@ -1,6 +1,7 @@
 """SimHash near-duplicates, BPE and the pipeline against brute force, exact round trips and odd input."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -137,10 +138,57 @@ def test_bpe_equals_library(library, leaf):
     texts += ["é" * 999 + "ñ" * 77, " x<|endoftext|>y <|startoftext|>", "İΣςΑΣ Ω'S it's WE'RE 12345 ½²", "é 각 à́", "-=+_" * 900]
     texts += ["don't!'s \x1c\x1dx\x85y z", "ſtraße ǅ ŉ", "‍👩‍💻" * 300]
     texts += [some("abc '’éÉßñ\n\t.,!?0123日<|>", rng.randrange(300)) for _ in range(400)]
-    ids, names = bpe_tree.Encoder(bpe_tree.vocabulary_path(), leaf).encode(texts)
-    for text, i, n in zip(texts, ids, names, strict=True):
-        assert i == library.encode(text, add_special_tokens=False).ids
-        assert n == library.decode(i, skip_special_tokens=False)
+    encoder = bpe_tree.Encoder(bpe_tree.vocabulary_path(), leaf)
+    assert encoder.known
+    for text, (ids, names) in zip(texts, encoder.encode(texts), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, want))
+        assert names == library.decode(want, skip_special_tokens=False) == encoder.decode(want)
+
+
+def test_bpe_forgets_and_learns_again(library, monkeypatch):
+    """With room for next to nothing every slice drops words that later ones need."""
+    monkeypatch.setattr(bpe_tree, "CACHED", 20_000)
+    encoder, rng = bpe_tree.Encoder(bpe_tree.vocabulary_path()), random.Random(4)
+    for _ in range(30):
+        texts = [" ".join(rng.choices([f"word{i}" for i in range(400)], k=60)) for _ in range(3)]
+        for text, (ids, _) in zip(texts, encoder.encode(texts), strict=True):
+            assert ids == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
+    assert encoder.weight < 120_000
+
+
+def change_normalizer(steps):
+    steps["normalizer"] = {"type": "NFKC"}
+
+
+def change_split(steps):
+    steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\p{L}+|\p{N}+|\s+|[^\s\p{L}\p{N}]+"
+
+
+def change_decoder(steps):
+    steps["decoder"] = {"type": "BPEDecoder", "suffix": "</w>"}
+
+
+def change_truncation(steps):
+    steps["truncation"] = {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}
+
+
+@pytest.mark.parametrize("change", [change_normalizer, change_split, change_decoder, change_truncation])
+def test_another_tokenizers_steps_are_the_librarys(spark, tmp_path, change):
+    with open(bpe_tree.vocabulary_path(), encoding="utf-8") as f:
+        steps = json.load(f)
+    change(steps)
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(steps, f)
+    other = Tokenizer.from_file(path)
+    other.no_truncation()
+    texts = ["It's A ﬁne day, isn't it? 123 45", "é" * 700 + " ½  x", "", "<|endoftext|> Ends"]
+    assert bpe_tree.Encoder(path).known == (change is change_truncation)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in bpe_tree.decode(bpe_tree.encode(docs, path), path).collect():
+        want = other.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["ids"] == want and r["decoded"] == other.decode(want, skip_special_tokens=False)
 
 
 def test_bpe_join_grows(library):
