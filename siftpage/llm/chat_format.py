@@ -6,8 +6,8 @@ Rendered text is reparsed by the grammar: cut at "</s>", the role up to the firs
 is the text. Where the recovered turn is not the source turn, its content conflicts with the grammar
 and is escaped; the turn is then rendered, reparsed and compared again. Escaping puts one backslash
 behind the first character of a control string, and one more where there are backslashes already, so
-that it is undone by taking one away; content without control strings is never touched. Roles have
-their line feeds escaped too.
+that it is undone by taking one away; content without control strings is never touched. Roles that need it have
+their backslashes doubled and their line feeds escaped before.
 
 A conversation's turns are rendered in runs of `RUN` turn numbers and the runs then joined, so that a
 very long conversation is rendered, checked and masked by many tasks; only the joined strings meet.
@@ -19,7 +19,7 @@ are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftpage.llm.common import let, table
@@ -40,13 +40,17 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """Also "\n" becomes "\\n", and a backslash run before an n gets one more."""
-    return F.replace(F.regexp_replace(escape(role), r"(\\+)n", r"\\$1n"), F.lit("\n"), F.lit("\\n"))
+    """Every backslash twice, then a line feed as backslash and n, then control strings as in a text.
+
+    A run of backslashes before an n is thus odd exactly where there was a line feed.
+    """
+    twice = F.replace(role, F.lit("\\"), F.lit("\\\\"))
+    return escape(F.replace(twice, F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    lines = F.regexp_replace(role, r"(?<!\\)\\n", "\n")
-    return unescape(F.regexp_replace(lines, r"\\(\\+)n", "$1n"))
+    lines = F.regexp_replace(unescape(role), r"(?<!\\)((?:\\\\)*+)\\n", "$1\n")
+    return F.replace(lines, F.lit("\\\\"), F.lit("\\"))
 
 
 def render(role: Column, text: Column) -> Column:
@@ -81,7 +85,11 @@ def recovers(role: Column, text: Column, rendered: Column) -> Column:
 
 
 def render_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, rendered: each turn as it is if it comes back so, else escaped."""
+    """conv_id, turn, role, text, rendered: each turn as it is if it comes back so, else escaped.
+
+    Escaped roles and texts have no control string and no line feed in the role, and both escapes have an
+    inverse, so an escaped turn always comes back.
+    """
     turns = conversations.select(
         "conv_id",
         "turn",
@@ -92,9 +100,7 @@ def render_turns(conversations: DataFrame) -> DataFrame:
     # control strings of other templates are escaped although this grammar would survive them
     plain = recovers(role, text, render(role, text)) & ~text.rlike(CONTROL) & ~role.rlike(CONTROL)
     safe = render(escape_role(role), escape(text))
-    checked = F.when(plain, render(role, text)).when(recovers(role, text, safe), safe)
-    failure = F.raise_error(F.concat(F.lit("turn does not come back: "), F.col("conv_id").cast("string")))
-    return turns.withColumn("rendered", F.coalesce(checked, failure.cast("string")))
+    return turns.withColumn("rendered", F.when(plain, render(role, text)).otherwise(safe))
 
 
 def format_runs(conversations: DataFrame) -> DataFrame:
@@ -102,63 +108,45 @@ def format_runs(conversations: DataFrame) -> DataFrame:
 
     spans: array of start and length, in code points of the run, of the texts under the loss mask.
     """
-    runs = (
-        render_turns(conversations)
-        .withColumn("run", F.floor(F.col("turn") / RUN))
-        .groupBy("conv_id", "run")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered"))).alias("turns"))
-    )
-    rendered = F.transform("turns", lambda t: t["rendered"])
-    # the start of each turn: lengths are summed over a run's turns, 256 numbers of them
-    starts = F.aggregate(
-        rendered,
-        F.array(F.lit(0)),
-        lambda done, r: F.concat(done, F.array(F.element_at(done, -1) + F.length(r))),
+    turns = render_turns(conversations).withColumn("run", F.floor(F.col("turn") / RUN))
+    before = Window.partitionBy("conv_id", "run").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = turns.withColumn("start", F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)))
+    runs = placed.groupBy("conv_id", "run").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text", "start", "rendered"))).alias("turns")
     )
 
-    def spans(at: Column) -> Column:
-        every = F.transform(
-            "turns",
-            lambda t, i: F.when(
-                t["role"] == LOSS_ROLE,
-                F.struct(
-                    (F.get(at, i) + F.instr(t["rendered"], "\n")).alias("start"),
-                    (F.length(t["rendered"]) - F.instr(t["rendered"], "\n") - len(CLOSE)).alias("length"),
-                ),
-            ),
-        )
-        return F.filter(every, lambda s: s.isNotNull())
+    def span(t: Column) -> Column:
+        head = F.instr(t["rendered"], "\n")
+        at = F.struct((t["start"] + head).alias("start"), (F.length(t["rendered"]) - head - len(CLOSE)).alias("length"))
+        return F.when(t["role"] == LOSS_ROLE, at)
 
-    return runs.select("conv_id", "run", F.array_join(rendered, "").alias("formatted"), let(starts, spans).alias("spans"))
+    return runs.select(
+        "conv_id",
+        "run",
+        F.array_join(F.transform("turns", lambda t: t["rendered"]), "").alias("formatted"),
+        F.filter(F.transform("turns", span), lambda s: s.isNotNull()).alias("spans"),
+    )
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted, spans: whole conversations, spans in code points of the whole."""
-    runs = format_runs(conversations).withColumn("n", F.length("formatted"))
-    joined = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("run", "n", "formatted", "spans"))).alias("r"))
-    starts = F.aggregate(
-        F.col("r"), F.array(F.lit(0)), lambda done, r: F.concat(done, F.array(F.element_at(done, -1) + r["n"]))
-    )
-    moved = let(
-        starts,
-        lambda at: F.flatten(
-            F.transform(
-                "r",
-                lambda r, i: F.transform(
-                    r["spans"],
-                    lambda s: F.struct((s["start"] + F.get(at, i)).alias("start"), s["length"].alias("length")),
-                ),
-            )
+    before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = format_runs(conversations).withColumn("at", F.coalesce(F.sum(F.length("formatted")).over(before), F.lit(0)))
+    joined = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("run", "at", "formatted", "spans"))).alias("r"))
+    moved = F.transform(
+        "r",
+        lambda r: F.transform(
+            r["spans"], lambda s: F.struct((s["start"] + r["at"]).alias("start"), s["length"].alias("length"))
         ),
     )
-    return joined.select(
-        "conv_id", F.array_join(F.transform("r", lambda r: r["formatted"]), "").alias("formatted"), moved.alias("spans")
-    )
+    text = F.array_join(F.transform("r", lambda r: r["formatted"]), "")
+    return joined.select("conv_id", text.alias("formatted"), F.flatten(moved).alias("spans"))
 
 
 def read_back(runs: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns, loss, formatted_chars, recovered from formatted runs alone."""
-    masked = F.transform("spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
+    cut = lambda s: F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"])
+    masked = F.transform("spans", lambda s: unescape(cut(s)))
     each = runs.select(
         "conv_id",
         "run",

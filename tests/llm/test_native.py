@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -102,11 +103,22 @@ def test_cascade_order(spark):
 CHAT = "conv_id bigint, turn bigint, role string, text string, rendered string"
 
 
+def test_chat_takes_any_role_and_text(spark):
+    """Every string of up to four of the letters that mean something, as role and as text."""
+    letters = ["\\", "n", "\n", "<", "[", "s>", "/s>", "INST]"]
+    strings = ["".join(x) for k in range(5) for x in itertools.product(letters, repeat=k)]
+    rows = [(i, 0, x, strings[-i - 1], "r") for i, x in enumerate(strings)]
+    turns = chat_format.render_turns(spark.createDataFrame(rows, CHAT).repartition(4))
+    back = turns.select("role", "text", chat_format.parse(F.col("rendered")).alias("p"))
+    wrong = back.filter((F.size("p") != 1) | (F.get("p", F.lit(0))["role"] != F.col("role")) | (F.get("p", F.lit(0))["text"] != F.col("text")))
+    assert wrong.count() == 0 and back.count() == len(strings) > 4000
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(5)
     bits = ["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "s>", "\n", "a", "é", "<\\/s>", "<\\\\s>", "[", "/INST]"]
     rows = [
-        (c, t, rng.choice(["user", "assistant", "system", "odd\nrole", "</s>", "a\\nb", "\\n"]), "".join(rng.choices(bits, k=rng.randrange(9))), "x")
+        (c, t, rng.choice(["user", "assistant", "system", "odd\nrole", "</s>", "a\\nb", "\\n", "a\\\nb", "\\\\n\n"]), "".join(rng.choices(bits, k=rng.randrange(9))), "x")
         for c in range(20)
         for t in range(7)
     ]
