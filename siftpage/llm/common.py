@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, taken: Sequence[str]) -> str:
+    """A column name that none of `taken` is, whatever their case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+def quoted(names: Sequence[str]) -> list[Column]:
+    """Columns by their literal names, dots and blanks included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def slices(texts: pa.Array, size: int = 1_000_000) -> Iterator[list[str]]:
     """The texts of a batch (null: empty) in lists of about `size` bytes, one text at least."""
     lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)

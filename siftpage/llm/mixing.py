@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftpage.llm.common import WORD, table, written
+from siftpage.llm.common import WORD, free, quoted, table, written
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Rows of one slice of a running sum.
@@ -154,36 +154,36 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
     """
     own = docs.columns
     key = ["doc_id", "source", "size", "content"]
-    marked = docs.withColumns({
-        "__size": size_of(F.col("text")),
-        "__content": F.xxhash64("text"),
-    })
-    rows = marked.select("doc_id", "source", F.col("__size").alias("size"), F.col("__content").alias("content"))
+    size, content, times, copy, packed = (free(n, own) for n in ("size_", "content_", "times_", "copy_", "packed_"))
+    marked = docs.withColumns({size: size_of(F.col("text")), content: F.xxhash64("text")})
+    rows = marked.select("doc_id", "source", F.col(size).alias("size"), F.col(content).alias("content"))
     chosen = (
         plan(rows, carry=key, weights=weights, most=most)
         .filter("taken > 0")
         .groupBy(*key)
-        .agg((F.sum("taken") / F.first("size")).cast("int").alias("__n"))
+        .agg((F.sum("taken") / F.first("size")).cast("int").alias("n"))
     )
-    k = chosen.select(*(F.col(c).alias(f"__k_{c}") for c in key), "__n")
-    twice = rows.groupBy(*key).count().filter("count > 1").select(*(F.col(c).alias(f"__t_{c}") for c in key))
+    heads = {c: free(f"k_{c}", own) for c in key}
+    k = chosen.select(*(F.col(c).alias(heads[c]) for c in key), F.col("n").alias(times))
+    twice = rows.groupBy(*key).count().filter("count > 1").select(*(F.col(c).alias(heads[c]) for c in key))
 
-    def same(a: DataFrame, b: DataFrame, head: str) -> Column:
-        names = {"size": "__size", "content": "__content"}
-        out = a["doc_id"].eqNullSafe(b[f"{head}doc_id"])
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        mine = {"size": size, "content": content}
+        out = a["doc_id"].eqNullSafe(b[heads["doc_id"]])
         for c in key[1:]:
-            out = out & a[names.get(c, c)].eqNullSafe(b[f"{head}{c}"])
+            out = out & a[mine.get(c, c)].eqNullSafe(b[heads[c]])
         return out
 
-    single = marked.join(twice, same(marked, twice, "__t_"), "left_anti")
-    merged = marked.join(twice, same(marked, twice, "__t_"), "left_semi")
+    single = marked.join(twice, same(marked, twice), "left_anti")
+    merged = marked.join(twice, same(marked, twice), "left_semi")
     others = [c for c in own if c not in ("doc_id", "source")]
-    merged = merged.groupBy("doc_id", "source", "__size", "__content").agg(*(F.first(c).alias(c) for c in others))
-    both = single.unionByName(merged.select(*single.columns))
+    merged = merged.groupBy("doc_id", "source", size, content).agg(F.first(F.struct(*quoted(others))).alias(packed))
+    merged = merged.select("doc_id", "source", size, content, *(F.col(packed)[c].alias(c) for c in others))
+    both = single.unionByName(merged.select(*quoted(single.columns)))
     return (
-        both.join(k, same(both, k, "__k_"))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-        .select(*own)
+        both.join(k, same(both, k))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+        .select(*quoted(own))
     )
 
 

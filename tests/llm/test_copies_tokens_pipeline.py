@@ -117,6 +117,103 @@ def test_simhash_odd_rows(spark):
     assert simhash_dedup.keep(docs.filter("doc_id IS NULL")).count() == 1
 
 
+def shingles_of(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def planted(rng, least, words=200):
+    """A text and a copy of it with words replaced until the similarity is just above `least`."""
+    base = [f"w{rng.randrange(50_000)}" for _ in range(words)]
+    copy, own = list(base), shingles_of(" ".join(base))
+    while True:
+        at = rng.randrange(words)
+        new = copy[:at] + [f"z{rng.randrange(50_000)}"] + copy[at + 1 :]
+        if jaccard(own, shingles_of(" ".join(new))) < least:
+            return " ".join(base), " ".join(copy)
+        copy = new
+
+
+def test_similar_texts_are_found(spark):
+    """Recall by planted similarity, and no pair of strangers or of texts just below 0.8."""
+    rng = random.Random(6)
+    rows, pairs = [], {}
+    for least in (0.80, 0.85, 0.90, 0.95, 0.97):
+        for _ in range(60):
+            a, b = planted(rng, least, rng.choice([40, 120, 300]))
+            pairs.setdefault(least, []).append((len(rows), len(rows) + 1))
+            rows += [a, b]
+    close = []
+    for _ in range(60):
+        a, b = planted(rng, 0.6, 200)
+        if jaccard(shingles_of(a), shingles_of(b)) < 0.8:
+            close.append((len(rows), len(rows) + 1))
+            rows += [a, b]
+    rows += [" ".join(f"s{rng.randrange(300)}" for _ in range(100)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(5)
+    root = {r["doc_id"]: r["root"] for r in simhash_dedup.group_similar(docs).collect()}
+    assert len(root) == len(rows)
+    for least, own in pairs.items():
+        found = sum(root[a] == root[b] for a, b in own) / len(own)
+        assert found >= 0.95, (least, found)
+    assert all(root[a] != root[b] for a, b in close)
+    together = {tuple(sorted(p)) for own in pairs.values() for p in own}
+    by = defaultdict(list)
+    for d, r in root.items():
+        by[r].append(d)
+    assert all(tuple(sorted(m)) in together for m in by.values() if len(m) > 1)
+
+
+@pytest.mark.parametrize("size", [4_000, simhash_dedup.GROUP_BYTES])
+def test_groups_equal_all_pairs(spark, monkeypatch, size):
+    """Chains and a crowd of near copies, against all pairs; small groups too, cut into many blocks."""
+    monkeypatch.setattr(simhash_dedup, "GROUP_BYTES", size)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(40):  # a crowd around one text
+        own = list(base)
+        own[rng.randrange(60)] = f"x{k}"
+        texts.append(" ".join(own))
+    step = [f"c{i}" for i in range(100)]
+    for k in range(12):  # a chain: neighbours are alike, its ends are not
+        step[k * 8] = f"d{k}"
+        texts.append(" ".join(step))
+    texts += [None, "", " \n", "one two", "One  two", "one two three", *(f"alone {i} " * 9 for i in range(20)), texts[0], texts[0].upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    by = defaultdict(set)
+    for r in simhash_dedup.group_similar(docs).collect():
+        by[r["root"]].add(r["doc_id"])
+    sets = [shingles_of(t) for t in texts]
+    want, todo = [], set(range(len(texts)))
+    while todo:
+        part, edge = set(), {min(todo)}
+        while edge:
+            part |= edge
+            edge = {j for j in todo - part if any(jaccard(sets[i], sets[j]) >= 0.8 for i in edge)}
+        want.append(part)
+        todo -= part
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, want))
+
+
+def test_similar_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(5, text, 1, "a", 2), (3, text + " end", 1, "b", 2), (3, text + " end", 1, "c", 2), (None, None, 1, "d", 2), (9, "x " * 200_000, 1, None, 2)]
+    schema = "doc_id bigint, text string, __hash int, `odd name.x` string, Mark int"
+    for keep in (simhash_dedup.keep_similar, simhash_dedup.keep):
+        docs = spark.createDataFrame(rows, schema)
+        kept = keep(docs)
+        assert kept.columns == docs.columns
+        got = [tuple(r) for r in kept.collect()]
+        assert sorted(str(r[0]) for r in got) == (["3", "9", "None"] if keep is simhash_dedup.keep_similar else sorted({str(r[0]) for r in got}))
+        assert {(r[0], r[2], r[4]) for r in got} <= {(r[0], 1, 2) for r in rows}
+        assert keep(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200), (301, 300), (300, 301)]
     got = {(r["node"], r["root"]) for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
