@@ -26,7 +26,7 @@ import sys
 import types
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftpage.llm.common import give_back, small_batches, table
+from siftpage.llm.common import give_back, quoted, small_batches, table
 
 LEAF = 256
 #: Tokens on each side of a join in the first window.
 WINDOW = 4
 #: Bytes of words and their encodings that a worker keeps, characters of text in one slice of work, and
 #: pieces in one call of the library, whose results are large.
-CACHED, SLICE, AT_ONCE = 64 << 20, 500_000, 2_000
+CACHED, SLICE, AT_ONCE = 160 << 20, 500_000, 2_000
 VOCABULARY = "word_bpe_49k.json"
 
 Token = tuple[int, int, int]
@@ -125,12 +125,33 @@ KNOWN_STEPS = {
 #: Bytes of UTF-8 that only occur in characters below U+0240 (or continue them), without U+001C to U+001F.
 PLAIN_BYTES = bytes([*range(0x1C), *range(0x20, 0x80), *range(0x80, 0xC9)])
 
-#: What is kept of a word or piece: its ids in decimal, and its tokens' strings, each joined by blanks.
-Entry = tuple[str, str]
+Word = str | tuple[str, ...]
+
+
+def segments(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of segments of a buffer, one segment after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
+
+
+class Spelling:
+    """The strings of all ids in one buffer, each with a blank behind it."""
+
+    def __init__(self, strings: list[bytes]):
+        self.data = np.frombuffer(b"".join([s + b" " for s in strings]), np.uint8)
+        self.lengths = np.array([len(s) + 1 for s in strings], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def join(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """For each text (so many ids) the strings of its ids, joined by blanks."""
+        lengths = self.lengths[ids]
+        data = self.data[segments(self.starts[ids], lengths)].tobytes()
+        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))].tolist()
+        return [data[a : max(a, b - 1)] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 class Encoder:
-    """One worker's tokenizer: whole texts to entries of words, which are kept from text to text and from
+    """One worker's tokenizer: whole texts by way of words, whose ids are kept from text to text and from
     task to task, up to `CACHED` bytes; beyond, the older half goes."""
 
     def __init__(self, path: str, leaf: int = LEAF):
@@ -150,9 +171,12 @@ class Encoder:
         plain_tokens = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added.values())
         #: whether the file has the steps for which pieces are cut here; any other is left to the library
         self.known = plain_tokens and all(steps.get(k) == v for k, v in KNOWN_STEPS.items()) and steps["model"]["type"] == "BPE"
-        self.entries: dict[str | tuple[str], Entry] = {}
-        self.pieces: dict[str, Entry] = {}
-        self.weight = 0
+        most = max(self.names, default=-1) + 1
+        self.decimals = Spelling([str(i).encode() for i in range(most)])
+        self.strings = Spelling([self.names.get(i, "").encode() for i in range(most)])
+        #: words by number; the ids of all, one word after the other, and where each word's end
+        self.number: dict[Word, int] = {}
+        self.ids, self.ends, self.weight = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
         self.letters = byte_letters()
         # In this range a text is in normal form already and lower-casing is by character, so that
         # the cut into pieces can be made here; others go through the tokenizer's own steps.
@@ -167,7 +191,7 @@ class Encoder:
             return "\x85" not in text and "\u0130" not in text
         return not self.odd.search(text)
 
-    def keys_of(self, text: str) -> list[str | tuple[str]]:
+    def words_of(self, text: str) -> list[Word]:
         """The words of a plain text, lower-cased, else its pieces (in letters that stand for bytes), as tuples.
 
         No piece lies across a blank, so a word's pieces are the same wherever it stands.
@@ -189,55 +213,85 @@ class Encoder:
             for x in self.bare.encode_batch(texts, add_special_tokens=False)
         ]
 
-    def entry(self, ids: Iterable[int]) -> Entry:
-        return " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
-
-    def learn(self, keys: set[str | tuple[str]]) -> None:
-        """Encode the words and pieces that are not known yet."""
-        cut = {k: list(k) if isinstance(k, tuple) else self.pieces_of(k) for k in keys}
-        new = {p for pieces in cut.values() for p in pieces}.difference(self.pieces)
-        short = [p for p in new if len(p) <= self.leaf]
-        for at in range(0, len(short), AT_ONCE):
-            part = short[at : at + AT_ONCE]
-            for piece, x in zip(part, self.bare.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.pieces[piece] = self.entry(x.ids)
-        for piece in new:
-            if len(piece) > self.leaf:
-                self.pieces[piece] = self.entry([t[0] for t in tree(piece, self.tokens, self.leaf)])
-        for key, pieces in cut.items():
-            found = [e for e in map(self.pieces.__getitem__, pieces) if e[0]]
-            self.entries[key] = one = " ".join([e[0] for e in found]), " ".join([e[1] for e in found])
-            self.weight += len(one[0]) + len(one[1]) + len(key) + 400
-
-    def encode(self, texts: list[str]) -> list[Entry]:
-        """For each text its ids in decimal and their strings as the tokenizer decodes them, joined by blanks."""
+    def encoded(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of pieces."""
+        out: list[list[int]] = []
+        for at in range(0, len(pieces), AT_ONCE):
+            part = pieces[at : at + AT_ONCE]
+            if max(map(len, part)) <= self.leaf:
+                out += [x.ids for x in self.bare.encode_batch_fast(part, add_special_tokens=False)]
+            else:
+                out += [[t[0] for t in tree(p, self.tokens, self.leaf)] for p in part]
+        return out
+
+    def learn(self, words: list[Word]) -> None:
+        """Encode words that are not known yet and number them."""
+        cut = [
+            [w] if isinstance(w, str) and w.isascii() and w.isalpha() else [w[0]] if isinstance(w, tuple) else self.pieces_of(w)
+            for w in words
+        ]
+        pieces = list({p for own in cut for p in own})
+        long = [len(p) > self.leaf for p in pieces]
+        order = [p for p, far in zip(pieces, long, strict=True) if not far], [p for p, far in zip(pieces, long, strict=True) if far]
+        ids_of = dict(zip(chain(*order), chain(*map(self.encoded, order)), strict=True))
+        found = [ids_of[own[0]] if len(own) == 1 else list(chain.from_iterable([ids_of[p] for p in own])) for own in cut]
+        self.keep(words, found)
+
+    def keep(self, words: list[Word], found: list[list[int]]) -> None:
+        first = len(self.number)
+        self.number.update(zip(words, range(first, first + len(words)), strict=True))
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + len(self.ids)
+        new = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]) - len(self.ids) if len(ends) else 0)
+        self.ids, self.ends = np.concatenate([self.ids, new]), np.concatenate([self.ends, ends])
+        self.weight += 4 * len(new) + 220 * len(words) + sum(map(len, words))
+
+    def forget(self) -> None:
+        """Drop the older half of the words: those with the smaller numbers."""
+        half = len(self.number) // 2
+        self.number = {w: n - half for w, n in self.number.items() if n >= half}
+        cut = int(self.ends[half - 1]) if half else 0
+        self.ids, self.ends = self.ids[cut:].copy(), self.ends[half:] - cut
+        self.weight //= 2
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has."""
         if not self.known:
-            ids = [x.ids for x in self.full.encode_batch(texts, add_special_tokens=False)]
-            return [(" ".join(map(str, i)), self.full.decode(i, skip_special_tokens=False)) for i in ids]
+            found = [x.ids for x in self.full.encode_batch(texts, add_special_tokens=False)]
+            counts = np.array([len(f) for f in found], np.int64)
+            return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
         if self.weight > CACHED:
-            for kept in (self.pieces, self.entries):
-                for key in list(kept)[: len(kept) // 2]:
-                    del kept[key]
-            self.weight //= 2
-        keys = []
+            self.forget()
+        for name, i in self.special.items():
+            if (name, "") not in self.number:
+                self.keep([(name, "")], [[i]])
+        words: list[Word] = []
+        upto = [0]
         for text in texts:
             if self.split and any(s in text for s in self.special):
-                own = [[(p, "")] if p in self.special else self.keys_of(p) for p in self.split.split(text)]
-                keys.append(list(chain.from_iterable(own)))
+                for part in self.split.split(text):
+                    words += [(part, "")] if part in self.special else self.words_of(part)
             else:
-                keys.append(self.keys_of(text))
-        known = self.entries
-        for name, i in self.special.items():
-            known[(name, "")] = (str(i), name)
-        self.learn(set(chain.from_iterable(keys)).difference(known))
-        out = []
-        for own in keys:
-            found = [e for e in map(known.__getitem__, own) if e[0]]
-            out.append((" ".join([e[0] for e in found]), " ".join([e[1] for e in found])))
-        return out
-
-    def decode(self, ids: Iterable[int]) -> str:
-        return " ".join([self.names[i] for i in ids]) if self.known else self.full.decode(list(ids), skip_special_tokens=False)
+                words += self.words_of(text)
+            upto.append(len(words))
+        numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(numbers < 0)):
+            self.learn(list(dict.fromkeys([words[i] for i in new.tolist()])))
+            numbers[new] = [self.number[words[i]] for i in new.tolist()]
+        starts = np.append(0, self.ends)[numbers]
+        lengths = self.ends[numbers] - starts
+        counts = np.diff(np.append(0, np.cumsum(lengths))[upto])
+        return self.ids[segments(starts, lengths)], counts
+
+    def spelt(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """For each text its ids in decimal, joined by blanks."""
+        return self.decimals.join(ids, counts)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The texts that the ids stand for, in UTF-8."""
+        if self.known:
+            return self.strings.join(ids, counts)
+        each = np.split(ids, np.cumsum(counts)[:-1])
+        return [self.full.decode(x.tolist(), skip_special_tokens=False).encode() for x in each]
 
 
 def encoder(path: str, leaf: int = LEAF) -> Encoder:
@@ -248,17 +302,13 @@ def encoder(path: str, leaf: int = LEAF) -> Encoder:
     return kept[(path, leaf)]
 
 
-def coded(batch: pa.RecordBatch, tokenizer: Encoder) -> Iterator[tuple[pa.RecordBatch, list[Entry]]]:
-    """A batch in slices of some text, each with the entries of its texts."""
+def coded(batch: pa.RecordBatch, tokenizer: Encoder) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """A batch in slices of some text, each with the ids of its texts and their counts."""
     lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0))
     slices = np.cumsum(lengths, dtype=np.int64) // SLICE
     for at in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(slices)) + 1) if len(lengths) else []:
         part = batch.slice(int(at[0]), len(at))
-        yield part, tokenizer.encode([t or "" for t in part.column("text").to_pylist()])
-
-
-def count_of(decimals: str) -> int:
-    return decimals.count(" ") + 1 if decimals else 0
+        yield part, *tokenizer.encode([t or "" for t in part.column("text").to_pylist()])
 
 
 def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, decoded: bool = False) -> DataFrame:
@@ -271,15 +321,14 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, decoded:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path, leaf)
         for batch in batches:
-            for part, entries in coded(batch, tokenizer):
-                ends = np.cumsum([0, *(count_of(e[0]) for e in entries)], dtype=np.int32)
-                flat = np.fromstring(" ".join([e[0] for e in entries if e[0]]), np.int32, sep=" ")
-                columns = [part.column(f.name) for f in own] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                columns += [pa.array([e[1] for e in entries], pa.string())] * decoded
+            for part, ids, counts in coded(batch, tokenizer):
+                ends = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+                columns = [part.column(f.name) for f in own] + [pa.ListArray.from_arrays(ends, pa.array(ids))]
+                columns += [pa.array(tokenizer.decode(ids, counts), pa.binary()).cast(pa.string())] * decoded
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in own + new])
         give_back()
 
-    return docs.select(*(f.name for f in own)).mapInArrow(each, T.StructType(own + new))
+    return docs.select(*quoted([f.name for f in own])).mapInArrow(each, T.StructType(own + new))
 
 
 def digests(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
@@ -293,10 +342,10 @@ def digests(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataF
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path, leaf)
         for batch in batches:
-            for part, entries in coded(batch, tokenizer):
-                counts = pa.array([count_of(e[0]) for e in entries], pa.int64())
-                hashes = [pa.array([hashlib.sha256(e[i].encode()).hexdigest() for e in entries]) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), counts, *hashes], names)
+            for part, ids, counts in coded(batch, tokenizer):
+                texts = tokenizer.spelt(ids, counts), tokenizer.decode(ids, counts)
+                hashes = [pa.array([hashlib.sha256(t).hexdigest() for t in own], pa.string()) for own in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), *hashes], names)
         give_back()
 
     return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
@@ -310,7 +359,10 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = encoder(path)
         for ids in batches:
-            yield pa.array([tokenizer.decode(x or []) for x in ids.to_pylist()], pa.string())
+            own = [np.array(x or [], np.int32) for x in ids.to_pylist()]
+            counts = np.array([len(x) for x in own], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int32), *own])
+            yield pa.array(tokenizer.decode(flat, counts) if len(own) else [], pa.binary()).cast(pa.string())
 
     return rows.withColumn("decoded", texts("ids"))
 
