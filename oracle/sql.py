@@ -131,6 +131,8 @@ FROM (
   WHERE f.tag = 'form')
 """
 SQL["forms_inputs"] = page_query(FORMS)
+SQL["form_fields_joined"] = SQL["forms_inputs"]
+SQL["breadcrumb_depths_joined"] = features_query("SELECT page_id, breadcrumb_depth FROM feat")
 
 
 def _meta(key: str, condition: str) -> str:

@@ -320,14 +320,18 @@ def tokens(pages: DataFrame) -> DataFrame:
     )
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """One row per element: eid, parent_eid, tag, depth under body, child counts, text, attributes."""
-    rows = exploded(parse(pages).select("page_id", "joined", "nodes"), "nodes", "eid", "e")
+def elements(pages: DataFrame, raw: bool = False) -> DataFrame:
+    """One row per element: eid, parent_eid, start and stop (of its tokens), tag, depth under body, child
+    counts, text, attributes. With ``raw`` of the page as it is, noscript parts included."""
+    parsed = parse_raw(pages) if raw else parse(pages)
+    rows = exploded(parsed.select("page_id", "joined", "nodes"), "nodes", "eid", "e")
     e = F.col("e")
     return rows.select(
         "page_id",
         "eid",
         F.when(e["parent"] >= 0, e["parent"]).alias("parent_eid"),
+        e["src"].alias("start"),
+        e["stop"].alias("stop"),
         e["tag"].alias("tag"),
         F.when(e["depth"] >= 0, e["depth"]).alias("depth"),
         e["kids"].alias("child_count"),

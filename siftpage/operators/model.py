@@ -368,9 +368,13 @@ def training_report(
     }
     if model is not None:
         spark = sample_split.sparkSession
-        learner = model.stages[2]
-        settings = [(p.name, str(v)) for p, v in sorted(learner.extractParamMap().items(), key=lambda x: x[0].name)]
-        out["parameters"] = spark.createDataFrame(settings, "name string, value string")
+        _, _, learners = _stages(model)
+        settings = [
+            (i, p.name, str(v))
+            for i, learner in enumerate(learners)
+            for p, v in sorted(learner.extractParamMap().items(), key=lambda x: x[0].name)
+        ]
+        out["parameters"] = spark.createDataFrame(settings, "learner int, name string, value string")
         out["top_features"] = top_features(importance(model, spark), top)
     return out
 

@@ -28,6 +28,8 @@ from siftpage.operators.features.assemble import features_of, prepare
 from siftpage.operators.html import elements, page_text, tokens
 from siftpage.operators.rules import blocked_pages as find_blocked
 from siftpage.operators.rules import pre_classify, rule_distribution, with_verdict
+from siftpage.operators.softmax import fit_softmax, score_softmax
+from siftpage.operators.structural import breadcrumb_items, form_fields
 from siftpage.plans.classify import features_and_verdict
 from siftpage.session import checkpoint_dir, configure
 from siftpage.sources.decorated import decorated_pages
@@ -190,6 +192,18 @@ def forms_inputs(spark, folder):
     return S.forms_table(_snapshots(spark, folder))
 
 
+@register
+def form_fields_joined(spark, folder):
+    """``forms_inputs`` from the element table, by a structural join."""
+    return form_fields(elements(decorated_pages(spark, folder), raw=True))
+
+
+@register
+def breadcrumb_depths_joined(spark, folder):
+    """The breadcrumb feature from the element table, by a structural join."""
+    return breadcrumb_items(elements(decorated_pages(spark, folder)))
+
+
 @register
 def heading_texts(spark, folder):
     return S.headings_table(_snapshots(spark, folder))
@@ -835,11 +849,12 @@ def _weak_samples(spark, folder) -> DataFrame:
 
 
 def _fitted(spark, folder):
-    """The features are cut off from the parse by a checkpoint: training reads them many times."""
+    """The forest at its own settings. The features are cut off from the parse by a checkpoint: training
+    reads them many times."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     samples = M.split(_weak_samples(spark, folder).checkpoint())
-    model = M.fit(samples.filter("not is_test"), classifier=M.forest(trees=40, depth=6))
+    model = M.fit(samples.filter("not is_test"))
     return model, samples
 
 
@@ -852,6 +867,19 @@ def model_scores(spark, folder):
     )
 
 
+@register
+def softmax_scores(spark, folder):
+    """Boosted trees with one softmax over the three classes, trained and scored like ``model_scores``."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    samples = M.split(_weak_samples(spark, folder).checkpoint())
+    run = spark.range(1).select(F.expr("uuid()")).first()[0]
+    model = fit_softmax(samples.filter("not is_test"), f"{checkpoint_dir(spark)}/softmax-{run}")
+    return score_softmax(samples, model).select(
+        "page_id", "label", "is_test", "ml_label", "ml_confidence", "probabilities"
+    )
+
+
 @register
 def feature_importance(spark, folder):
     model, _ = _fitted(spark, folder)
