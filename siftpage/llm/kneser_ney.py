@@ -29,6 +29,7 @@ rows; other columns of the table are not read.
 from __future__ import annotations
 
 import os
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,6 +42,8 @@ from siftpage.llm.common import fold_of, give_back, mounted, scratch, table, wri
 
 #: Bytes of training text for each bucket, bytes of text hashed at once, counts held before a merge.
 BUCKET_BYTES, SLICE, HELD = 24_000_000, 4_000_000, 3_000_000
+#: Pair buckets that a worker has mapped at once, three handles each.
+OPEN = 32
 END = np.uint64(0x5851F42D4C957F2D)
 
 SPACES = np.zeros(256, bool)
@@ -372,27 +375,41 @@ def train(docs: DataFrame) -> Model:
 
 
 class Reader:
-    """The arrays of a model, mapped into a worker's memory as they are asked for."""
+    """The arrays of a model, mapped into a worker's memory as they are asked for.
+
+    A map holds a file handle, so that of the pair buckets those asked for last stay mapped, `OPEN` at most:
+    a slice of texts asks in the order of the buckets, and each is mapped once for it.
+    """
 
     def __init__(self, model: Model):
-        self.model, self.pairs = model, {}
+        self.model = model
+        self.pairs: OrderedDict[int, list[np.ndarray] | None] = OrderedDict()
         self.hash, self.count, self.rest, self.places = (
             whole(f"{model.folder}/{n}", k) for n, k in (("hash", "<u8"), ("count", "<i8"), ("rest", "<f8"), ("places", "<i8"))
         )
 
+    def bucket(self, b: int) -> list[np.ndarray] | None:
+        """The keys, counts and large counts of a bucket; None if it has none."""
+        if b in self.pairs:
+            self.pairs.move_to_end(b)
+        else:
+            while len(self.pairs) >= OPEN:
+                self.pairs.popitem(last=False)
+            path = f"{self.model.folder}/pairs-{b}"
+            there = os.path.exists(f"{path}.npy")
+            self.pairs[b] = [mapped(f"{path}{x}.npy") for x in ("", "-counts", "-large")] if there else None
+        return self.pairs[b]
+
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """How often each pair was seen; keys in order."""
         out = np.zeros(len(keys), np.int64)
         bucket = np.searchsorted(self.model.bounds, keys, "right")
         for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(bucket)) + 1) if len(keys) else []:
             b = int(bucket[part[0]])
-            if b not in self.pairs:
-                path = f"{self.model.folder}/pairs-{b}"
-                there = os.path.exists(f"{path}.npy")
-                self.pairs[b] = [mapped(f"{path}{x}.npy") for x in ("", "-counts", "-large")] if there else None
-            if self.pairs[b] is None:
+            maps = self.bucket(b)
+            if maps is None:
                 continue
-            known, counts, large = self.pairs[b]
+            known, counts, large = maps
             at, there = found(known, keys[part])
             value = np.where(there, counts[at], 0).astype(np.int64)
             many = np.flatnonzero(value == 255)

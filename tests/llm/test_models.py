@@ -1,6 +1,7 @@
 """Language identification, quality classifier, language model, nearest neighbours: accuracy and brute force."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -184,6 +185,28 @@ def test_neighbours_recall(spark, monkeypatch, rows):
     assert hits >= 0.9 * len(got)
 
 
+def test_many_pair_buckets_take_few_file_handles(tmp_path):
+    model = kneser_ney.Model(str(tmp_path))
+    buckets, each = 200, 50
+    keys = np.arange(buckets * each, dtype=np.uint64) * np.uint64(3) + np.uint64(1)
+    model.bounds = keys[each::each].copy()
+    for b, own in enumerate(np.split(keys, buckets)):
+        if b == 7:
+            continue  # a bucket without pairs has no files
+        counts = (own % np.uint64(300)).astype(np.int64) + 1
+        large = np.flatnonzero(counts > 254)
+        for name, x in (("", own), ("-counts", np.minimum(counts, 255).astype(np.uint8)), ("-large", np.stack([large, counts[large]]))):
+            np.save(tmp_path / f"pairs-{b}{name}.npy", x)
+    for name in ("hash", "count", "rest", "places"):
+        (tmp_path / name).write_bytes(b"")
+    reader, before = kneser_ney.Reader(model), len(os.listdir("/proc/self/fd"))
+    wanted = np.sort(np.concatenate([keys, keys + np.uint64(1)]))
+    want = np.where((wanted % np.uint64(3) == 1) & (np.searchsorted(model.bounds, wanted, "right") != 7), wanted % np.uint64(300) + 1, 0)
+    for _ in range(3):
+        assert (reader.pair_counts(wanted) == want).all()
+        assert len(os.listdir("/proc/self/fd")) - before <= 3 * kneser_ney.OPEN < 256
+
+
 def unit_rows(n, seed=3):
     x = np.random.default_rng(seed).normal(size=(n, 64))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
