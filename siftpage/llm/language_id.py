@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpage.llm.common import fold_of, give_back, small_batches, table, written
+from siftpage.llm.common import fold_of, free, give_back, small_batches, table, written
 
 LENGTHS = (1, 2, 3)
 #: Bounds of the fit: expected sample rows for each language, landmarks over all languages.
@@ -75,13 +75,6 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """One row of zeros and ones for each text, over all their n-grams: the kernel's vectors in full, for few texts."""
-    own = [grams(t) for t in texts]
-    every = np.unique(np.concatenate(own))
-    return np.stack([np.isin(every, g) for g in own]).astype(np.float32)
-
-
 class Model:
     """Languages, the landmarks' n-grams (each with the landmarks that have it), and the weights of each
     language for the landmarks."""
@@ -191,14 +184,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     und = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
     readable = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
-    found = predicted(readable) if model else und
-    out = docs.withColumn("__found", found)
+    name = free("found", docs.columns)
+    out = docs.withColumn(name, predicted(readable) if model else und)
     return out.withColumns(
         {
-            "lang_pred": F.when(readable.isNull(), "und").otherwise(F.col("__found.lang")),
-            "score": F.when(readable.isNull(), 0.0).otherwise(F.col("__found.score")),
+            "lang_pred": F.when(readable.isNull(), "und").otherwise(F.col(name)["lang"]),
+            "score": F.when(readable.isNull(), 0.0).otherwise(F.col(name)["score"]),
         }
-    ).drop("__found")
+    ).drop(name)
 
 
 def op2_language_id(spark, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -27,10 +28,44 @@ def test_language_held_out(spark):
     assert got.count() == docs.count()
 
 
-def test_language_kernel():
-    a, b = language_id.presence(["abc  12 D", "bcd"]).astype(bool)
-    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-    assert a.sum() == len(grams("abc d")) and (a & b).sum() == len(grams("abc d") & grams("bcd"))
+def plain_grams(text):
+    """The n-grams of a text: letters in lower case, runs of anything else as one blank."""
+    text = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    text = re.sub(" +", " ", text)
+    return {text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)}
+
+
+def plain_kernel(a, b):
+    return len(a & b) / math.sqrt(max(1, len(a))) / math.sqrt(max(1, len(b)))
+
+
+def test_language_equals_plain_kernel_ridge():
+    """Kernel, ridge solution and predictions against sets and dense matrices."""
+    rng = random.Random(3)
+    letters = {"aa": "abcdefg éÉ", "bb": "fghijklm.ß", "cc": "mnopqr 12日"}
+    text = lambda lang, n: "".join(rng.choices(letters[lang], k=n))
+    marks = [(lang, text(lang, 60)) for lang in letters for _ in range(4)]
+    sample = [(lang, text(lang, 40)) for lang in letters for _ in range({"aa": 9, "bb": 5, "cc": 3}[lang])]
+    model = language_id.Model(sorted(letters), [language_id.grams(t) for _, t in marks])
+    tests = ["", "1 2", "abc fgh mno", text("bb", 500), text("cc", 3), "ßßß", *(t for _, t in sample)]
+    of_marks = [plain_grams(t) for _, t in marks]
+    want = np.array([[plain_kernel(plain_grams(t), g) for g in of_marks] for t in tests])
+    assert np.allclose([model.kernel(language_id.grams(t)) for t in tests], want)
+
+    square = np.array([[plain_kernel(a, b) for b in of_marks] for a in of_marks])
+    rows = np.array([[plain_kernel(plain_grams(t), g) for g in of_marks] for _, t in sample])
+    language_id.solve(model, square, [lang for lang, _ in sample], rows)
+    # weighted ridge in the features K^(-1/2) k, by its normal equations in full
+    values, vectors = np.linalg.eigh(square)
+    half = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
+    phi, names = rows @ half, np.array([lang for lang, _ in sample])
+    weight = np.diag([1 / (names == n).sum() for n in names])
+    y = np.where(names[:, None] == np.array(model.langs), 1.0, -1.0)
+    plain = half @ np.linalg.inv(phi.T @ weight @ phi + language_id.RIDGE * np.eye(len(marks))) @ phi.T @ weight @ y
+    assert np.allclose(model.weights, plain, atol=1e-6)
+    which, score = model.predict(tests)
+    z = np.exp(language_id.SHARPNESS * (want @ plain))
+    assert which.tolist() == z.argmax(1).tolist() and np.allclose(score, (z / z.sum(1, keepdims=True)).max(1))
 
 
 def test_language_long_texts(spark):
@@ -84,6 +119,40 @@ def test_quality_risk():
             assert abs(slope - dp[2]) < 1e-4
 
 
+def test_quality_fit_steps_down_the_risk(monkeypatch):
+    """The first step of the fit against slopes of the whole risk taken one weight at a time; and where the
+    fit ends, against the least risk that a constant score can have."""
+    rng = np.random.default_rng(2)
+    good, web = rng.normal(0.5, 1, (80, pu_quality.FEATURES)), rng.normal(-0.2, 1, (90, pu_quality.FEATURES))
+    good, web = good[np.lexsort(good.T)], web[np.lexsort(web.T)]
+    monkeypatch.setattr(pu_quality, "STEPS", 1)
+    done = pu_quality.fit(good, web, 0.6, seed=9)
+    draw, f, h = np.random.default_rng(9), pu_quality.FEATURES, pu_quality.HIDDEN
+    p, u = done.prepared(good), done.prepared(web)
+    start = [draw.normal(0, f**-0.5, (f, h)), np.zeros(h), draw.normal(0, h**-0.5, h), np.zeros(1)]
+    xp, xu = p[draw.integers(0, len(p), pu_quality.BATCH)], u[draw.integers(0, len(u), pu_quality.BATCH)]
+
+    def risk(w):
+        out = [np.tanh(x @ w[0] + w[1]) @ w[2] + w[3] for x in (xp, xu)]
+        soft = lambda z: np.logaddexp(0, z).mean()
+        return 0.6 * soft(-out[0]) + max(0, soft(out[1]) - 0.6 * soft(out[0])) + pu_quality.DECAY / 2 * ((w[0] ** 2).sum() + (w[2] ** 2).sum())
+
+    checked = 0
+    for i, own in enumerate(start):
+        for at in list(np.ndindex(own.shape))[::7]:
+            step = [x.copy() for x in start]
+            step[i][at] += 1e-5
+            slope = (risk(step) - risk(start)) / 1e-5
+            if abs(slope) > 1e-4:
+                assert np.sign(done.weights[i][at] - own[at]) == -np.sign(slope)
+                checked += 1
+    assert checked > 40
+    monkeypatch.setattr(pu_quality, "STEPS", 300)
+    end = pu_quality.fit(good, web, 0.6, seed=9).weights
+    constant = min(0.6 * np.logaddexp(0, -z) + max(0, (1 - 0.6) * np.logaddexp(0, z)) for z in np.linspace(-5, 5, 400))
+    assert risk(end) < constant
+
+
 def test_quality_odd_rows(spark):
     rows = [(i, "plain words of a text " * 20, "x") for i in range(40)] + [(100 + i, "#$% | * " * 50, "x") for i in range(8)]
     rows += [(200, None, "x"), (201, "", "x"), (202, "long " * 100_000, "x"), (1, rows[1][1], "x")]
