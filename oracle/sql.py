@@ -79,6 +79,13 @@ SELECT page_id, i AS eid, tag, depth, kids AS child_count, len AS text_len,
 FROM ({NODES})
 """
 )
+SQL["tag_nesting"] = page_query(
+    """
+SELECT o.tag AS outer_tag, i.tag AS inner_tag, count(*) AS n, count(DISTINCT i.page_id) AS pages
+FROM node i JOIN node o ON o.page_id = i.page_id AND list_contains(i.anc, o.eid)
+WHERE o.tag IN ('form', 'nav', 'article', 'table', 'ul') GROUP BY ALL
+"""
+)
 SQL["page_text_table"] = page_query(
     "SELECT page_id, title, length(body) AS chars, md5(body) AS body_md5 FROM body"
 )

@@ -31,6 +31,7 @@ from siftpage.operators.rules import pre_classify, rule_distribution, with_verdi
 from siftpage.operators.softmax import fit_softmax, score_softmax
 from siftpage.operators.structural import breadcrumb_items, form_fields
 from siftpage.plans.classify import features_and_verdict
+from siftpage.plans.views import tag_report
 from siftpage.session import checkpoint_dir, configure
 from siftpage.sources.decorated import decorated_pages
 from siftpage.sources.ledger_store import LedgerStore
@@ -144,6 +145,12 @@ def element_table(spark, folder):
     )
 
 
+@register
+def tag_nesting(spark, folder):
+    """Tags inside tags, by SQL over the registered views."""
+    return tag_report(decorated_pages(spark, folder))
+
+
 @register
 def page_text_table(spark, folder):
     t = page_text(decorated_pages(spark, folder))

@@ -12,6 +12,7 @@ from siftpage.operators.model import fit_boosted, purge_stale, split, stale_feat
 from siftpage.operators.snapshot import forms_table, snapshot
 from siftpage.operators.softmax import SoftmaxTrees, fit_softmax, score_softmax
 from siftpage.operators.structural import breadcrumb_items, descendants, form_fields
+from siftpage.plans.views import register_views
 from siftpage.sources import files
 
 PAGE = "page_id bigint, url string, html string"
@@ -63,6 +64,19 @@ def test_breadcrumbs(spark):
     assert got == {0: 4, 1: 2, 2: 0}
 
 
+def test_views(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://x/a", "<title>T</title><h1>H</h1><form><input name=q></form><a href='/b'>b</a><img src=c.png><meta name=k content=v>"), (2, "http://x/b", None)], PAGE
+    )
+    names = register_views(pages, "v_")
+    assert len(names) == 12 and all(spark.table(n).columns for n in names)
+    assert spark.sql("SELECT tag FROM v_elements WHERE page_id = 1 AND attrs['name'] = 'q'").first()[0] == "input"
+    joined = spark.sql("SELECT e.tag FROM v_inside i JOIN v_elements e ON e.page_id = i.page_id AND e.eid = i.eid WHERE i.level = 1 AND e.tag = 'input'")
+    assert joined.count() == 1
+    counts = {n: spark.table(n).count() for n in ("v_links", "v_images", "v_forms", "v_headings", "v_meta", "v_snapshots", "v_page_text")}
+    assert counts == {"v_links": 1, "v_images": 1, "v_forms": 1, "v_headings": 1, "v_meta": 1, "v_snapshots": 2, "v_page_text": 2}
+
+
 # ---- joint softmax --------------------------------------------------------------------------
 
 
