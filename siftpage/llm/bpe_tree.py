@@ -41,7 +41,7 @@ LEAF = 256
 WINDOW = 4
 #: Bytes of words and their encodings that a worker keeps, characters of text in one slice of work, and
 #: pieces in one call of the library, whose results are large.
-CACHED, SLICE, AT_ONCE = 160 << 20, 500_000, 2_000
+CACHED, SLICE, AT_ONCE = 80 << 20, 500_000, 2_000
 VOCABULARY = "word_bpe_49k.json"
 
 Token = tuple[int, int, int]
