@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftpage.llm.common import let, table
+from siftpage.llm.common import free, let, quoted, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 SEGMENT = HOST + r"(?::[0-9]*)?(/[^/?#]+)"
@@ -74,21 +74,27 @@ def intervals(entries: DataFrame) -> DataFrame:
     return changes.select("key", "status", F.col("day").alias("since"), F.lead("day").over(by_day).alias("until"))
 
 
+FOUND = ("blocked", "matched_key", "listed_since")
+
+
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """All captures (url, fetched_at, ...) with blocked, matched_key and listed_since."""
+    """All captures (url, fetched_at, ...) with blocked, matched_key and listed_since; own columns of these
+    names are replaced."""
     valid = intervals(entries)
     pairs = captures.select("url", "fetched_at").filter("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
     rows = pairs.select("url", "fetched_at", F.explode(levels_of(F.col("url"))).alias("x")).select("url", "fetched_at", "x.*")
     active = (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     met = rows.join(valid.filter("status <> 'none'"), "key").filter(active)
-    hit = F.min_by(F.struct("status", "key", "since"), "level").alias("__hit")
-    hits = met.groupBy(F.col("url").alias("__url"), F.col("fetched_at").alias("__at")).agg(hit)
-    out = captures.join(hits, (F.col("url") == F.col("__url")) & (F.col("fetched_at") == F.col("__at")), "left")
+    own = [c for c in captures.columns if c not in FOUND]
+    url, at, hit = (free(n, captures.columns) for n in ("hit_url", "hit_at", "hit"))
+    best = F.min_by(F.struct("status", "key", "since"), "level").alias(hit)
+    hits = met.groupBy(F.col("url").alias(url), F.col("fetched_at").alias(at)).agg(best)
+    out = captures.join(hits, (captures["url"] == hits[url]) & (captures["fetched_at"] == hits[at]), "left")
     return out.select(
-        *(captures[c] for c in captures.columns),
-        F.coalesce(F.col("__hit.status") == "block", F.lit(False)).alias("blocked"),
-        F.col("__hit.key").alias("matched_key"),
-        F.col("__hit.since").alias("listed_since"),
+        *quoted(own),
+        F.coalesce(F.col(hit)["status"] == "block", F.lit(False)).alias("blocked"),
+        F.col(hit)["key"].alias("matched_key"),
+        F.col(hit)["since"].alias("listed_since"),
     )
 
 

@@ -245,6 +245,24 @@ def test_mixing_brute_force(spark):
     assert first == sorted(map(repr, got))
 
 
+def test_columns_of_any_name(spark):
+    """Columns named like results or like inner names, or with dots and blanks, come through or are replaced."""
+    at = datetime.datetime(2024, 1, 2)
+    captures = spark.createDataFrame(
+        [("http://a.b.example/x", at, True, "k", "h", 1), (None, at, None, None, None, 2)],
+        "url string, fetched_at timestamp, blocked boolean, matched_key string, hit string, `a b.c` int",
+    )
+    entries = spark.createDataFrame([("b.example", datetime.datetime(2024, 1, 1), "block")], "key string, day timestamp, status string")
+    got = url_filters.judge(captures, entries)
+    assert got.columns == ["url", "fetched_at", "hit", "a b.c", "blocked", "matched_key", "listed_since"]
+    assert [(r["hit"], r["a b.c"], r["blocked"]) for r in sorted(got.collect(), key=lambda r: r["a b.c"])] == [("h", 1, True), (None, 2, False)]
+    names = "doc_id bigint, text string, source string, size_ int, __size int, content_ string, `a b.c` int, K_doc_id int"
+    docs = spark.createDataFrame([(i, "w " * 10, "s", i, 1, "c", 2, 3) for i in range(9)] + [(5, "w " * 10, "s", 5, 1, "c", 2, 3)], names)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == 10
+    assert {(r["__size"], r["content_"], r["a b.c"], r["K_doc_id"]) for r in mixed.collect()} == {(1, "c", 2, 3)}
+
+
 def test_mix_rows(spark):
     text = lambda n: " ".join(["w"] * n)
     rows = [(i, text(10), "s%d" % (i % 3), 7, "k") for i in range(60)] + [(99, text(10), "s0", 7, "k")] * 3
