@@ -839,3 +839,17 @@ SELECT url, regexp_replace(split_part(regexp_replace(rtrim(trim(url), '/'), 'htt
   ['list', 'detail', 'others'][page_id % 3 + 1] AS label, md5(html) AS html_md5
 FROM pages WHERE page_id % 5 = 1
 """
+SQL["stored_run_ledger"] = page_query(
+    """
+SELECT url || '#' || page_id AS url,
+  CASE WHEN page_id % 3 = 0 THEN 'list' WHEN page_id % 4 = 3 THEN 'detail' ELSE 'others' END AS label,
+  CASE WHEN page_id % 17 = 3 THEN 'failed' ELSE 'success' END AS scrape_status,
+  CASE WHEN page_id % 17 = 3 THEN 'pending' WHEN page_id % 19 = 4 THEN 'failed' ELSE 'success' END AS extract_status,
+  CASE WHEN page_id % 17 = 3 THEN 'timeout' ELSE '' END AS scrape_reason,
+  CASE WHEN page_id % 17 <> 3 AND page_id % 19 = 4 THEN 'no_content' END AS extract_reason,
+  CASE WHEN page_id % 17 <> 3 AND page_id % 19 <> 4 THEN 211 END AS feature_count,
+  CASE WHEN page_id % 17 = 3 THEN 0 ELSE 1 END AS n_files
+FROM deco
+""",
+    parts=(),
+)

@@ -31,6 +31,7 @@ from siftpage.operators.rules import pre_classify, rule_distribution, with_verdi
 from siftpage.operators.softmax import fit_softmax, score_softmax
 from siftpage.operators.structural import breadcrumb_items, form_fields
 from siftpage.plans.classify import features_and_verdict
+from siftpage.plans.run import StoredRun
 from siftpage.plans.views import tag_report
 from siftpage.session import checkpoint_dir, configure
 from siftpage.sources.decorated import decorated_pages
@@ -957,3 +958,42 @@ def page_store_pickup(spark, folder):
     done = p.filter(F.col("page_id") % 5 != 1).select("url")
     found = store.read(store.pending(done))
     return found.select("url", "key", "label", F.md5("html").alias("html_md5"))
+
+
+def _stored_run(spark, folder) -> StoredRun:
+    """Decorated pages taken in, fetched in two batches (some fail) and extracted, with stores in between."""
+    configure(spark)
+    run = spark.range(1).select(F.expr("uuid()")).first()[0]
+    out = StoredRun(spark, f"{checkpoint_dir(spark)}/run-{run}", F.lit("2024-01-01 00:00:00").cast("timestamp"), buckets=8)
+    p = decorated_pages(spark, folder).withColumn("url", F.concat("url", F.lit("#"), "page_id"))
+    label = F.when(F.col("page_id") % 3 == 0, "list").when(F.col("page_id") % 4 == 3, "detail").otherwise("others")
+    out.intake(p.select("url", label.alias("label"), F.col("page_id").alias("row")))
+    failed = F.col("page_id") % 17 == 3
+    html = F.when(failed, None).when(F.col("page_id") % 19 == 4, " ").otherwise(F.col("html"))
+    results = p.select("page_id", "url", html.alias("html"), F.when(failed, "timeout").alias("reason"))
+    for part in (0, 1):
+        out.fetched(results.filter(F.col("page_id") % 2 == part).drop("page_id"))
+        out.extracted()
+    return out
+
+
+@register
+def stored_run_ledger(spark, folder):
+    """The ledger after a run over stores."""
+    rows = _stored_run(spark, folder).ledger.read()
+    return rows.select(
+        "url", "label", "scrape_status", "extract_status", "scrape_reason", "extract_reason", "feature_count",
+        F.coalesce(F.size("files"), F.lit(-1)).alias("n_files"),
+    )
+
+
+@register
+def stored_run_modes(spark, folder):
+    """A run over stores to the end: trained on its own ledger and features, every page predicted, and the
+    three modes compared on the held-out samples."""
+    run = _stored_run(spark, folder)
+    model, samples = run.train()
+    predictions = run.predicted(model)
+    modes = _rounded(V.compare_modes(run.evaluated(model, samples)))
+    pages, errors = predictions.agg(F.count("*"), F.count_if("is_error_page")).first()
+    return modes.withColumns({"predictions": F.lit(pages), "error_pages": F.lit(errors)})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftpage.operators.bloom import bloom_rows, bucket_of, possible
 from siftpage.operators.ledger import ledger_upsert, pick_new
+from siftpage.plans.run import StoredRun
 from siftpage.sources import ledger_store, page_store, shared_files
 from siftpage.sources.ledger_store import LedgerStore
 from siftpage.sources.page_store import PageStore
@@ -190,3 +191,25 @@ def test_a_crawlers_tree_is_listed_once_for_each_label(spark, tmp_path):
     assert got == {("http://x/1", "<p>�</p>"), ("http://x/2", "two"), ("http://y/2", "two")}
     one = store.pending(spark.createDataFrame([("http://x/1",), ("http://y/2",)], "url string"))
     assert [(r["url"], r["label"]) for r in store.read(one).collect()] == [("http://x/2", "list")]
+
+
+def test_steps_of_a_run_do_nothing_twice(spark, tmp_path):
+    run = StoredRun(spark, str(tmp_path / "r"), F.lit(AT).cast("timestamp"), buckets=4)
+    urls = spark.createDataFrame([(f"http://x/{i}", "list", i) for i in range(6)], "url string, label string, row int")
+    html = "<title>A</title><p>" + "some words of a page " * 20
+    results = spark.createDataFrame([(f"http://x/{i}", html if i % 3 else None, None if i % 3 else "timeout") for i in range(6)] + [("http://unknown", html, None)], "url string, html string, reason string")
+
+    def ledger():
+        return sorted((r["url"], r["scrape_status"], r["extract_status"]) for r in run.ledger.read().collect())
+
+    run.intake(urls)
+    run.fetched(results)
+    run.extracted()
+    once = ledger()
+    assert [s for _, s, _ in once].count("failed") == 2 and [e for _, _, e in once].count("success") == 4 and len(once) == 6
+    run.fetched(results)
+    run.extracted()
+    run.intake(urls)  # failed ones are finished too
+    assert ledger() == once and run.pages.index().count() == 4 and run.features().count() == 4
+    counts = {r[0]: r for r in run.status().collect()}
+    assert counts
