@@ -47,13 +47,15 @@ STEP = (
 def text_failures(text: Column) -> Column:
     """Struct A, B, C, D: the failures that a text shows by itself."""
 
+    long = lambda n: n.cast("bigint")  # noqa: E731  a hundred times a count may pass 32 bits
+
     def judged(t: Column) -> Column:
         return let(
             words_of(t),
             lambda w: F.struct(
                 (F.size(w) < 100).alias("A"),
-                (100 * F.size(F.array_distinct(w)) < 80 * F.size(w)).alias("B"),
-                (100 * F.regexp_count(t, F.lit("[A-Z]")) > 10 * F.char_length(t)).alias("C"),
+                (100 * long(F.size(F.array_distinct(w))) < 80 * long(F.size(w))).alias("B"),
+                (100 * long(F.regexp_count(t, F.lit("[A-Z]"))) > 10 * long(F.char_length(t))).alias("C"),
                 t.rlike("[#$%&*|]").alias("D"),
             ),
         )
