@@ -41,7 +41,7 @@ LEAF = 256
 WINDOW = 4
 #: Bytes of words and their encodings that a worker keeps, characters of text in one slice of work, and
 #: pieces in one call of the library, whose results are large.
-CACHED, SLICE, AT_ONCE = 80 << 20, 500_000, 2_000
+CACHED, SLICE, AT_ONCE = 112 << 20, 500_000, 2_000
 VOCABULARY = "word_bpe_49k.json"
 
 Token = tuple[int, int, int]
@@ -152,7 +152,7 @@ class Spelling:
 
 class Encoder:
     """One worker's tokenizer: whole texts by way of words, whose ids are kept from text to text and from
-    task to task, up to `CACHED` bytes; beyond, the older half goes."""
+    task to task, up to `CACHED` bytes; beyond, the half that was met least goes."""
 
     def __init__(self, path: str, leaf: int = LEAF):
         from tokenizers import Tokenizer
@@ -177,6 +177,8 @@ class Encoder:
         #: words by number; the ids of all, one word after the other, and where each word's end
         self.number: dict[Word, int] = {}
         self.ids, self.ends, self.weight = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
+        #: how often each word was met
+        self.uses = np.zeros(0, np.int64)
         self.letters = byte_letters()
         # In this range a text is in normal form already and lower-casing is by character, so that
         # the cut into pieces can be made here; others go through the tokenizer's own steps.
@@ -243,14 +245,17 @@ class Encoder:
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + len(self.ids)
         new = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]) - len(self.ids) if len(ends) else 0)
         self.ids, self.ends = np.concatenate([self.ids, new]), np.concatenate([self.ends, ends])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
         self.weight += 4 * len(new) + 220 * len(words) + sum(map(len, words))
 
     def forget(self) -> None:
-        """Drop the older half of the words: those with the smaller numbers."""
-        half = len(self.number) // 2
-        self.number = {w: n - half for w, n in self.number.items() if n >= half}
-        cut = int(self.ends[half - 1]) if half else 0
-        self.ids, self.ends = self.ids[cut:].copy(), self.ends[half:] - cut
+        """Keep the half of the words that was met most often; older meetings weigh less each time."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.number) // 2])
+        words = list(self.number)
+        self.number = {words[n]: i for i, n in enumerate(keep.tolist())}
+        starts = np.append(0, self.ends)[keep]
+        lengths = self.ends[keep] - starts
+        self.ids, self.ends, self.uses = self.ids[segments(starts, lengths)], np.cumsum(lengths), self.uses[keep] // 2
         self.weight //= 2
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -277,6 +282,7 @@ class Encoder:
         if len(new := np.flatnonzero(numbers < 0)):
             self.learn(list(dict.fromkeys([words[i] for i in new.tolist()])))
             numbers[new] = [self.number[words[i]] for i in new.tolist()]
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
         starts = np.append(0, self.ends)[numbers]
         lengths = self.ends[numbers] - starts
         counts = np.diff(np.append(0, np.cumsum(lengths))[upto])
