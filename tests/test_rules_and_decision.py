@@ -10,8 +10,8 @@ LISTING = (
 FEED = '<link rel="alternate" type="application/atom+xml" href="/f">'
 CASES = {
     "http://x/a": ("<title>404 Not Found</title>", "error_page"),
-    "http://x/b": ("<script>captcha</script>", "error_page"),
-    "http://x/c": ("<body>" + "x" * 3000 + " captcha</body>", "error_page"),  # the whole page is read
+    "http://x/b": ("<script>captcha</script>", None),  # code says nothing about the page
+    "http://x/c": ("<body>" + "x" * 3000 + " captcha</body>", "error_page"),  # the whole of a brief page is read
     "http://x/d": ('<div itemtype="http://schema.org/Recipe/">r</div>', "schema_org"),
     "http://x/e": (FEED + "<body>x</body>", "rss_feed"),
     "http://x/search?q=1": (FEED + "<body>x</body>", None),
