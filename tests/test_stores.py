@@ -13,6 +13,7 @@ from siftpage.sources import ledger_store, page_store, shared_files
 from siftpage.sources.ledger_store import LedgerStore
 from siftpage.sources.page_store import PageStore
 from siftpage.streaming.pickup import classified_updates, record_stream
+from tools.check import compare, connect
 
 AT = "2024-01-01 00:00:00"
 
@@ -213,3 +214,27 @@ def test_steps_of_a_run_do_nothing_twice(spark, tmp_path):
     assert ledger() == once and run.pages.index().count() == 4 and run.features().count() == 4
     counts = {r[0]: r for r in run.status().collect()}
     assert counts
+
+
+@pytest.fixture(scope="module")
+def shared_urls(spark, folder, tmp_path_factory):
+    """The smallest tables, where pages share URLs: with pages finished and not, of the same and of another label."""
+    root = str(tmp_path_factory.mktemp("shared"))
+    for name in os.listdir(folder):
+        if name != "pages.parquet":
+            os.symlink(f"{folder}/{name}", f"{root}/{name}")
+    url = (
+        F.when(F.col("page_id").isin(1, 2, 7, 16, 31), "https://x.example.com/shared/1#top")
+        .when(F.col("page_id").isin(6, 21), "https://x.example.com/two/#12")
+        .when(F.col("page_id") == 11, "https://x.example.com/two/")
+    )
+    pages = spark.read.parquet(f"{folder}/pages.parquet").withColumn("url", F.coalesce(url, "url"))
+    pages.coalesce(1).write.parquet(f"{root}/written")
+    part = next(n for n in os.listdir(f"{root}/written") if n.endswith(".parquet"))
+    shutil.copy(f"{root}/written/{part}", f"{root}/pages.parquet")
+    return root
+
+
+@pytest.mark.parametrize("name", ["page_store_pickup"])
+def test_pages_that_share_a_url_stay_pages_of_their_own(spark, shared_urls, name):
+    assert compare(spark, connect(shared_urls), shared_urls, name).startswith("ok")
