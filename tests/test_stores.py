@@ -235,6 +235,6 @@ def shared_urls(spark, folder, tmp_path_factory):
     return root
 
 
-@pytest.mark.parametrize("name", ["page_store_pickup"])
+@pytest.mark.parametrize("name", ["page_store_pickup", "stream_ledger"])
 def test_pages_that_share_a_url_stay_pages_of_their_own(spark, shared_urls, name):
     assert compare(spark, connect(shared_urls), shared_urls, name).startswith("ok")
