@@ -22,9 +22,10 @@ nulls last; other columns may have any name.
 fingerprint of 64 bits can't: at 0.8 its bits differ in some ten places, as those of many strangers do.
 So a text has `PARTS` fingerprints, each the SimHash of the `PART` shingles that come first in an order
 of its own. Two texts have the same first shingles in an order with a chance of about similarity ** PART,
-so of twelve fingerprints one at least is equal for 99.8 % of the pairs at 0.8 and more beyond. Texts
-with an equal one are compared exactly, shingle by shingle, within groups that are split like those
-above; only what is `least` similar is linked. Texts without a word are alike.
+so of twelve fingerprints one at least is equal for 99.8 % of the pairs at 0.8 and more beyond. All
+fingerprints at most `NEAR` bits apart are found by the pivot tables, as above, and tied. Texts with tied
+ones are compared exactly, shingle by shingle, within groups that are split like those above; only what
+is `least` similar is linked. Texts without a word are alike.
 """
 
 from __future__ import annotations
@@ -44,6 +45,9 @@ from siftpage.llm.kneser_ney import mixed, token_slices
 SHINGLE, BITS = 4, 4
 #: Of `keep_similar`: fingerprints of a text, shingles of each, and bytes of shingles in one group.
 PARTS, PART, GROUP_BYTES = 12, 4, 48_000_000
+#: Of `keep_similar` too: bits between fingerprints of parts, and the blocks that these are cut into. Two
+#: blocks of 32 bits make two small groups for each fingerprint, as there are twelve for each text.
+NEAR, HALVES = 1, 2
 PIVOTS, GROUP = 16, 50_000
 #: Groups up to this size are compared in columns, all at once.
 SMALL = 32
@@ -149,13 +153,14 @@ def masks(blocks: int, bits: int = BITS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in chosen]
 
 
-def linked(prints: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
+def linked(prints: DataFrame, bits: int = BITS, group: int = GROUP, blocks: int | None = None) -> DataFrame:
     """a, b: links between different fingerprints (fp, each once) that tie all that is within reach.
 
-    Of the pairs at most `bits` apart some are left out whose ends the others tie together.
+    Of the pairs at most `bits` apart some are left out whose ends the others tie together. blocks: more
+    than bits; by default by the number of fingerprints.
     """
     count = prints.count()
-    keys = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks_for(count), bits)))
+    keys = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks or blocks_for(count), bits)))
     dealt = prints.select("fp", F.posexplode(keys).alias("t", "key"))
     large = dealt.groupBy("t", "key").count().filter(F.col("count") > group)
     parts = large.select("t", "key", F.ceil(F.col("count") / (group // 2)).cast("int").alias("parts"))
@@ -307,9 +312,10 @@ def similar(prints: DataFrame, docs: DataFrame, shingle: int, least: float) -> D
 
     prints: content (each once) and prints.
     """
-    dealt = prints.select("content", F.posexplode("prints").alias("t", "print")).select(
-        F.xxhash64("t", "print").alias("bucket"), "content"
-    )
+    parts_ = prints.select("content", F.posexplode("prints").alias("t", "print"))
+    each_print = written(parts_.select(F.col("print").alias("fp")).distinct(), "prints")
+    tied = components(linked(each_print, NEAR, blocks=HALVES)).select(F.col("node").alias("print"), F.col("root").alias("tie"))
+    dealt = parts_.join(tied, "print", "left").select(F.xxhash64("t", F.coalesce("tie", "print")).alias("bucket"), "content")
     mark = F.xxhash64("content")
     several = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(38,0)")).alias("s"))
     # most buckets of a group of copies have the same members: one of them is enough

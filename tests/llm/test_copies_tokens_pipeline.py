@@ -372,3 +372,16 @@ def test_pipeline_of_nothing(spark, tmp_path):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_part_fingerprints_a_bit_apart_are_found_by_the_pivot_tables(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = {"one": " ".join(words), "two": " ".join(words[:195] + ["other"]), "far": " ".join(f"v{i}" for i in range(200))}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id bigint, text string")
+    named = {r["content"]: r["text"] for r in docs.select(simhash_dedup.content_of(F.col("text")).alias("content"), "text").collect()}
+    # all prints differ: those of the first two texts by one bit, those of the third by at least two bits from both
+    own = [(7919 * (t + 1)) << 20 for t in range(simhash_dedup.PARTS)]
+    flips = {texts["one"]: 0, texts["two"]: 1 << 40, texts["far"]: 7 << 50}
+    prints = spark.createDataFrame([(c, [p ^ flips[t] for p in own]) for c, t in named.items()], "content string, prints array<bigint>")
+    links = simhash_dedup.similar(prints, docs, 5, 0.8).collect()
+    assert {frozenset(named[x] for x in r) for r in links} == {frozenset((texts["one"], texts["two"]))}
