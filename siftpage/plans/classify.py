@@ -25,14 +25,24 @@ def predict(
     pages: DataFrame, model: PipelineModel, policy: str = "tiebreak", jsonld: bool = False
 ) -> DataFrame:
     """One prediction per page, pages without content included. One scan, a map-only job: no shuffle."""
+    return predict_parsed(parsed_pages(pages, jsonld), model, policy)
+
+
+def parsed_pages(pages: DataFrame, jsonld: bool = False) -> DataFrame:
+    """All that ``predict_parsed`` needs of each page: ``features_and_verdict``, x_blank, fetch_reason if there."""
+    why = tuple(c for c in ("fetch_reason",) if c in pages.columns)
+    both = features_of(with_verdict(prepare(pages, jsonld, keep=why)))
+    return both.select("page_id", "url", "verdict", "x_blank", *why, *FEATURE_COLUMNS)
+
+
+def predict_parsed(parsed: DataFrame, model: PipelineModel, policy: str = "tiebreak") -> DataFrame:
+    """``predict`` over the rows of ``parsed_pages``, which may be stored."""
     keep = [
         "page_id", "url", "predicted_label", "confidence", "method", "reason", "probabilities",
         "fallback_used", "content_available", "pre_label", "pre_confidence", "ml_label",
         "ml_confidence", "tiebreaker", "is_error_page",
     ]
-    why = tuple(c for c in ("fetch_reason",) if c in pages.columns)
-    both = features_of(with_verdict(prepare(pages, jsonld, keep=why)))
-    scored = score(both.select("page_id", "url", "verdict", "x_blank", *why, *FEATURE_COLUMNS), model)
+    scored = score(parsed, model)
     decided = decide(scored.withColumn("content_available", F.col("content_available") == 1), policy)
     both = fetch_failures(decided, "x_blank").select(*keep)
     failure = F.col("method") == "scrape_failed"

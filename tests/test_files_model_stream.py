@@ -118,3 +118,17 @@ def test_stream_equals_batch(spark, folder, tmp_path):
         map(str, batch.select("page_id", "verdict").collect())
     )
     assert os.path.isdir(mark)
+
+
+def test_full_prediction_parses_each_page_once(spark, folder, monkeypatch):
+    from siftpage.operators import model as M
+    from siftpage.plans import queries
+    from siftpage.plans.classify import predict
+
+    plain, fit, calls, models = queries.decorated_pages, M.fit, [], []
+    monkeypatch.setattr(queries, "decorated_pages", lambda *a: calls.append(a) or plain(*a))
+    monkeypatch.setattr(M, "fit", lambda train: models.append(fit(train, classifier=M.forest(5, 3))) or models[0])
+    got = queries.full_prediction(spark, folder)
+    assert len(calls) == 1
+    whole = predict(plain(spark, folder), models[0]).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
