@@ -94,3 +94,30 @@ def test_jsonld_flag(spark):
     off, on = features(df).first(), features(df, jsonld=True).first()
     assert (off.schema_type_count, off.pre_hint_schema) == (0, 0)
     assert (on.schema_type_count, on.has_schema_list_type, on.pre_hint_schema) == (3, 1, 1)
+
+
+def test_text_views_of_odd_blanks_and_signs(spark):
+    """The patterns of the text views against their plain definitions."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from siftpage.functions import text as X
+
+    draw = random.Random(5)
+    parts = [*X.BLANKS, "  ", "\n\n ", ".", ", ", "--", "a", "Zb", "9", "_x", "\u00e9", "\u0663", "\u65e5", "\U0001f600", "\x01", "$1,299.00"]
+    texts = ["", " ", "a", "a b a", *("".join(draw.choices(parts, k=draw.randint(1, 40))) for _ in range(400))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = X.flat_words(F.col("flat"))
+    rows = df.withColumn("flat", X.flat(F.col("t"))).select(
+        "*", X.spaced(F.col("flat")).alias("spaced"), words.alias("words"),
+        X.distinct_letter_words(X.word_kinds(words)).alias("letters"),
+    ).collect()
+    table = str.maketrans({b: " " for b in X.BLANKS if b != "\n"})
+    for r in rows:
+        assert r["flat"] == r["t"].translate(table)
+        marked = re.sub(r"[^a-zA-Z0-9_ \t\n\x0b\f\r]+", f" {X.MARK} ", r["flat"])
+        assert r["spaced"] == " " + re.sub(r"[ \t\n\x0b\f\r]+", " ", marked) + " "
+        assert r["words"] == [w for w in re.split("[ \n]", r["flat"]) if w]
+        assert r["letters"] == sum(w.isalpha() for w in set(r["words"]))
