@@ -6,6 +6,8 @@ on ``page_id`` reach the scan.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from siftpage.operators.snapshot import (
     snapshot,
 )
 from siftpage.operators.structural import descendants
+from siftpage.session import checkpoint_dir
 
 VIEWS = (
     "tokens", "elements", "inside", "page_text", "snapshots", "links", "images", "forms", "headings", "meta",
@@ -54,9 +57,19 @@ def register_views(pages: DataFrame, prefix: str = "html_") -> list[str]:
 
 
 def tag_report(pages: DataFrame) -> DataFrame:
-    """How often each tag lies directly or indirectly in each other one, as SQL over the views says it."""
+    """How often each tag lies directly or indirectly in each other one, as SQL over the views says it.
+
+    The statement reads the elements four times. They are written once, narrow, and of all pairs of elements
+    only those are made whose outer tag it asks for.
+    """
     spark = pages.sparkSession
     register_views(pages, "report_")
+    folder = f"{checkpoint_dir(spark)}/elements-{uuid.uuid4().hex}"
+    elements(pages).select("page_id", "eid", "start", "stop", "tag").write.parquet(folder)
+    parsed = spark.read.parquet(folder)
+    parsed.createOrReplaceTempView("report_elements")
+    outer = parsed.filter(F.col("tag").isin("form", "nav", "article", "table", "ul"))
+    descendants(outer, parsed).createOrReplaceTempView("report_inside")
     return spark.sql(
         """
         SELECT o.tag AS outer_tag, i.tag AS inner_tag, count(*) AS n, count(DISTINCT x.page_id) AS pages

@@ -121,3 +121,10 @@ def test_text_views_of_odd_blanks_and_signs(spark):
         assert r["spaced"] == " " + re.sub(r"[ \t\n\x0b\f\r]+", " ", marked) + " "
         assert r["words"] == [w for w in re.split("[ \n]", r["flat"]) if w]
         assert r["letters"] == sum(w.isalpha() for w in set(r["words"]))
+
+
+def test_tag_report_reads_written_elements(spark, folder):
+    from siftpage.plans.queries import tag_nesting
+
+    plan = tag_nesting(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "nest(" not in plan
