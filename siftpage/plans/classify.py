@@ -28,11 +28,12 @@ def predict(
     return predict_parsed(parsed_pages(pages, jsonld), model, policy)
 
 
-def parsed_pages(pages: DataFrame, jsonld: bool = False) -> DataFrame:
-    """All that ``predict_parsed`` needs of each page: ``features_and_verdict``, x_blank, fetch_reason if there."""
-    why = tuple(c for c in ("fetch_reason",) if c in pages.columns)
-    both = features_of(with_verdict(prepare(pages, jsonld, keep=why)))
-    return both.select("page_id", "url", "verdict", "x_blank", *why, *FEATURE_COLUMNS)
+def parsed_pages(pages: DataFrame, jsonld: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All that ``predict_parsed`` needs of each page: ``features_and_verdict``, x_blank, fetch_reason if there;
+    ``keep`` names further columns of the pages that stay."""
+    kept = (*(c for c in ("fetch_reason",) if c in pages.columns), *keep)
+    both = features_of(with_verdict(prepare(pages, jsonld, keep=kept)))
+    return both.select("page_id", "url", "verdict", "x_blank", *kept, *FEATURE_COLUMNS)
 
 
 def predict_parsed(parsed: DataFrame, model: PipelineModel, policy: str = "tiebreak") -> DataFrame:

@@ -2,7 +2,7 @@
 
     root/ledger        status of every URL (``LedgerStore``)
     root/pages         fetched pages (``PageStore``)
-    root/features      features and rule verdicts, a folder for each extraction
+    root/features      features and rule verdicts with the hash of their page, a folder for each extraction
     root/predictions   prediction records by label
     root/evaluation    the three verdicts of each held-out sample
 
@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 from siftpage.operators.features import FEATURE_COLUMNS
 from siftpage.operators.ledger import extract_outcome, fetch_outcome, register
 from siftpage.operators.reports import status_rollup
-from siftpage.plans.classify import evaluate, features_and_verdict, predict, train
+from siftpage.plans.classify import evaluate, parsed_pages, predict_parsed, train
 from siftpage.sources.files import prediction_rows, write_evaluation, write_predictions
 from siftpage.sources.ledger_store import LedgerStore
 from siftpage.sources.page_store import PageStore
+from siftpage.sources.shared_files import names
+
+#: Stored beside the features, for ``predicted`` alone.
+ABOUT = ("content", "jsonld", "x_blank")
 
 
 class StoredRun:
@@ -56,10 +60,10 @@ class StoredRun:
         """Features and rule verdicts of fetched pages that have none; a page without content fails."""
         over = ("success",) if retry_failed else ("success", "failed")
         done = self.ledger.read().filter(F.col("extract_status").isin(*over)).select("url")
-        html = self.pages.read(self.pages.pending(done))
-        rows = html.select(F.xxhash64("url").alias("page_id"), "url", "html")
+        rows = self._hashed(self.pages.read(self.pages.pending(done)))
         write = f"{self.root}/features/{uuid.uuid4().hex}"
-        features_and_verdict(rows, jsonld).withColumn("extracted_at", self.at).write.parquet(write)
+        parsed = parsed_pages(rows, jsonld, keep=("content",)).withColumn("jsonld", F.lit(jsonld))
+        parsed.withColumn("extracted_at", self.at).write.parquet(write)
         count = F.when(F.col("content_available") == 1, F.lit(len(FEATURE_COLUMNS)))
         told = self.spark.read.parquet(write).select(
             "url", count.alias("feature_count"), F.when(count.isNull(), "no_content").alias("error")
@@ -69,16 +73,38 @@ class StoredRun:
     def features(self) -> DataFrame:
         """The newest features of each URL."""
         stored = self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.root}/features")
-        fields = [c for c in stored.columns if c not in ("url", "extracted_at")]
+        fields = [c for c in stored.columns if c not in ("url", "extracted_at", *ABOUT)]
         return stored.groupBy("url").agg(F.max_by(F.struct(*fields), "extracted_at").alias("f")).select("url", "f.*")
 
     def train(self, **options) -> tuple[PipelineModel, DataFrame]:
         return train(self.ledger.read(), self.features(), **options)
 
+    @staticmethod
+    def _hashed(pages: DataFrame) -> DataFrame:
+        """Pages with the hash that tells whether stored features are of this very page."""
+        content = F.sha2(F.coalesce("html", F.lit("")), 256).alias("content")
+        return pages.select(F.xxhash64("url").alias("page_id"), "url", content, "html")
+
+    def parsed(self, jsonld: bool = False) -> DataFrame:
+        """``parsed_pages`` of all stored pages: read where the same page was extracted, parsed where not."""
+        html = self._hashed(self.pages.read(self.pages.index()))
+        columns = ["page_id", "url", "verdict", "x_blank", *FEATURE_COLUMNS]
+        root = f"{self.root}/features"
+        if not names(self.spark, root):
+            return parsed_pages(html, jsonld).select(*columns)
+        stored = self.spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(root)
+        if not set(ABOUT) <= set(stored.columns):
+            return parsed_pages(html, jsonld).select(*columns)
+        known = stored.filter(F.col("jsonld") == F.lit(jsonld)).drop("page_id").dropDuplicates(["url", "content"])
+        on = ["url", "content"]
+        read = html.drop("html").join(known, on).select(*columns)
+        anew = html.join(known.select(*on), on, "left_anti")
+        return read.unionByName(parsed_pages(anew, jsonld).select(*columns))
+
     def predicted(self, model: PipelineModel, jsonld: bool = False) -> DataFrame:
         """Prediction records of all stored pages, written and read back."""
-        html = self.pages.read(self.pages.index()).select(F.xxhash64("url").alias("page_id"), "url", "html")
-        records = prediction_rows(predict(html, model, jsonld=jsonld), self.at, F.col("status"))
+        predictions = predict_parsed(self.parsed(jsonld), model)
+        records = prediction_rows(predictions, self.at, F.col("status"))
         write_predictions(records, f"{self.root}/predictions")
         return self.spark.read.parquet(f"{self.root}/predictions")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftpage.operators.bloom import bloom_rows, bucket_of, possible
 from siftpage.operators.ledger import ledger_upsert, pick_new
+from siftpage.plans import run as plans_run
 from siftpage.plans.run import StoredRun
 from siftpage.sources import ledger_store, page_store, shared_files
 from siftpage.sources.ledger_store import LedgerStore
@@ -238,3 +239,30 @@ def shared_urls(spark, folder, tmp_path_factory):
 @pytest.mark.parametrize("name", ["page_store_pickup", "stream_ledger"])
 def test_pages_that_share_a_url_stay_pages_of_their_own(spark, shared_urls, name):
     assert compare(spark, connect(shared_urls), shared_urls, name).startswith("ok")
+
+
+def test_a_run_predicts_from_the_features_that_it_stored(spark, tmp_path, monkeypatch):
+    run = StoredRun(spark, str(tmp_path / "r"), F.lit(AT).cast("timestamp"), buckets=4)
+    body = "<body><article><h1>A</h1><p>" + "some words of a page " * 20 + "</p></article></body>"
+    pages = [(f"http://x/{i}", None if i == 5 else " " if i == 4 else body + str(i)) for i in range(6)]
+    run.intake(spark.createDataFrame([(u, "list", i) for i, (u, _) in enumerate(pages)], "url string, label string, row bigint"))
+    run.fetched(spark.createDataFrame([(u, h, None) for u, h in pages], "url string, html string, reason string"))
+    run.extracted()
+    given = []
+    parse = plans_run.parsed_pages
+    monkeypatch.setattr(plans_run, "parsed_pages", lambda p, *a, **k: (given.append(p.count()), parse(p, *a, **k))[1])
+
+    def direct(jsonld):
+        html = run.pages.read(run.pages.index()).select(F.xxhash64("url").alias("page_id"), "url", "html")
+        rows = parse(html, jsonld)
+        return {tuple(map(str, r)) for r in rows.collect()}, rows.columns
+
+    for jsonld, parsed in ((False, 0), (True, 5)):
+        expected, columns = direct(jsonld)
+        assert {tuple(map(str, r)) for r in run.parsed(jsonld).select(*columns).collect()} == expected and len(expected) == 5
+        assert given.pop() == parsed
+    # a page that changed is parsed, the others are not
+    run.pages.add(spark.createDataFrame([("http://x/0", "list", body + "new")], "url string, label string, html string"))
+    expected, columns = direct(False)
+    assert {tuple(map(str, r)) for r in run.parsed().select(*columns).collect()} == expected and len(expected) == 6
+    assert given.pop() == 1
