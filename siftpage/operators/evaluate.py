@@ -19,8 +19,10 @@ def _guarded(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def pair_counts(rows: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
-    return rows.groupBy(*group, "actual", "predicted").agg(F.count("*").alias("n"))
+def pair_counts(rows: DataFrame, group: tuple[str, ...] = (), counted: str | None = None) -> DataFrame:
+    """``counted`` names a column with the number of rows that a row stands for."""
+    n = F.sum(counted) if counted else F.count("*")
+    return rows.groupBy(*group, "actual", "predicted").agg(n.alias("n"))
 
 
 def confusion(
@@ -55,12 +57,14 @@ def class_report(
     classes: tuple[str, ...] = CLASSES,
     group: tuple[str, ...] = (),
     groups: DataFrame | None = None,
+    counted_by: str | None = None,
 ) -> DataFrame:
     """Per class: support, predicted, correct, precision, recall, f1; zeros where undefined.
 
-    ``groups`` names the groups where they are known, so that the rows need not be read for them.
+    ``groups`` names the groups where they are known, so that the rows need not be read for them;
+    ``counted_by`` a column with the number of rows that a row stands for.
     """
-    counted = pair_counts(rows, group)
+    counted = pair_counts(rows, group, counted_by)
     sides = counted.select(
         *group,
         "n",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftpage.functions.jsonld import types_of
+from siftpage.operators import model as model_operators
 from siftpage.operators import nesting
 from siftpage.operators.features import FEATURE_COLUMNS, features
 from siftpage.operators.html import page_text
@@ -189,6 +190,19 @@ def test_boosted(spark, samples, tmp_path):
     assert score(samples, back).filter("ml_label <> label").count() == score(samples, model).filter("ml_label <> label").count()
 
 
+def test_a_forest_loses_by_permutation_what_its_own_predictions_lose(spark, samples, monkeypatch):
+    used = (*USED, "noise")
+    noisy = samples.withColumn("noise", (F.col("page_id") * 7 % 11).cast("double"))
+    model = fit(noisy.filter("not is_test"), used, classifier=forest(trees=15, depth=4))
+    whole = noisy.withColumn("label", F.when(F.col("page_id") % 10 > 0, F.col("label")).otherwise("list"))
+    monkeypatch.setattr(model_operators, "_swapped", lambda *_: pytest.fail("every pair was scored by every tree"))
+    fast = {r["feature"]: r["importance"] for r in permutation_importance(whole, model).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(model_operators, "forest_arrays", lambda *_: None)
+    plain = {r["feature"]: r["importance"] for r in permutation_importance(whole, model).collect()}
+    assert fast == plain and fast["word_count"] > 0.2 and set(fast) == set(used)
+
+
 def test_fallback_and_misclassified(spark, samples):
     model = fit(samples.filter("not is_test"), USED, classifier=forest(trees=3, depth=1))
     weak = samples.withColumns({"content_available": F.lit(0), "word_count": F.lit(1.5), "url": F.lit("http://x/search?q=1")})
