@@ -16,6 +16,7 @@ from siftpage.functions.reuse import built_once
 from siftpage.functions.text import count_words, has_word, strip
 from siftpage.functions.url import listing_url
 from siftpage.operators.features import prepare
+from siftpage.operators.features.wording import figures, matches, mentions
 from siftpage.operators.html import carries, notice, page_title, parse
 
 ERROR_TEXT = "(?dU)" + "|".join(vocab.ERROR_PATTERNS)
@@ -97,8 +98,11 @@ def listing_signals() -> Column:
     """Five structural listing signals, counted."""
     c = F.col
     return (
-        flag(F.rlike("folded", F.lit(vocab.RULE_PAGING_PATTERN)) | c("x_rule_paging_markup"))
-        + flag(F.rlike("folded", F.lit(vocab.RULE_RESULT_PATTERN)))
+        flag(
+            (mentions("page", "more", "showing") & matches(vocab.RULE_PAGING_PATTERN))
+            | c("x_rule_paging_markup")
+        )
+        + flag(figures() & mentions(*vocab.RULE_RESULT_STEMS) & matches(vocab.RULE_RESULT_PATTERN))
         + flag(c("x_rule_filter_markup"))
         + flag(c("x_rule_repeated") >= 2)
         + flag(c("x_rule_grid") >= 4)
@@ -173,15 +177,17 @@ def domain_rules() -> Column:
 
 def others_counts() -> dict[str, Column]:
     """Signals of a marketing page and the guards that rule one out."""
-    byline = F.rlike("folded", F.lit(vocab.RULE_BYLINE_PATTERN))
+    byline = mentions("by", "author", "published") & matches(vocab.RULE_BYLINE_PATTERN)
+    price = mentions(*vocab.CURRENCY_SIGNS, *vocab.CURRENCY_CODES, "price")
+    rating = figures() & mentions("out", "/", "review", "rating", "star") | mentions("customer")
     return {
         "x_info": F.col("legal_signal_count")
         + count_words("spaced", vocab.RULE_INFO_FLAGS)
         + F.col("faq_signal_count"),
         "x_marketing": count_words("spaced", vocab.MARKETING_FLAGS),
-        "x_guarded": F.rlike("folded", F.lit(vocab.RULE_PRICE_PATTERN))
+        "x_guarded": (price & matches(vocab.RULE_PRICE_PATTERN))
         | has_word("spaced", vocab.RULE_BUY_WORDS)
-        | F.rlike("folded", F.lit(vocab.RULE_RATING_PATTERN))
+        | (rating & matches(vocab.RULE_RATING_PATTERN))
         | has_word("spaced", vocab.RULE_SPEC_WORDS)
         | ((F.col("x_time") == 1) & byline),
     }

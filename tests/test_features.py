@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 from siftpage.operators.features import FEATURE_COLUMNS, features, text_features
 from siftpage.sources.decorated import decorated_pages
+from siftpage.functions import vocab
+from siftpage.functions.text import fold
+from siftpage.operators.features.assemble import prepare
+from siftpage.operators.rules import with_verdict
 
 DEEP = "<body><div>" + "<b>k</b>" * 20 + "<i><u><s>deep</s></u></i></div></body>"
 MANY = "<body>" + "<div></div>" * 149 + "<ul><li><li><li><li></ul><ol><li><li><li><li></ol></body>"
@@ -128,3 +132,34 @@ def test_tag_report_reads_written_elements(spark, folder):
 
     plan = tag_nesting(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "nest(" not in plan
+
+
+def test_patterns_that_are_tested_after_their_word_parts_miss_nothing(spark):
+    """Every pair of pieces that patterns are made of, in both orders, against the patterns alone."""
+    parts = [
+        *vocab.CURRENCY_SIGNS, *vocab.CURRENCY_CODES, *vocab.RESULT_COUNT_STEMS, *vocab.RULE_RESULT_STEMS, *vocab.SPEC_STEMS,
+        *vocab.ENGAGEMENT_STEMS, *vocab.JOB_COUNT_STEMS, "items found", "next\npage", "load more", "showing", "of 3", "out of 5", "/ 5",
+        "table of contents", "toc", "duration:", "runtime -", "2024", "on-site", "full time", "remote", "price:", "customer rating",
+        "stars", "By Jane", "by Jane", "written by", "author:", "published", "Köln", "٣", "7,",
+    ]
+    rows = [(f"{a}{gap}{b}",) for a in parts for b in parts for gap in (" ", "", "s ")]
+    rows = [(i, "http://x/", f"<body><p>{t}</p></body>") for i, (t,) in enumerate([*rows, ("",), ("nothing",)])]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(8)
+    plain = {
+        "x_price_text": vocab.PLAIN_PRICE_PATTERN, "has_result_count": vocab.RESULT_COUNT_PATTERN, "x_toc_text": vocab.TOC_PATTERN,
+        "x_spec_text": vocab.SPEC_CLASS, "x_duration_text": vocab.DURATION_PATTERN, "has_engagement_metrics": vocab.ENGAGEMENT_PATTERN,
+    }
+    wrong = [F.col(name).cast("int") != F.rlike("folded", F.lit(pattern)).cast("int") for name, pattern in plain.items()]
+    wrong += [F.col("x_prices") != F.regexp_count("folded", F.lit(vocab.PRICE_PATTERN))]
+    wrong += [F.col("x_years") != F.regexp_count("folded", F.lit(vocab.YEAR_PATTERN))]
+    wrong += [F.rlike("folded", F.lit(vocab.SCORE_PATTERN)) & (F.col("has_rating") == 0)]
+    wrong += [F.rlike("folded", F.lit(vocab.PAGE_OF_PATTERN)) & ~F.col("x_paging_text")]
+    wrong += [F.rlike("folded", F.lit(f"{vocab.WORK_MODE_PATTERN}|{vocab.JOB_COUNT_PATTERN}")) & (F.col("job_listing_vocab") == 0)]
+    guards = f"{vocab.RULE_PRICE_PATTERN}|{vocab.RULE_RATING_PATTERN}"
+    wrong += [F.rlike("folded", F.lit(guards)) & ~F.col("x_guarded")]
+    wrong += [F.rlike("folded", F.lit(vocab.RULE_RESULT_PATTERN)) & (F.col("x_listing_signals") == 0)]
+    wrong += [F.rlike("folded", F.lit(vocab.RULE_PAGING_PATTERN)) & (F.col("x_listing_signals") == 0)]
+    wrong += [F.rlike(fold(F.col("body")), F.lit(vocab.BYLINE_PATTERN)) != F.col("x_byline")]
+    seen = with_verdict(prepare(pages)).select(*[F.count_if(w).alias(f"w{i}") for i, w in enumerate(wrong)], F.count_if(F.col("x_prices") > 0))
+    *missed, found = seen.first()
+    assert missed == [0] * len(wrong) and found > 100
