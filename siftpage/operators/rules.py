@@ -13,7 +13,7 @@ from siftpage.functions import vocab
 from siftpage.functions.jsonld import lowered, microdata_type
 from siftpage.functions.numbers import flag
 from siftpage.functions.reuse import built_once
-from siftpage.functions.text import count_words, has_word, strip
+from siftpage.functions.text import count_words, has_text, has_word, strip
 from siftpage.functions.url import listing_url
 from siftpage.operators.features import prepare
 from siftpage.operators.features.wording import figures, matches, mentions
@@ -47,7 +47,7 @@ def _any(text: Column, parts: tuple[str, ...]) -> Column:
 def error_page(status: Column | None) -> Column:
     """Title, headings and brief pages are read, and marks of a challenge; not scripts, nor the prose of a page
     that has something to say."""
-    seen = F.rlike("x_notice", F.lit(ERROR_TEXT)) | F.col("x_challenge")
+    seen = (has_text("x_notice", vocab.ERROR_PARTS) & F.rlike("x_notice", F.lit(ERROR_TEXT))) | F.col("x_challenge")
     if status is not None:
         seen = seen | F.coalesce(status >= 400, F.lit(False))
     return F.when(seen, _verdict("others", "error_page", "page_error_or_blocked", 0.97, True))

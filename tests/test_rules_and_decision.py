@@ -1,5 +1,10 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+from siftpage.functions import vocab
+from siftpage.functions.text import distinct_letter_words, number_words
 from siftpage.operators.decide import decide
 from siftpage.operators.rules import pre_classify
 
@@ -82,3 +87,25 @@ def test_rules_first(spark):
 def test_unknown_policy(spark):
     with pytest.raises(ValueError):
         decide(_grid(spark), "other")
+
+
+def test_every_error_pattern_asks_for_one_of_the_parts_that_are_tested_first():
+    samples = (
+        "404 the page was not found", "page not found", "404 error", "not found 404", "this page doesn't exist", "this page does not exist",
+        "page has been removed", "page removed", "no longer available", "file not found", "500 internal server error", "service unavailable",
+        "access denied", "forbidden", "403 forbidden", "captcha", "just a moment", "checking your browser", "ddos-guard",
+        "cf-browser-verification", "are you a robot", "verify you are human",
+    )
+    for pattern in vocab.ERROR_PATTERNS:
+        hits = [s for s in samples if re.search(pattern, s)]
+        assert hits and all(any(part in s for part in vocab.ERROR_PARTS) for s in hits), pattern
+
+
+def test_figures_among_words_are_counted_as_each_word_by_itself(spark):
+    words = ["1", "$2", "3,4", "5.", "6.7", "x8", "9x", "$", ",", "$,", "1.2.3", "٣", "٣.٤", "$$1", "é", "", "1", "--", "12,"]
+    alone = [w for w in words if re.search(r"^\$?[\d,]+\.?\d*$", w)]
+    row = spark.createDataFrame([(words, " ".join(words))], "w array<string>, k string")
+    assert row.select(number_words(F.col("w")), distinct_letter_words(F.lit("é ab a1 Ünï 2 z"))).first()[:] == (len(alone), 4)
+    empty = spark.createDataFrame([([], "")], "w array<string>, k string")
+    assert empty.select(number_words(F.col("w")), distinct_letter_words(F.col("k"))).first()[:] == (0, 0)
+    assert "filter(" not in str(number_words(F.col("w")))
